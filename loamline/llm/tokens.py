@@ -11,10 +11,25 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from loamline.llm.common import ragged
 
 CACHE_CHUNKS = 400_000
+#: The vocabulary's own split pattern, and the characters that byte-level vocabularies write bytes as.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Beyond this block normal forms and case mapping need the tokenizer itself; so may the strings of special tokens.
+UNSURE = regex.compile(r"[^\x00-\u024f]|\u0130|<\|")
+
+
+def _byte_chars() -> dict[int, str]:
+    hidden = iter(range(0x100, 0x200))
+    one = [chr(b) if b in PRINTED else chr(next(hidden)) for b in range(256)]
+    return {c: "".join(one[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+BYTE_CHARS = _byte_chars()
 _open: dict[str, ChunkTokenizer] = {}
 
 
@@ -30,32 +45,41 @@ class ChunkTokenizer:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
+        self.words: dict[str, list[int]] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def _pieces(self, chunk: str) -> list[list[int]]:
+        """Ids of each pre-token of a chunk; text beyond the extended Latin block goes through the whole tokenizer."""
+        if UNSURE.search(chunk):
+            return [self.tokenizer.encode(chunk, add_special_tokens=False).ids]
+        out = []
+        for word in WORDS.findall(chunk.lower()):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))]
+            out.append(ids)
+        return out
 
     def _add(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            for chunk, encoding in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, index = encoding.ids, len(self.known)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                if index == len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[index], self.lengths[index] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[chunk] = index
+        ids, lengths = [], np.zeros(len(chunks), np.int64)
+        for k, chunk in enumerate(chunks):
+            before = len(ids)
+            for piece in self._pieces(chunk):
+                ids += piece
+            lengths[k] = len(ids) - before
+            self.known[chunk] = len(self.known)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each text in them); null is empty text."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         codes, names, offsets = ragged(pc.split_pattern(spaced, " "))
         chunks = names.to_pylist()
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
+        if max(len(self.known), len(self.words)) + len(chunks) > CACHE_CHUNKS:
             self.reset()
         self._add([c for c in chunks if c not in self.known])
         index = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
