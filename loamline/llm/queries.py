@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamline.llm import packing
+from loamline.llm import chat, packing, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,5 +21,67 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op3_pack": op3_pack}
-SQL: dict[str, str] = {}
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one with control strings in its texts; digests of what is read back."""
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.render(chat.reconstruct(chat.table_events(rows)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"]))
+    out = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), F.array_join(loss, "").alias("loss"))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as archives and read the archives back."""
+    out = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, length(role || text) + 20 + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS n
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+SQL_WARC = """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), firsts AS (
+  SELECT payload, min(page_id) AS first_id FROM rows GROUP BY payload
+), digests AS (
+  SELECT payload, first_id, sha1(payload) AS hex FROM firsts
+), named AS (
+  SELECT payload, first_id, translate(array_to_string(list_transform(range(8), lambda i:
+    lpad(to_base(CAST('0x' || substr(hex, 1 + 5 * CAST(i AS INTEGER), 5) AS BIGINT), 32), 4, '0')), ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM digests
+)
+SELECT page_id, CAST(strlen(rows.payload) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM rows JOIN named ON rows.payload = named.payload
+"""
+
+QUERIES = {"op3_pack": op3_pack, "op8_chat": op8_chat, "op10_warc": op10_warc}
+SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
