@@ -1,7 +1,7 @@
 """Exact, cached tokenisation of Arrow text batches.
 
 The vocabulary used here lowers case, drops white space and never lets a token cross it, so a text's ids are those of
-its white-space separated chunks, one after another. Each chunk is encoded once per process and then gathered by code.
+its white-space separated chunks, one after another. Chunks are split into pre-tokens, each of which is encoded once per process, and ids are gathered by code.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import regex
 
 from loamline.llm.common import ragged
 
-CACHE_CHUNKS = 400_000
-#: The vocabulary's own split pattern, and the characters that byte-level vocabularies write bytes as.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHE_WORDS = 500_000
+#: The vocabulary's own split pattern (a line feed ends a chunk), and the characters that byte-level vocabularies write bytes as.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Beyond this block normal forms and case mapping need the tokenizer itself; so may the strings of special tokens.
 UNSURE = regex.compile(r"[^\x00-\u024f]|\u0130|<\|")
@@ -34,7 +34,7 @@ _open: dict[str, ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
-    """Ids of many texts at once; the cache is emptied at ``CACHE_CHUNKS`` chunks, which bounds memory."""
+    """Ids of many texts at once. Ids of pre-tokens are kept; the store is emptied at ``CACHE_WORDS``, which bounds memory."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,49 +44,61 @@ class ChunkTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.known: dict[str, int] = {"\n": 0}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def _pieces(self, chunk: str) -> list[list[int]]:
-        """Ids of each pre-token of a chunk; text beyond the extended Latin block goes through the whole tokenizer."""
-        if UNSURE.search(chunk):
-            return [self.tokenizer.encode(chunk, add_special_tokens=False).ids]
-        out = []
-        for word in WORDS.findall(chunk.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))]
-            out.append(ids)
-        return out
-
-    def _add(self, chunks: list[str]) -> None:
-        ids, lengths = [], np.zeros(len(chunks), np.int64)
-        for k, chunk in enumerate(chunks):
-            before = len(ids)
-            for piece in self._pieces(chunk):
-                ids += piece
-            lengths[k] = len(ids) - before
-            self.known[chunk] = len(self.known)
+        self.starts = np.zeros(1, np.int64)
+        self.lengths = np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[str], encode) -> None:
+        ids, lengths = [], np.zeros(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            own = encode(piece)
+            ids += own
+            lengths[k] = len(own)
+            self.known[piece] = len(self.known)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))]
+
+    def _whole(self, chunk: str) -> list[int]:
+        """Of a chunk that needs the whole tokenizer; it is kept under its text and a line feed, which no pre-token has."""
+        return self.tokenizer.encode(chunk[:-1], add_special_tokens=False).ids
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the chunks, lengths)."""
+        odd = {k: chunk + "\n" for k, chunk in enumerate(chunks) if not chunk.isascii() or "<|" in chunk if UNSURE.search(chunk)}
+        for k in odd:
+            chunks[k] = ""
+        pieces = WORDS.findall("\n".join(chunks).lower() + "\n")
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(new) + len(odd) > CACHE_WORDS:
+            self.reset()
+            new = set(pieces).difference(self.known)
+        self._add(list(new), self._word)
+        self._add(list(set(odd.values()).difference(self.known)), self._whole)
+        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.flatnonzero(index == 0)
+        if odd:
+            index[ends[list(odd)]] = [self.known[c] for c in odd.values()]
+        lengths = self.lengths[index]
+        upto = np.cumsum(lengths)
+        source = np.repeat(self.starts[index] - (upto - lengths), lengths) + np.arange(upto[-1])
+        return self.flat[source], np.diff(upto[ends], prepend=0)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each text in them); null is empty text."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         codes, names, offsets = ragged(pc.split_pattern(spaced, " "))
-        chunks = names.to_pylist()
-        if max(len(self.known), len(self.words)) + len(chunks) > CACHE_CHUNKS:
-            self.reset()
-        self._add([c for c in chunks if c not in self.known])
-        index = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
-        lengths = self.lengths[index][codes]
+        if not len(names):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        flat, sizes = self._chunks(names.to_pylist())
+        lengths = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(self.starts[index][codes] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.flat[source], ends[offsets]
+        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], lengths) + np.arange(ends[-1])
+        return flat[source], ends[offsets]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
