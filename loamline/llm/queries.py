@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, packing, warc
+from loamline.llm import chat, langid, minhash, packing, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -83,5 +83,24 @@ SELECT page_id, CAST(strlen(rows.payload) AS BIGINT) AS payload_bytes, payload_d
 FROM rows JOIN named ON rows.payload = named.payload
 """
 
-QUERIES = {"op3_pack": op3_pack, "op8_chat": op8_chat, "op10_warc": op10_warc}
+def held_out():
+    """Rows that the model may not learn from: crc32 of the id as text, modulo 4, is 2."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return langid.label(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node")
+
+
+QUERIES = {
+    "op3_pack": op3_pack, "op5_langid": op5_langid, "op8_chat": op8_chat, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
+}
 SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
