@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, langid, minhash, packing, warc
+from loamline.llm import chat, langid, minhash, packing, suffixes, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +24,15 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = r"\### Assistant: </turn> ok"
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents, a row per passage, with how many of its words are not the first occurrence."""
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    rows = found.select("doc_id", "cuts", F.explode("spans").alias("span"))
+    shared = F.transform("cuts", lambda c: F.greatest(F.least(c["past"], F.col("span.past")) - F.greatest(c["first"], F.col("span.first")), F.lit(0)))
+    words = F.aggregate(shared, F.lit(0), lambda a, x: a + x)
+    return rows.select("doc_id", F.col("span.first").alias("first_word"), F.col("span.past").alias("past_word"), words.alias("later_words"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one with control strings in its texts; digests of what is read back."""
     extra = spark.range(2).select(
@@ -101,6 +110,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_pack": op3_pack, "op5_langid": op5_langid, "op8_chat": op8_chat, "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
+    "op3_pack": op3_pack, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op8_chat": op8_chat,
+    "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
