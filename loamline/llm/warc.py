@@ -11,7 +11,7 @@ import hashlib
 import struct
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20  #: an archive's dictionary is built from so many bytes of its first records, and holds for all
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
+BROADCAST_ROWS = 200_000  #: digests of payloads that occur again, under 100 bytes each, are broadcast up to so many
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -169,7 +170,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     groups = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = groups.where("n > 1").drop("n")
+    copies = cut(groups.where("n > 1").drop("n"))
+    if copies.count() <= BROADCAST_ROWS:  # else payloads are shuffled by digest
+        copies = F.broadcast(copies)
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     marked = rows.join(copies, ["sha", "size"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -180,8 +183,6 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
             for page_id, url, payload, first in zip(table["page_id"], table["url"], table["payload"], table["refers_to"], strict=True):
                 writer.add(encode_record(page_id, url, payload, date, first))
         writer.end()
-        import pyarrow as pa
-
         paths, counts, sizes = zip(*writer.done, strict=True) if writer.done else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
@@ -196,20 +197,18 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column("path").to_pylist():
                 rows, held = [], 0
                 for record in read_archive(path):
                     held += record["payload_bytes"]
                     rows.append(record if payloads else record | {"payload": None})
-                    if held >= 16 << 20:
-                        yield frame(rows)
+                    if held >= 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
                         rows, held = [], 0
                 if rows:
-                    yield frame(rows)
-
-    def frame(rows):
-        out = pd.DataFrame(rows)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
 
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in READ.split(", "))])
     spread = archives.select("path").repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInPandas(read, READ)
+    return spread.mapInArrow(read, READ)
