@@ -12,13 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import mix, slices, words
 
 BUCKETS = 1 << 16
-SAMPLE_ROWS = 2000  #: labelled rows of each language that the model is fitted on, those with the smallest id hash
+SAMPLE_ROWS = 2000  #: labelled rows of each language that the model is fitted on (expected number; drawn by id hash)
 BLOCK = 128
 NEVER = -1e4
 
@@ -110,14 +110,14 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 1e-3, smoothing: float = 0.3) -> Model:
-    """Fit on ``sample_rows`` rows of each language of ``labelled`` (doc_id, text, lang); rows without either are passed over.
+    """Fit on about ``sample_rows`` rows of each language of ``labelled`` (doc_id, text, lang); rows without either are passed over.
 
     The driver gets at most ``BUCKETS`` trigram counts and a row of script counts for each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)
-    # the ids are bounded by the sample
-    sample = usable.join(F.broadcast(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
+    totals = usable.groupBy("lang").count().collect()  # a row for each language
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    share_of = F.create_map([F.lit(x) for lang, n in totals for x in (lang, sample_rows / n)]) if totals else F.create_map().cast("map<string,double>")
+    sample = usable.where(drawn < F.coalesce(share_of[F.col("lang")], F.lit(0.0)))
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}

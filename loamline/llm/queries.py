@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, langid, minhash, packing, suffixes, warc
+from loamline.llm import chat, decontaminate, langid, minhash, packing, suffixes, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,6 +33,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("span.first").alias("first_word"), F.col("span.past").alias("past_word"), words.alias("later_words"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents, with their edit distances and places."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one with control strings in its texts; digests of what is read back."""
     extra = spark.range(2).select(
@@ -110,7 +115,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_pack": op3_pack, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op8_chat": op8_chat,
-    "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
+    "op3_pack": op3_pack, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
+    "op8_chat": op8_chat,     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
