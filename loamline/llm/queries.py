@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, langid, minhash, packing, suffixes, warc
+from loamline.llm import chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+END_OF_TEXT = 49407
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat token files."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), WORD_BPE, END_OF_TEXT)
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 ids."""
     out = packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -97,6 +110,12 @@ SELECT page_id, CAST(strlen(rows.payload) AS BIGINT) AS payload_bytes, payload_d
 FROM rows JOIN named ON rows.payload = named.payload
 """
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def held_out():
     """Rows that the model may not learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -115,7 +134,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_pack": op3_pack, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
+    "op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op3_pack": op3_pack, "op4_neighbours": op4_neighbours, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}

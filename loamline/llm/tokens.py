@@ -30,17 +30,18 @@ def _byte_chars() -> dict[int, str]:
 
 
 BYTE_CHARS = _byte_chars()
-_open: dict[str, ChunkTokenizer] = {}
+_open: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
     """Ids of many texts at once. Ids of pre-tokens are kept; the store is emptied at ``CACHE_WORDS``, which bounds memory."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain  # strings of special tokens in a text are then ordinary text
         self.reset()
 
     def reset(self) -> None:
@@ -101,8 +102,8 @@ class ChunkTokenizer:
         return flat[source], ends[offsets]
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, plain: bool = False) -> ChunkTokenizer:
     """The process's tokenizer for a vocabulary file; workers are reused, and so is its cache."""
-    if path not in _open:
-        _open[path] = ChunkTokenizer(path)
-    return _open[path]
+    if (path, plain) not in _open:
+        _open[path, plain] = ChunkTokenizer(path, plain)
+    return _open[path, plain]
