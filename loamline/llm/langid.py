@@ -228,48 +228,70 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
+@dataclass
+class Labels:
+    """Of texts: best language, its share of the letters, and spans (text, first, past, language number)."""
+
+    pred: list[str]
+    score: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def label_texts(model: Model, texts: pa.Array, penalty: float) -> Labels:
+    codes, dictionary, offsets = words(texts)
+    rows, n, seen = len(texts), len(model.langs), features(dictionary)
+    letters = seen.letters[codes]
+    text = np.repeat(np.arange(rows), np.diff(offsets))
+    total = np.bincount(text, letters, rows)
+    known = total > 0
+    if not n or not known.any():
+        return Labels(["und"] * rows, np.zeros(rows), (np.zeros(0, np.int64),) * 4)
+    labels = viterbi(word_scores(model, seen)[codes], offsets, penalty)
+    by = np.bincount(text * n + labels, letters, rows * n).reshape(rows, n)
+    best = by.argmax(1)
+    score = np.where(known, by[np.arange(rows), best] / np.maximum(total, 1), 0.0)
+    first = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])]))
+    past = np.append(first[1:], len(labels))
+    some = known[text[first]]
+    first, past = first[some], past[some]
+    own = text[first]
+    pred = [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+    return Labels(pred, score, (own, first - offsets[own], past - offsets[own], labels[first]))
+
+
 RESULT = "doc_id long, lang_pred string, score double, spans array<struct<first:int,past:int,lang:string>>"
 
 
 def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     """Label spans of ``docs`` (doc_id, text): doc_id, lang_pred, score, spans (first and past-the-last word, language).
 
-    lang_pred is the language with most letters in its spans (ties: alphabetic), score its share of the letters, weighted
-    by nothing else. Null, empty and letterless texts give ``und`` with score 0 and no spans, as does a model without
-    languages. Rows that repeat are labelled each; a null doc_id stays null; other columns are ignored."""
-    langs, n = model.langs, len(model.langs)
+    lang_pred is the language with most letters in its spans (ties: alphabetic), score its share of the letters. Null,
+    empty and letterless texts give ``und`` with score 0 and no spans, as does a model without languages. Rows that repeat
+    are labelled each; a null doc_id stays null; an empty table gives no rows; other columns are ignored."""
 
     def run(batches):
-        names = pa.array(langs, pa.string())
+        names = pa.array(model.langs, pa.string())
         for batch in batches:
             for some in slices(batch, "text"):
-                codes, dictionary, offsets = words(some.column("text"))
-                rows = some.num_rows
-                seen = features(dictionary)
-                letters = seen.letters[codes]
-                text = np.repeat(np.arange(rows), np.diff(offsets))
-                total = np.bincount(text, letters, rows)
-                known = (total > 0) & (n > 0)
-                if n:
-                    labels = viterbi(word_scores(model, seen)[codes], offsets, penalty)
-                    by = np.bincount(text * n + labels, letters, rows * n).reshape(rows, n)
-                    best = by.argmax(1)
-                    score = np.where(known, by[np.arange(rows), best] / np.maximum(total, 1), 0.0)
-                    change = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])])) if len(labels) else np.zeros(0, np.int64)
-                    change = change[known[text[change]]]
-                    past = np.append(change[1:], 0)
-                    same = np.append(text[change[1:]] == text[change[:-1]], False) if len(change) else np.zeros(0, bool)
-                    past = np.where(same, past, offsets[text[change] + 1]) if len(change) else np.zeros(0, np.int64)
-                    first = (change - offsets[text[change]]).astype(np.int32)
-                    parts = [pa.array(first), pa.array((past - offsets[text[change]]).astype(np.int32)), names.take(pa.array(labels[change]))]
-                    spans = pa.StructArray.from_arrays(parts, ["first", "past", "lang"])
-                    cuts = np.concatenate([[0], np.cumsum(np.bincount(text[change], minlength=rows))]).astype(np.int32)
-                    pred = pc.if_else(pa.array(known), names.take(pa.array(best)), pa.scalar("und"))
-                else:
-                    spans = pa.array([], pa.struct([("first", pa.int32()), ("past", pa.int32()), ("lang", pa.string())]))
-                    cuts, score, pred = np.zeros(rows + 1, np.int32), np.zeros(rows), pa.array(["und"] * rows)
-                out = [some.column("doc_id"), pred, pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), spans)]
+                found = label_texts(model, some.column("text"), penalty)
+                text, first, past, lang = found.spans
+                parts = [pa.array(first.astype(np.int32)), pa.array(past.astype(np.int32)), names.take(pa.array(lang))]
+                spans = pa.StructArray.from_arrays(parts, ["first", "past", "lang"])
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=some.num_rows))]).astype(np.int32)
+                out = [some.column("doc_id"), pa.array(found.pred), pa.array(found.score), pa.ListArray.from_arrays(pa.array(cuts), spans)]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, RESULT)
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, penalty: float = 8.0) -> DataFrame:
+    """``docs`` without the rows that ``label`` rejects: no language, or none with ``least_score`` of the letters; all columns stay."""
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, "text"):
+                found = label_texts(model, some.column("text"), penalty)
+                yield some.filter(pa.array((found.score >= least_score) & (np.array(found.pred) != "und")))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -166,16 +166,17 @@ def text_node() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-ABSENT = -(1 << 63)
+ABSENT, LAST = -(1 << 63), (1 << 63) - 1
 
 
 def similarity_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
-    """Near-duplicate classes of ``docs`` (doc_id, text): one row per row, (doc_id, node, class_id, n_links, text_links).
+    """Near-duplicate classes of ``docs`` (doc_id, text): one row per row, (doc_id, node, class_id, n_links,
+    text_links, stays).
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams (lower case, split at white space; fewer
     than n words are one gram) is at least ``threshold``. class_id is the least doc_id of all documents linked directly or
     through others. n_links counts the other documents linked to a document, copies included; text_links the different
-    texts. Null, empty and blank texts have no n-grams and link to nothing: each is a class of its own. A null doc_id
+    texts; stays marks the document with the class's id. Null, empty and blank texts have no n-grams and link to nothing: each is a class of its own. A null doc_id
     gives a null class_id unless its class has another id; repeated rows are copies; other columns are ignored."""
     bands, rows = choose_bands(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,15 +205,30 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     verified = cut(spread.select("root", "i", "j", "node", "copies", "block", "text").mapInArrow(_verify(n, threshold), VERIFIED))
     links = verified.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     linked = components(verified.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    # a class goes by its least id, a text without id coming last, and by that id's least text
+    order = F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node")
     firsts = linked.join(texts.select("node", "first"), "node")
-    class_of = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("node", "class_first")
+    heads = firsts.groupBy("root").agg(F.min(order).alias("head"))
+    class_of = firsts.join(heads, "root").select("node", "head")
     info = texts.select("node", "first", "copies").join(class_of, "node", "left").join(links, "node", "left")
     info = info.where("copies > 1 OR links > 0").select(
-        "node", F.coalesce("class_first", "first").alias("class"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"),
+        "node", F.coalesce("head", order).alias("head"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n"),
         F.coalesce("links", F.lit(0)).alias("t"),
     )
     out = signed.select("doc_id", "node").join(info, "node", "left")
+    class_id = F.when(F.col("head").isNull(), F.col("doc_id")).when(F.col("head.first") != LAST, F.col("head.first"))
+    is_head = (F.col("head.node") == F.col("node")) & (F.coalesce("doc_id", F.lit(LAST)) == F.col("head.first"))
     return out.select(
-        "doc_id", "node", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("t", F.lit(0)).cast("long").alias("text_links"),
+        "doc_id", "node", class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("t", F.lit(0)).cast("long").alias("text_links"), F.coalesce(is_head, F.lit(True)).alias("stays"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
+    """``docs`` with one document of each class of ``similarity_join``, that with the least doc_id; all columns stay.
+
+    Texts without words are kept; of rows with equal ids and texts, one."""
+    gone = similarity_join(docs, threshold, n, recall).where(~F.col("stays")).select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("node").alias("_node")).distinct()
+    text = F.col("text").cast("string")
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_node": F.unhex(F.md5(F.coalesce(text, F.lit(""))))})
+    return rows.join(gone, ["_id", "_node"], "left_anti").dropDuplicates(["_id", "_node"]).select(*docs.columns)

@@ -130,7 +130,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node")
+    return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node", "stays")
 
 
 QUERIES = {
