@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError(f"min_words must be in {GRAM + 1}..{GRAM + 63}")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key())
     seeds = stash(base.select("key", "text").mapInArrow(_seeds(min_words), "key long, pos int, seed long"), "seeds")
-    again = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # written first, so that both sides of the join are plain shuffles, of which Spark can split a partition with a hot k-gram
+    again = stash(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "again")
     places = seeds.join(again, "seed").groupBy("key").agg(F.collect_set("pos").alias("places"))
     near = base.join(places, "key").select("doc_id", "key", "text", "places")
     suffixes = stash(near.mapInArrow(_contexts(min_words), SUFFIXES), "suffixes")
