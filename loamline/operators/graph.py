@@ -30,9 +30,8 @@ def callers(calls: DataFrame, targets: DataFrame, context: str | None = None) ->
 def second_hop(calls: DataFrame, hits: DataFrame, limit: int = SECOND_HOP_SHOWN) -> DataFrame:
     """Callers of the callers, if these are few: distinct (caller, path), without call sites of the first hop."""
     first = hits.where("caller IS NOT NULL").select("caller").distinct()
-    few = first.agg((F.count("*") <= SECOND_HOP_FROM).alias("few"))
-    start = first.crossJoin(F.broadcast(few)).where("few").select(F.col("caller").alias("via"))  # one row; then at most ten
-    found = calls.join(F.broadcast(start), calls["callee"] == start["via"]).join(hits.select("path", "line").distinct(), ["path", "line"], "left_anti")
+    start = first.where(first.agg(F.count("*") <= SECOND_HOP_FROM).scalar()).select(F.col("caller").alias("via"))
+    found = calls.join(start, calls["callee"] == start["via"]).join(hits.select("path", "line").distinct(), ["path", "line"], "left_anti")
     return found.where("caller IS NOT NULL").groupBy("caller", "path").agg(F.min("line").alias("line"), F.min("via").alias("via")).orderBy("path", "line", "caller").limit(limit)
 
 
@@ -160,10 +159,9 @@ def dependencies(path: str, resolved: DataFrame, calls: DataFrame, symbols: Data
     using = edges.where((F.col("target_path") == path) & (F.col("path") != path)).groupBy("path").agg(F.array_sort(F.collect_set("callee")).alias("names"))
     importing = resolved.where((F.col("target") == path) & (F.col("path") != path)).select("path").distinct()
     using = importing.join(using, "path", "full").select("path", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
-    total = using.agg(F.count("*").alias("total"))
     here = "/".join(path.split("/")[:-1])
     order = [names.parent(F.col("path")) != here, names.is_test_path(F.col("path")), F.col("path")]
-    dependents = using.orderBy(*order).limit(DEPENDENTS).crossJoin(F.broadcast(total))  # one row
+    dependents = using.orderBy(*order).limit(DEPENDENTS).withColumn("total", using.agg(F.count("*")).scalar())
     return {"local": local, "external": external_modules(resolved.where(F.col("path") == path)), "exports": exports, "dependents": dependents}
 
 

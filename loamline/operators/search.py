@@ -116,10 +116,7 @@ def symbol_hits(files: DataFrame, symbols: DataFrame, name: str, glob: str | Non
 
 
 def ranked(hits: DataFrame, q: str, as_of: Column, context: str | None = None) -> DataFrame:
-    """Hits with score, stratum, place in the total order, and the number of all hits.
-
-    The order is found without one task that holds all hits: ranges of the sort key are counted, and a hit's place is its
-    place in its range and the hits of all ranges before."""
+    """Hits with score and stratum, the keys of the total order."""
     return hits.withColumns({"score": rank.score(q, as_of, context), "stratum": rank.stratum()})
 
 
@@ -131,20 +128,19 @@ def top(hits: DataFrame, limit: int = SHOWN) -> DataFrame:
     """First ``limit`` of ranked hits, with ``place`` and ``total_found``; Spark keeps the best of each partition and merges these."""
     best = hits.orderBy(*[make(key) for make, key in zip(ORDER, KEYS, strict=True)]).limit(limit)
     place = F.row_number().over(Window.orderBy(*[make(key) for make, key in zip(ORDER, KEYS, strict=True)]))  # of ``limit`` rows
-    return best.withColumn("place", place).crossJoin(F.broadcast(hits.agg(F.count("*").alias("total_found"))))  # one row
+    return best.withColumn("place", place).withColumn("total_found", hits.agg(F.count("*")).scalar())
 
 
 def facets(hits: DataFrame, packages: DataFrame) -> DataFrame:
     """Hits with their facet: implementation, definition, test, local or other, by the package of the first definition in rank order."""
     owned = hits.join(packages, "path", "left")
     order = F.struct("stratum", (-F.col("score")).alias("s"), "path", "line")
-    first = owned.where("is_definition").agg(F.min_by("package", order).alias("home"))
-    local = F.col("package") == F.col("home")
+    local = F.col("package") == owned.where("is_definition").agg(F.min_by("package", order)).scalar()
     facet = (
         F.when(F.col("is_definition") & F.col("impl_target").isNotNull(), "implementation").when(F.col("is_definition"), "definition")
         .when(text.is_test_hit(F.col("path"), F.col("text")), "test").when(F.coalesce(local, F.lit(False)), "local").otherwise("other")
     )
-    return owned.crossJoin(F.broadcast(first)).withColumn("facet", facet).drop("home")  # one row
+    return owned.withColumn("facet", facet)
 
 
 def facet_totals(faceted: DataFrame) -> DataFrame:
@@ -197,7 +193,7 @@ def glob_files(files: DataFrame, *globs: str, depth: int | None = None, limit: i
         some = some | text.matches_glob(F.col("path"), glob)
     hits = files.where(some & ~names.in_skipped_dir(F.col("path")))
     hits = hits.where(names.depth(F.col("path")) <= depth) if depth else hits
-    return hits.select("path", "size").orderBy("path").limit(limit).crossJoin(F.broadcast(hits.agg(F.count("*").alias("total_found"))))  # one row
+    return hits.select("path", "size").orderBy("path").limit(limit).withColumn("total_found", hits.agg(F.count("*")).scalar())
 
 
 def extensions(files: DataFrame, limit: int = 10) -> DataFrame:
