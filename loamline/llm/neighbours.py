@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut
+from loamline.llm.common import cut, release
 
 LEAF = 256
 MOST_ROUNDS = 40
@@ -148,16 +148,20 @@ def _local_join(batches):
             yield pa.RecordBatch.from_arrays([pa.array(member[a]), pa.array(member[b]), pa.array(d[a, b].astype(np.float32))], ["v", "u", "d"])
 
 
-def build_graph(nodes: DataFrame, count: int, degree: int = 30, sample: int = 12, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
-    """Neighbour graph (v, nb: array of (d, u, new)) of ``nodes`` (node, vec): about the ``degree`` nearest of each.
-
-    Rounds end after ``rounds``, or when they change fewer than ``least_share`` of the list entries."""
+def coded(nodes: DataFrame) -> DataFrame:
+    """(id, code) of ``nodes``."""
 
-    def coded(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(to_codes(matrix(batch.column("vec"), np.float32)), pa.binary())], ["id", "code"])
 
-    codes = cut(nodes.mapInArrow(coded, "id long, code binary"))
+    return cut(nodes.mapInArrow(run, "id long, code binary"))
+
+
+def build_graph(nodes: DataFrame, codes: DataFrame, count: int, degree: int = 30, sample: int = 10, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
+    """Neighbour graph (v, nb: array of (d, u, new)) of ``nodes`` (node, vec): about the ``degree`` nearest of each.
+
+    Rounds end after ``rounds``, or when they change fewer than ``least_share`` of the list entries."""
     first = _leaves(nodes, count, trees, min(10, degree)).withColumn("new", F.lit(True))
     graph = cut(_nearest_lists(first, degree))
     for number in range(rounds):
@@ -185,6 +189,7 @@ def build_graph(nodes: DataFrame, count: int, degree: int = 30, sample: int = 12
             F.lit(False).alias("came"),
         )
         graph = cut(_nearest_lists(kept.drop("came").union(proposed), degree))
+        release(nodes.sparkSession)
         fresh = graph.select(F.sum(F.size(F.filter("nb", lambda e: e["new"]))).alias("n")).first()[0] or 0
         if fresh < least_share * count * degree:
             break
@@ -199,60 +204,76 @@ def adjacency(graph: DataFrame, degree: int) -> DataFrame:
     return links.select("v", "u").union(back).groupBy("v").agg(F.collect_set("u").alias("near"))
 
 
-STATE = "query long, vec array<double>, ids array<long>, ds array<double>, open array<boolean>, seen array<long>, want array<long>"
+STATE = "query long, code binary, ids array<long>, ds array<float>, open array<boolean>, seen array<long>, want array<long>"
 
 
 def _merge(beam: int, spread: int):
     """Measure a query's new nodes, keep the best ``beam``, and choose what to expand: the nearest ``spread`` unexpanded."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in runs(batches, ["query"]):
-            states = batch.column("vec").is_valid().to_numpy(zero_copy_only=False)
+            states = batch.column("ids").is_valid().to_numpy(zero_copy_only=False)
             at = int(np.flatnonzero(states)[0])
-            x = np.array(batch.column("vec")[at].as_py())
+            code = batch.column("code")[at].as_py()
             take = lambda name, kind: np.array(batch.column(name)[at].as_py(), kind)
-            ids, ds, free, seen = take("ids", np.int64), take("ds", np.float64), take("open", bool), take("seen", np.int64)
+            ids, ds, free, seen = take("ids", np.int64), take("ds", np.float32), take("open", bool), take("seen", np.int64)
             more = batch.filter(pa.array(~states))
-            node = more.column("node").to_numpy()
-            node, first = np.unique(node, return_index=True)
+            node, first = np.unique(more.column("node").to_numpy(), return_index=True)
             some = ~np.isin(node, seen)
             node, first = node[some], first[some]
             if len(node):
-                y = matrix(more.column("other").take(pa.array(first)))
-                ids, ds = np.concatenate([ids, node]), np.concatenate([ds, ((y - x) ** 2).sum(1)])
+                y = from_codes(more.column("code").take(pa.array(first)).to_pylist())
+                ids, ds = np.concatenate([ids, node]), np.concatenate([ds, ((y - from_codes([code])) ** 2).sum(1)])
                 free, seen = np.concatenate([free, np.ones(len(node), bool)]), np.union1d(seen, node)
             best = np.lexsort((ids, ds))[:beam]
             ids, ds, free = ids[best], ds[best], free[best]
             want = np.flatnonzero(free)[:spread]
             free[want] = False
-            row = [[int(batch.column("query")[at].as_py())], [x], [ids], [ds], [free], [seen], [ids[want]]]
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds, strict=True)], [c.split()[0] for c in STATE.split(", ")])
+            row = [[batch.column("query")[at].as_py()], [code], [ids], [ds], [free], [seen], [ids[want]]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds, strict=True)], names)
 
     return run
 
 
-def search(queries: DataFrame, nodes: DataFrame, near: DataFrame, beam: int = 192, spread: int = 96, entries: int = 32) -> DataFrame:
-    """Greedy graph search: (query, ids, ds) with the ``beam`` nearest nodes found for each of ``queries`` (query, node, vec).
+def search(queries: DataFrame, codes: DataFrame, near: DataFrame, beam: int = 192, spread: int = 96, entries: int = 32) -> DataFrame:
+    """Greedy graph search: (query, ids) with the ``beam`` nearest nodes found for each of ``queries`` (query, node, code), by 8-bit codes.
 
     A search begins at ``entries`` nodes drawn by hash, which all queries share, and at the query's own ``node`` if it has one."""
-    starts = [r[0] for r in nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(entries).collect()]
-    empty = {"ids": "array<long>", "ds": "array<double>", "open": "array<boolean>", "seen": "array<long>"}
-    state = queries.select("query", "vec", *[F.array().cast(t).alias(n) for n, t in empty.items()])
+    starts = [r[0] for r in codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
+    empty = {"ids": "array<long>", "ds": "array<float>", "open": "array<boolean>", "seen": "array<long>"}
+    state = queries.select("query", "code", *[F.array().cast(t).alias(n) for n, t in empty.items()])
     own = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array().cast("array<long>"))
     asked = queries.select("query", F.explode(F.array_distinct(F.concat(own, F.array(*[F.lit(s) for s in starts]).cast("array<long>")))).alias("node"))
     for _ in range(MOST_ROUNDS):
-        measured = asked.join(nodes.select("node", F.col("vec").alias("other")), "node").select("query", "node", "other")
-        rows = state.select("query", "vec", "ids", "ds", "open", "seen", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("other"))
-        blank = [F.lit(None).cast(t).alias(n) for n, t in {"vec": "array<double>", **empty}.items()]
-        rows = rows.union(measured.select("query", *blank, "node", "other"))
+        measured = asked.join(codes, asked["node"] == codes["id"]).select("query", "code", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "node")
+        rows = state.select("query", "code", *empty, F.lit(None).cast("long").alias("node")).union(measured)
         state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(beam, spread), STATE))
+        release(queries.sparkSession)
         going = state.where(F.size("want") > 0)
-        asked = going.select("query", "seen", F.explode("want").alias("v")).join(near, "v")
         if going.isEmpty():
             break
-        asked = asked.select("query", F.explode(F.array_except("near", "seen")).alias("node")).distinct()
-    return state.select("query", "ids", "ds")
+        reached = going.select("query", F.explode("want").alias("v")).join(near, "v").select("query", F.explode("near").alias("node"))
+        sets = reached.groupBy("query").agg(F.collect_set("node").alias("nodes")).join(going.select("query", "seen"), "query")
+        asked = sets.select("query", F.explode(F.array_except("nodes", "seen")).alias("node"))
+    return state.select("query", "ids")
+
+
+def measured(found: DataFrame, nodes: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query, node, d): squared distances in double precision from the original vectors, the ``most`` nearest of each ``found`` list."""
+    pairs = found.select("query", F.explode("ids").alias("node")).join(nodes, "node").select("query", "node", "vec", F.lit(False).alias("asks"))
+    rows = pairs.union(queries.select("query", F.lit(None).cast("long"), "vec", F.lit(True)))
+
+    def run(batches):
+        for batch in runs(batches, ["query"]):
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            x, y = matrix(batch.filter(pa.array(asks)).column("vec"))[:1], batch.filter(pa.array(~asks))
+            node, d = y.column("node").to_numpy(), ((matrix(y.column("vec")) - x) ** 2).sum(1) if y.num_rows else np.zeros(0)
+            best = np.lexsort((node, d))[:most]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query")[0].as_py(), len(best)), pa.int64()), pa.array(node[best], pa.int64()), pa.array(d[best])], ["query", "node", "d"])
+
+    return rows.repartition("query").sortWithinPartitions("query").mapInArrow(run, "query long, node long, d double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 30, rounds: int = 4, beam: int = 192) -> DataFrame:
@@ -266,13 +287,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 3
     rows = usable(vectors).distinct()
     nodes, members = distinct_nodes(rows, k + 1)
     count = nodes.count()
-    near = cut(adjacency(build_graph(nodes, count, degree=degree, rounds=rounds), degree))
+    codes = coded(nodes)
+    near = cut(adjacency(build_graph(nodes, codes, count, degree=degree, rounds=rounds), degree))
+    release(vectors.sparkSession)
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "vec")
     known = asked.join(nodes.select("node", F.col("vec").alias("same")), asked["vec"] == F.col("same"), "left")
     # queries with equal vectors are searched once
-    begun = known.where("node IS NOT NULL").select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"])
-    found = search(begun, nodes, near, beam=max(beam, 2 * k))
-    pairs = found.select("query", F.explode(F.slice(F.arrays_zip("ids", "ds"), 1, k + 1)).alias("p")).select("query", F.col("p.ids").alias("node"), F.col("p.ds").alias("d"))
+    begun = cut(known.where("node IS NOT NULL").select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"]))
+    found = search(begun.join(codes, begun["query"] == codes["id"]).select("query", "node", "code"), codes, near, beam=max(beam, 2 * k))
+    pairs = measured(found, nodes, begun.select("query", "vec"), k + 1)
     hits = known.select("query_id", F.col("node").alias("query")).join(pairs, "query").join(members, "node").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
