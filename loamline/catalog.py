@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loamline.plans import corpus_queries, run_queries
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = corpus_queries.QUERIES | run_queries.QUERIES
+SQL = corpus_queries.SQL | run_queries.SQL
+flagship = corpus_queries.flagship
