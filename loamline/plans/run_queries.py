@@ -12,7 +12,7 @@ SQL: dict[str, str] = {}
 
 # Line items as runs of an experiment: arms by return flag, correct by line status.
 RUNS_SQL = """WITH runs AS (SELECT 't' || (l_partkey % 50) AS task, CASE l_returnflag WHEN 'A' THEN 'baseline' WHEN 'N' THEN 'forced' ELSE 'mixed' END AS mode, 'm' || (l_suppkey % 3) AS model, l_linenumber AS repetition,
-  l_extendedprice / 50000 AS total_cost_usd, l_linestatus = 'F' AS correct, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS run_id, CAST(l_quantity * 10 AS BIGINT) AS output_tokens, CAST(l_quantity AS INTEGER) % 23 AS num_tool_calls,
+  l_extendedprice / 50000 AS total_cost_usd, l_linestatus = 'F' AS correct, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS run_id, CAST(l_quantity * 10 AS BIGINT) AS output_tokens, CAST(l_quantity AS INTEGER) % 23 AS num_tool_calls,
   CASE WHEN l_orderkey % 97 = 0 THEN 'Timeout after 90 s' WHEN l_orderkey % 89 = 0 THEN 'budget gone' WHEN l_orderkey % 83 = 0 THEN 'crash' END AS error,
   CASE l_orderkey % 6 WHEN 0 THEN 'Missing: alpha' WHEN 1 THEN 'Contains forbidden: beta' WHEN 2 THEN 'Test failed: gamma' WHEN 3 THEN 'No changes in target file' WHEN 4 THEN '' ELSE 'odd' END AS correctness_reason,
   [CAST(l_quantity AS BIGINT), CAST(l_quantity AS BIGINT) * 12 // 10, CAST(l_quantity AS BIGINT) * 12 // 10 + CAST(l_quantity AS BIGINT) * l_linenumber // 20] AS turns FROM lineitem)
@@ -39,7 +39,7 @@ def all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.concat(F.lit("t"), (c("l_partkey") % 50).cast("string")).alias("task"), F.when(c("l_returnflag") == "A", "baseline").when(c("l_returnflag") == "N", "forced").otherwise("mixed").alias("mode"),
         F.concat(F.lit("m"), (c("l_suppkey") % 3).cast("string")).alias("model"), F.lit(None).cast("string").alias("model_alias"), c("l_linenumber").alias("repetition"),
-        (c("l_extendedprice") / 50000).alias("total_cost_usd"), (c("l_linestatus") == "F").alias("correct"), ((order * 10 + c("l_linenumber")) * 1_000_000 + c("l_partkey")).alias("run_id"), (q * 10).cast("long").alias("output_tokens"),
+        (c("l_extendedprice") / 50000).alias("total_cost_usd"), (c("l_linestatus") == "F").alias("correct"), (((order * 10 + c("l_linenumber")) * 100_000 + c("l_partkey")) * 10_000 + c("l_suppkey")).alias("run_id"), (q * 10).cast("long").alias("output_tokens"),
         (q.cast("int") % 23).alias("num_tool_calls"), F.create_map(F.lit("read"), q.cast("int") % 7, F.lit("search"), q.cast("int") % 5).alias("tool_calls"),
         F.when(order % 97 == 0, "Timeout after 90 s").when(order % 89 == 0, "budget gone").when(order % 83 == 0, "crash").alias("error"), F.element_at(reasons, (order % 6 + 1).cast("int")).alias("correctness_reason"),
         F.array(whole, F.floor(whole * 12 / 10), F.floor(whole * 12 / 10) + F.floor(whole * c("l_linenumber") / 20)).alias("per_turn_output_tokens"),
