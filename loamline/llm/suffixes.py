@@ -251,6 +251,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     merged = verdicts.groupBy("seed", "class").agg(
         F.bit_or("repeats").alias("repeats"), F.bit_or("firsts").alias("firsts"), F.min(F.struct("first_doc", "first_pos")).alias("at")
     )
+    merged = stash(merged, "verdicts")  # again so that the join can split a class that many suffixes have
     hits = suffixes.select("doc_id", "key", "pos", "seed", "class").join(merged, ["seed", "class"])
     first = (F.col("doc_id") == F.col("at.first_doc")) & (F.col("pos") == F.col("at.first_pos"))
     cut = F.when(first, F.col("repeats").bitwiseAND(F.bitwise_not(F.col("firsts")))).otherwise(F.col("repeats"))
