@@ -96,9 +96,9 @@ def task_deltas(spark, sf_dir):
     return runs.task_deltas(pairs(spark, sf_dir)).select("task", "pairs", F.round("delta", 6).alias("delta"))
 
 
-@query("cost_deltas", RUNS_SQL + f", {_PAIRS} SELECT task, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / a, 6) AS delta FROM (SELECT task, sum(acost) / nullif(count(*) FILTER (ac), 0) AS a, sum(bcost) / nullif(count(*) FILTER (bc), 0) AS b FROM p GROUP BY task)")
+@query("cost_deltas", RUNS_SQL + f", {_PAIRS} SELECT task, round(a, 4) AS a, round(b, 4) AS b, round((b - a) / a, 4) AS delta FROM (SELECT task, sum(acost) / nullif(count(*) FILTER (ac), 0) AS a, sum(bcost) / nullif(count(*) FILTER (bc), 0) AS b FROM p GROUP BY task)")
 def cost_deltas(spark, sf_dir):
-    return runs.cost_deltas(pairs(spark, sf_dir)).select("task", *[F.round(c, 6).alias(c) for c in ("a", "b", "delta")])
+    return runs.cost_deltas(pairs(spark, sf_dir)).select("task", *[F.round(c, 4).alias(c) for c in ("a", "b", "delta")])
 
 
 @query("transitions", RUNS_SQL + f", {_PAIRS} SELECT count(*) FILTER (ac AND bc) AS both, count(*) FILTER (ac AND NOT bc) AS lost, count(*) FILTER (NOT ac AND bc) AS gained, count(*) FILTER (NOT ac AND NOT bc) AS neither FROM p")
