@@ -16,7 +16,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), one of our own.
+
+    Also turns off a setting of Spark 4.1 under which a repartition of a union is dropped when adaptive execution has
+    coalesced both sides to one partition, so that rows of one key reach two tasks."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -37,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints of rounds that are over, rather than when memory next runs short."""
     gc.collect()

@@ -30,6 +30,7 @@ CLOSE_P = BLOCK - {"html", "body", "option", "optgroup", "tr", "caption", "legen
 SCOPE = set("html table td th caption button object template marquee applet".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = {"thead", "tbody", "tfoot"}
+STRUCTURE = {"table", "tr", "colgroup", *SECTIONS}
 #: Opening a tag closes these open ones, no further out than the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"} | SCOPE),
@@ -74,12 +75,13 @@ def parse(source: str) -> Element:
 
     def insert(node) -> None:
         where = stack[-1]
-        if where.tag in ("table", "tr") or where.tag in SECTIONS:  # text and other content there stands before the table
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0)
-            if at:
-                siblings = stack[at - 1].children
-                siblings.insert(len(siblings) - 1 if siblings and siblings[-1] is stack[at] else len(siblings), node)
-                return
+        if where.tag in STRUCTURE:  # text and other content there stands before the table
+            k = len(stack) - 1
+            while stack[k].tag in STRUCTURE and k:
+                k -= 1
+            siblings = stack[k].children
+            siblings.insert(next((i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is stack[k + 1]), len(siblings)), node)
+            return
         where.children.append(node)
 
     def push(tag: str, attrs: dict[str, str] | None = None, foster: bool = False) -> None:
@@ -155,6 +157,8 @@ def parse(source: str) -> Element:
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
             body = True
+        if tag == "table" and stack[-1].tag in STRUCTURE:  # a table cannot be there: it ends the one before
+            close({"table"}, {"td", "th", "caption"})
         if tag in CLOSE_P:
             close({"p"}, SCOPE)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, gram_hashes, mix, slices, stash, word_hashes, words
+from loamline.llm.common import cut, gram_hashes, mix, slices, stash, unused, word_hashes, words
 from loamline.llm.components import components
 
 BLOCK = 256
@@ -228,7 +228,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float
     """``docs`` with one document of each class of ``similarity_join``, that with the least doc_id; all columns stay.
 
     Texts without words are kept; of rows with equal ids and texts, one."""
-    gone = similarity_join(docs, threshold, n, recall).where(~F.col("stays")).select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("node").alias("_node")).distinct()
+    key, node = unused(docs, "_id", "_node")
+    gone = similarity_join(docs, threshold, n, recall).where(~F.col("stays")).select(F.coalesce("doc_id", F.lit(LAST)).alias(key), F.col("node").alias(node)).distinct()
     text = F.col("text").cast("string")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_node": F.unhex(F.md5(F.coalesce(text, F.lit(""))))})
-    return rows.join(gone, ["_id", "_node"], "left_anti").dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), node: F.unhex(F.md5(F.coalesce(text, F.lit(""))))})
+    return rows.join(gone, [key, node], "left_anti").dropDuplicates([key, node]).select(*docs.columns)

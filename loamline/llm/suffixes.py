@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import gram_hashes, mix, slices, stash, word_hashes, words
+from loamline.llm.common import gram_hashes, mix, slices, stash, unused, word_hashes, words
 
 GRAM = 15
 
@@ -264,25 +264,26 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with all but the first occurrence of each repeated passage cut from ``text``; all other columns stay.
 
     Words go with the white space after them; texts without cuts stay as they are, texts left without words are dropped."""
-    spans = repeated_spans(docs, min_words).where(F.size("cuts") > 0).select(F.col("key").alias("_key"), F.col("cuts").alias("_cuts"))
+    key, own = unused(docs, "_key", "_cuts")
+    spans = repeated_spans(docs, min_words).where(F.size("cuts") > 0).select(F.col("key").alias(key), F.col("cuts").alias(own))
     # rows that repeat have one key and the same cuts
-    spans = spans.dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = rows.join(spans, "_key", "left")
+    spans = spans.dropDuplicates([key])
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = rows.join(spans, key, "left")
 
     def cut(batches):
         for batch in batches:
-            texts, cuts = batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()
+            texts, cuts = batch.column("text").to_pylist(), batch.column(own).to_pylist()
             keep = []
-            for k, own in enumerate(cuts):
-                if own:
+            for k, some in enumerate(cuts):
+                if some:
                     at = [m.start() for m in re.finditer(r"\S+", texts[k])] + [len(texts[k])]
                     parts, last = [], 0
-                    for c in own:
+                    for c in some:
                         parts.append(texts[k][last : at[c["first"]]])
                         last = at[c["past"]]
                     texts[k] = "".join([*parts, texts[k][last:]])
-                keep.append(not own or bool(texts[k].strip()))
+                keep.append(not some or bool(texts[k].strip()))
             columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
 
