@@ -140,6 +140,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 1e-3
 
     rows = sample.select("text", "lang").mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r[0] for r in rows})
+    if not langs:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(NAMES), len(langs)))
     for lang, bucket, n in rows:
         if bucket >= 0:

@@ -109,7 +109,7 @@ class ArchiveWriter:
         self.codec = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.fs.create_dir(self.base, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}", compression=None)
         packed = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
         self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
         self.count = self.size = 0
@@ -137,7 +137,7 @@ class ArchiveWriter:
 def read_archive(uri: str):
     """Records of an archive, one at a time."""
     fs, path = open_folder(uri)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         magic, size = struct.unpack("<II", stream.read(8))
         if magic != DICTIONARY_MAGIC:
             raise ValueError(f"{uri} does not begin with a dictionary")
