@@ -46,8 +46,8 @@ def median_of_medians(runs: DataFrame, metric: str, outer: list[str], inner: lis
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """Wilson interval of a proportion; (0, 1) for no trials."""
-    n = n.cast("double")
-    p, zz = successes / F.nullif(n, F.lit(0.0)), Z * Z
+    n, zz = F.nullif(n.cast("double"), F.lit(0.0)), Z * Z
+    p = successes / n
     middle = (p + zz / (2 * n)) / (1 + zz / n)
     half = F.lit(Z) * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.coalesce(F.greatest(F.lit(0.0), middle - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), middle + half), F.lit(1.0))

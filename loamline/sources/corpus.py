@@ -29,7 +29,8 @@ def walk(root: str) -> Iterator[tuple[str, int, float]]:
             folders[:] = []
             continue
         seen.add(real)
-        folders[:] = sorted(d for d in folders if d not in names.SKIPPED_DIRS)
+        # links come last, so that a folder is walked by its own name
+        folders[:] = sorted((d for d in folders if d not in names.SKIPPED_DIRS), key=lambda d: (os.path.islink(os.path.join(folder, d)), d))
         for name in sorted(files):
             path = os.path.join(folder, name)
             if os.path.isfile(path):

@@ -10,7 +10,7 @@ import ast
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,7 @@ HEADS = {
         (r"(?:export\s+)?(?:declare\s+)?type\s+(\w+)\s*(?:<[^=]*>)?=", "type"),
         (r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", "function"),
         (r"(?:export\s+)?(?:const|let|var)\s+(\w+)", "variable"),
+        (r"(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{]+)?(?=\{)", "method"),
     ],
     "java": [
         (r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|open|data|case|override)\s+)*(?:class|record|object)\s+(\w+)", "class"),
@@ -137,7 +138,7 @@ def _python(path: str, content: str) -> list[dict]:
                     if isinstance(target, ast.Name):
                         out.append({"row": "symbol", "kind": "assignment", "name": target.id, "parent": None, "start_line": child.lineno, "end_line": child.end_lineno, "signature": source[child.lineno - 1].strip(), "exported": not target.id.startswith("_"), "implements": []})
             elif isinstance(child, ast.Import):
-                out += [{"row": "import", "name": a.asname or a.name, "source": a.name, "start_line": child.lineno} for a in child.names]
+                out.extend({"row": "import", "name": a.asname or a.name, "source": a.name, "start_line": child.lineno} for a in child.names)
             elif isinstance(child, ast.ImportFrom):
                 out.append({"row": "import", "name": ",".join(a.name for a in child.names), "source": "." * child.level + (child.module or ""), "start_line": child.lineno})
             elif isinstance(child, ast.Call):
@@ -190,6 +191,8 @@ def _scanned(path: str, content: str, lang: str) -> list[dict]:
             if (m := pattern.match(line)) and m[1] not in NOT_CALLS:
                 end = _block_end(code, k, m.end(), lang)
                 outer = next((s for s in reversed(symbols) if s["start_line"] <= k + 1 <= s["end_line"] and s["kind"] in CONTAINERS), None)
+                if kin == "javascript" and kind == "method" and outer is None:
+                    continue  # a call with a block after it
                 if kind in ("variable", "constant") and any(s["start_line"] < k + 1 <= s["end_line"] and s["kind"] in ("function", "method") for s in symbols):
                     break
                 receiver = re.match(r"\s*func\s+\(\s*\w+\s+\*?(\w+)", line) if lang == "go" else None
@@ -230,17 +233,16 @@ def code_rows(files: DataFrame) -> DataFrame:
     """Definitions, imports and calls of the code files among ``files`` (path, content)."""
     kind = names.file_kind(F.col("path"))
     code = files.where(kind.startswith("code:") & F.col("content").isNotNull()).select("path", F.substr(kind, F.lit(6)).alias("lang"), "content")
-    columns = [c.split()[0] for c in ROWS.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ROWS.split(", "))])
 
     def run(batches):
         for batch in batches:
-            rows = [r for p, lang, c in zip(batch["path"], batch["lang"], batch["content"], strict=True) for r in extract(p, lang, c)]
-            frame = pd.DataFrame(rows, columns=columns).astype({"start_line": "Int32", "end_line": "Int32", "ord": "Int32"})
-            frame["exported"] = frame["exported"].astype("boolean")
-            frame["implements"] = [x if isinstance(x, list) else [] for x in frame["implements"]]
-            yield frame.astype({c: object for c in ("path", "lang", "row", "kind", "name", "parent", "owner", "signature", "source", "doc")}).where(lambda f: f.notna(), None)
+            columns = [batch.column(c).to_pylist() for c in ("path", "lang", "content")]
+            rows = [{"implements": [], **r} for p, lang, c in zip(*columns, strict=True) for r in extract(p, lang, c)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return code.mapInPandas(run, ROWS)
+    return code.mapInArrow(run, ROWS)
 
 
 def symbols(rows: DataFrame) -> DataFrame:
