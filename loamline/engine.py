@@ -175,6 +175,13 @@ class Engine:
         return diff.symbol_changes(diff.bodies(older.symbols, older.files), diff.bodies(self.symbols, self.files))
 
 
+    def diff(self, root: str, **source) -> dict[str, DataFrame]:
+        """A textual diff (see ``corpus.diff_text`` for its sources) as files, lines, and lines with the definition that they are in."""
+        body = corpus.diff_text(root, **source)
+        lines = diff.diff_lines(self.spark.createDataFrame([("diff", body)], "patch string, body string"))
+        return {"files": diff.file_changes(lines), "lines": lines, "attributed": diff.attributed(lines, self.symbols)}
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: dice(a, b), truncate_bytes(s, n), lex_identifiers(content, lang), and the table function corpus_symbols(path, content)."""
     from pyspark.sql.functions import pandas_udf, udtf

@@ -1,7 +1,10 @@
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from loamline.engine import Engine, InvalidQuery, NotFound, register_functions
+from loamline.sources import corpus
 
 FILES = {
     "a/core.py": "import os\n\n\ndef build(x):\n    return tidy(x)\n\n\ndef tidy(x):\n    return x\n",
@@ -50,6 +53,21 @@ def test_diff_of_two_versions(spark, engine):
     assert {(r["name"], r["change"]) for r in newer.diff_against(engine).where("change <> 'unchanged'").collect()} == {("tidy", "signature_changed")}
 
 
+def test_diff_of_a_working_tree(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "m.py").write_text("def f():\n    return 1\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "m.py").write_text("def f():\n    return 2\n")
+    out = Engine.of_tree(spark, str(tmp_path)).diff(str(tmp_path))
+    assert [(r["path"], r["status"], r["added"], r["removed"]) for r in out["files"].collect()] == [("m.py", "modified", 1, 1)]
+    assert {(r["kind"], r["symbol"]) for r in out["attributed"].collect()} == {("-", "f"), ("+", "f")}
+    assert [(r["subject"], r["author"]) for r in corpus.commits(spark, str(tmp_path), "HEAD").collect()] == [("one", "a")]
+    with pytest.raises(ValueError):
+        corpus.diff_text(str(tmp_path), named="--output=x")
+
+
 def test_functions(spark):
     register_functions(spark)
     row = spark.sql("SELECT dice('night', 'nacht') AS d, truncate_bytes('aé', 2) AS t, lex_identifiers('x = y # z', 'python') AS i").first()
