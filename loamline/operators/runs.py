@@ -346,3 +346,28 @@ def delta_label(old: Column, new: Column) -> Column:
 
 def prices(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, PRICES)
+
+
+def tool_sequence(calls: DataFrame, most: int = 80) -> DataFrame:
+    """(session, sequence): a session's calls (session, ord, tool, args) in order, arguments cut to ``most`` characters."""
+    short = F.when(F.length("args") > most, F.concat(F.left("args", F.lit(most)), F.lit("..."))).otherwise(F.coalesce("args", F.lit("")))
+    each = F.sort_array(F.collect_list(F.struct("ord", F.concat("tool", F.lit("("), short, F.lit(")")).alias("call"))))
+    return calls.groupBy("session").agg(F.transform(each, lambda x: x["call"]).alias("sequence"))
+
+
+def context_total(turns: Column) -> Column:
+    """Tokens of context over all turns."""
+    return F.aggregate(F.coalesce(turns, F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
+def stale_prices(as_of: str, today: Column, days: int = 30) -> Column:
+    """A warning where a price list is older than ``days``."""
+    age = F.datediff(today, F.lit(as_of).cast("date"))
+    return F.when(age > days, F.format_string(f"prices of {as_of} are %d days old", age))
+
+
+def manifest_drift(runs: DataFrame, manifest: DataFrame, columns: list[str]) -> DataFrame:
+    """(mode, column, expected, found, n): values of runs that are not those which the manifest (mode, columns) has for their mode."""
+    each = lambda side: F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))).alias("column", side)
+    both = runs.select("mode", each("found")).join(manifest.select("mode", each("expected")), ["mode", "column"])
+    return both.where(~F.col("found").eqNullSafe(F.col("expected"))).groupBy("mode", "column", "expected", "found").agg(F.count("*").alias("n"))

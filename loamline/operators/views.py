@@ -203,3 +203,39 @@ def smallest_that_fits(versions: list[str], budget: int) -> str:
         if -(-len(version.encode()) // 4) <= budget:
             return version
     return cut_to_budget(versions[-1], budget)[0]
+
+
+def read_many(files: DataFrame, wanted: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """(ord, path, found, mode, body, is_cut) of ``wanted`` (ord, path) in request order, at most twenty; the budget is shared evenly.
+
+    Paths that are no file have ``found`` false."""
+    n = wanted.limit(21).count()
+    if not 1 <= n <= 20:
+        raise ValueError("between one and twenty paths")
+    own = read_mode(files).select("path", "mode", "content", F.lit(True).alias("found"))
+    joined = wanted.join(own, "path", "left").select("ord", "path", F.coalesce("found", F.lit(False)).alias("found"), "mode", "content")
+    share = item_budget(budget, n)
+
+    def run(batches):
+        for batch in batches:
+            cut = [cut_to_budget(c, share) if isinstance(c, str) and m in ("full", "outline") else (None, False) for c, m in zip(batch["content"], batch["mode"], strict=True)]
+            yield batch.drop(columns="content").assign(body=[c[0] for c in cut], is_cut=[c[1] for c in cut])
+
+    return joined.mapInPandas(run, f"ord {dict(wanted.dtypes)['ord']}, path string, found boolean, mode string, body string, is_cut boolean").orderBy("ord")
+
+
+def expanded_hits(files: DataFrame, hits: DataFrame, around: int = 10, whole_below: int = 800) -> DataFrame:
+    """Lines shown for each expanded hit (path, line, start_line, end_line): the file if it is small, else the definition or some lines around."""
+    own = hits.join(files.select("path", "size"), "path")
+    whole = text.tokens_of_bytes(F.col("size")) < whole_below
+    first = F.when(whole, 1).otherwise(F.coalesce("start_line", F.greatest(F.col("line") - around, F.lit(1))))
+    last = F.when(whole, 1 << 30).otherwise(F.coalesce("end_line", F.col("line") + around))
+    spans = own.select("path", F.col("line").alias("hit_line"), first.alias("first"), last.alias("last"))
+    lines = text.lines(files.join(spans.select("path").distinct(), "path", "left_semi"), "path")
+    within = (F.col("s.path") == F.col("l.path")) & F.col("l.line").between(F.col("s.first"), F.col("s.last"))
+    return spans.alias("s").join(lines.alias("l"), within).select("s.path", "hit_line", "line", "text")
+
+
+def signatures(symbols: DataFrame, path: str) -> DataFrame:
+    """Definitions of one file as their first lines."""
+    return symbols.where(F.col("path") == path).select("start_line", "end_line", "kind", "signature").orderBy("start_line")

@@ -222,3 +222,14 @@ def test_budgets(spark):
 def test_names(spark):
     rows = spark.createDataFrame([(".env.local", True), (".env.example", False), ("id_rsa.pub", False), ("x/server.pem", True), ("a/credentials.yaml", True)], "path string, secret boolean")
     assert rows.where(names.is_secret_name(F.col("path")) != F.col("secret")).count() == 0
+
+
+def test_reading_many_and_expansion(spark, files, code):
+    wanted = spark.createDataFrame([(2, "shop/store.py"), (1, "nowhere.py"), (3, "bin.dat")], "ord int, path string")
+    out = [(r["ord"], r["path"], r["found"], r["mode"]) for r in views.read_many(files, wanted).collect()]
+    assert out == [(1, "nowhere.py", False, None), (2, "shop/store.py", True, "full"), (3, "bin.dat", True, "binary")]
+    with pytest.raises(ValueError):
+        views.read_many(files, wanted.limit(0))
+    hits = spark.createDataFrame([("shop/store.py", 9, 6, 9)], "path string, line int, start_line int, end_line int")
+    assert views.expanded_hits(files, hits).count() == 13 and [r["line"] for r in views.expanded_hits(files, hits, whole_below=0).orderBy("line").collect()] == [6, 7, 8, 9]
+    assert [r["signature"] for r in views.signatures(extract.symbols(code), "shop/store.py").collect()] == ["def open_store(path)", "def helper(x)"]

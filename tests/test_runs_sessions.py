@@ -72,3 +72,13 @@ def test_streams_give_the_batch_results(spark, tmp_path):
     query = streams.counters(stream).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("counted").count() >= 0
+
+
+def test_sequences_and_drift(spark):
+    calls = spark.createDataFrame([("s", 2, "read", "x" * 90), ("s", 1, "list", None)], "session string, ord int, tool string, args string")
+    assert runs.tool_sequence(calls).first()["sequence"] == ["list()", "read(" + "x" * 80 + "...)"]
+    own = spark.createDataFrame([("a", "h1"), ("a", "h2"), ("b", None)], "mode string, hash string")
+    plan = spark.createDataFrame([("a", "h1"), ("b", None)], "mode string, hash string")
+    assert [tuple(r) for r in runs.manifest_drift(own, plan, ["hash"]).collect()] == [("a", "hash", "h1", "h2", 1)]
+    row = spark.range(1).select(runs.context_total(F.array(F.lit(1), F.lit(2)).cast("array<long>")), runs.stale_prices("2024-01-01", F.lit("2024-02-15").cast("date")), runs.stale_prices("2024-01-01", F.lit("2024-01-15").cast("date"))).first()
+    assert tuple(row) == (3, "prices of 2024-01-01 are 45 days old", None)
