@@ -74,7 +74,7 @@ def test_clean_texts_stay(spark):
 
 def test_odd_rows(spark, odd_documents, no_documents, monkeypatch):
     items = spark.createDataFrame([(1, odd_documents.where("doc_id = 9").first()["text"]), (2, "x")], "item_id long, text string")
-    monkeypatch.setattr(dec, "BLOCK_BYTES", 10)  # items in several passes
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 200)  # items in several passes
     found = [(r["doc_id"], r["item_id"]) for r in dec.find_leaks(odd_documents, items).collect()]
     assert sorted(found) == [(1, 1)] * 3 + [(7, 2), (9, 1)]
     kept = dec.remove_leaks(odd_documents, items)
