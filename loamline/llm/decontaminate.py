@@ -3,12 +3,15 @@
 A random walk over a window's words repeats a word or goes on by a random bit of the word and the step, so that windows a few
 edits apart become strings a small Hamming distance apart. Each repetition has its own walk, its own place in the window
 where the walk begins, and its own sample of the walk's coordinates; windows that agree with an item on all sampled
-coordinates are candidates, verified by their exact word edit distance. The number of repetitions follows from the target
-recall and the collision rate measured on the items themselves under as many random edits as the threshold allows.
+coordinates are candidates, verified by their exact word edit distance. The number of repetitions follows, for each length
+of item, from the target recall and the collision rate measured on items of that length under as many random edits as the
+threshold allows. Short items, and lengths that no number of repetitions serves, have exact keys instead: cut into one piece
+more than the edits allowed, an item leaves at least one piece unchanged in every copy.
 """
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,20 +24,22 @@ from loamline.llm.common import MIX, mix, slices, word_hashes, words
 STEPS = 8
 SAMPLES = 4
 MOST_REPETITIONS = 64
-TRIALS = 400
+EXACT_BELOW = 15  #: items of fewer words have exact keys: their walks begin at too few places
+TRIALS = 1000
+TRIAL_CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20  #: items are taken in blocks of about so many bytes of text, each broadcast for one pass
 VERIFY_ROWS = 2048
 
 
 @dataclass
 class Items:
-    """Items of a block: ids, word hashes of all, offsets, edits allowed in each, and repetitions."""
+    """Items of a block: ids, word hashes of all, offsets, edits allowed in each, and repetitions of each (0: exact keys)."""
 
     ids: list
     hashes: np.ndarray
     offsets: np.ndarray
     edits: np.ndarray
-    repetitions: int
+    repetitions: np.ndarray
 
     def __len__(self):
         return len(self.ids)
@@ -66,39 +71,68 @@ def begin(items: Items, repetition: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds(repetition)[1] * (sizes - steps + 1)).astype(np.int64), steps
 
 
-def repetitions_for(hashes: list[np.ndarray], share: float, recall: float) -> int:
-    """Repetitions after which an item and a copy of it with as many edits as allowed have met with probability ``recall``."""
-    rng = np.random.default_rng(1)
-    pairs = []
-    for _ in range(TRIALS if hashes else 0):
-        x = hashes[rng.integers(len(hashes))]
-        y = list(x)
-        for _ in range(int(share * len(x))):
-            kind, at = rng.integers(3), rng.integers(max(len(y), 1))
-            if kind == 0:
-                y.insert(at, rng.integers(1 << 62))
-            elif kind == 1 and len(y) > 1:
-                del y[at]
-            elif y:
-                y[at] = rng.integers(1 << 62)
-        pairs.append((x, np.array(y, np.uint64)))
-    met = np.zeros(len(pairs), bool)
-    for r in range(MOST_REPETITIONS):
-        where = seeds(r)[1]
-        for k in np.flatnonzero(~met):
-            x, y = pairs[k]
-            steps = min(STEPS, len(x))
-            first = int(where * (len(x) - steps + 1))
-            a = item_keys(x, np.array([first]), np.array([steps]), r)
-            # the copy is met where the walk gives the same symbols, no further off than the edits can move it
-            reach = int(share * len(x))
-            starts = np.arange(max(first - reach, 0), max(min(first + reach, len(y) - steps) + 1, 0))
-            if len(starts):
-                b = item_keys(y, starts, np.full(len(starts), steps), r)
-                met[k] = np.logical_and.reduce([q == p for p, q in zip(a, b, strict=False)]).any()
-        if not len(met) or met.mean() >= recall:
-            return r + 1
-    return MOST_REPETITIONS
+def edited(rng: random.Random, x: list[int], edits: int) -> list[int]:
+    """A copy of ``x`` after so many random insertions, deletions and replacements."""
+    y = list(x)
+    for _ in range(edits):
+        kind, at = rng.randrange(3), rng.randrange(max(len(y), 1))
+        if kind == 0:
+            y.insert(at, rng.getrandbits(62))
+        elif kind == 1 and len(y) > 1:
+            del y[at]
+        elif y:
+            y[at] = rng.getrandbits(62)
+    return y
+
+
+def trials(x: np.ndarray, edits: int, rng: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(``TRIALS`` items drawn from rows of ``x``, an edited copy of each, padded, and the copies' sizes)."""
+    own = x[[rng.randrange(len(x)) for _ in range(TRIALS)]]
+    copies = [edited(rng, row, edits) for row in own.tolist()]
+    width = own.shape[1] + edits
+    return own, np.array([y + [0] * (width - len(y)) for y in copies], np.uint64), np.array([len(y) for y in copies])
+
+
+def meets(own: np.ndarray, copies: np.ndarray, lengths: np.ndarray, edits: int, repetition: int) -> np.ndarray:
+    """Whether each item (rows of equal size) and its copy meet: the walks agree, no further off than the edits can move it."""
+    (count, size), width = own.shape, copies.shape[1]
+    steps = min(STEPS, size)
+    first = int(seeds(repetition)[1] * (size - steps + 1))
+    starts = np.arange(max(first - edits, 0), first + edits + 1)
+    met, each = np.zeros(count, bool), max(1, TRIAL_CELLS // len(starts))
+    for low in range(0, count, each):
+        x, y = own[low : low + each], copies[low : low + each]
+        a = item_keys(x.ravel(), np.arange(len(x)) * size + first, np.full(len(x), steps), repetition)
+        inside = starts <= (lengths[low : low + each] - steps)[:, None]
+        at = np.arange(len(x))[:, None] * width + np.where(inside, starts, 0)
+        b = item_keys(y.ravel(), at.ravel(), np.full(at.size, steps), repetition)
+        same = np.logical_and.reduce([q.reshape(at.shape) == p[:, None] for p, q in zip(a, b, strict=True)])
+        met[low : low + each] = (same & inside).any(1)
+    return met
+
+
+def repetitions_for(hashes: list[np.ndarray], edits: np.ndarray, recall: float) -> np.ndarray:
+    """Repetitions of each item after which it and a copy with as many edits as allowed have met with probability ``recall``.
+
+    Measured apart for each length (from 64 words on, for lengths within a sixteenth of an octave, at the hardest of them),
+    with a standard error to spare. 0 stands for exact keys: short items, and lengths for which ``MOST_REPETITIONS`` are too few."""
+    sizes, out = np.array([len(x) for x in hashes], np.int64), np.zeros(len(hashes), np.int64)
+    enough = recall + np.sqrt(recall * (1 - recall) / TRIALS)
+    group = np.where(sizes < 64, sizes, 64 + np.floor(16 * np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64))
+    for g in np.unique(group[sizes >= EXACT_BELOW]):
+        own = np.flatnonzero(group == g)
+        share = edits[own] / sizes[own]
+        hardest = own[share == share.max()]
+        size, most = sizes[hardest].max(), edits[hardest].max()
+        x, y, lengths = trials(np.stack([hashes[k] for k in hardest if sizes[k] == size]), int(most), random.Random(int(g)))
+        met = np.zeros(TRIALS, bool)
+        for r in range(MOST_REPETITIONS):
+            left = np.flatnonzero(~met)
+            met[left] = meets(x[left], y[left], lengths[left], int(most), r)
+            if met.mean() >= enough:
+                out[own] = r + 1
+                break
+    return out
 
 
 def prepare(rows: list[tuple], share: float, recall: float) -> Items:
@@ -109,18 +143,50 @@ def prepare(rows: list[tuple], share: float, recall: float) -> Items:
     parts = [hashes[offsets[k] : offsets[k + 1]] for k in some]
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     edits = np.floor(share * sizes[some] + 1e-9).astype(np.int64)
-    return Items([rows[k][0] for k in some], flat, np.concatenate([[0], np.cumsum(sizes[some])]), edits, repetitions_for(parts, share, recall))
-
-
-def candidates(items: Items, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, window start, anchor) of windows that agree with an item in some repetition; ``hashes`` are the dictionary's."""
-    found: list[np.ndarray] = []
-    for r in range(items.repetitions):
+    return Items([rows[k][0] for k in some], flat, np.concatenate([[0], np.cumsum(sizes[some])]), edits, repetitions_for(parts, edits, recall))
+
+
+def agreeing(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``of``, index in ``key``) of all pairs of equal values."""
+    by = np.argsort(of, kind="stable")
+    low, high = np.searchsorted(of[by], key, "left"), np.searchsorted(of[by], key, "right")
+    times = high - low
+    which = by[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    return which, np.repeat(np.arange(len(key)), times)
+
+
+def exact_candidates(items: Items, own: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """(item, window start, anchor) of every place that holds one of an item's pieces, for the items ``own``."""
+    count, sizes = items.edits[own] + 1, np.diff(items.offsets)[own]
+    of_item, found = np.repeat(np.arange(len(own)), count), []
+    piece = np.arange(len(of_item)) - np.repeat(np.cumsum(count) - count, count)
+    first, past = piece * sizes[of_item] // count[of_item], (piece + 1) * sizes[of_item] // count[of_item]
+    for length in np.unique(past - first):
+        some = np.flatnonzero(past - first == length)
+        begins = items.offsets[own[of_item[some]]] + first[some]
+        active = np.arange(max(len(codes) - int(length) + 1, 0))
+        of, key = np.zeros(len(some), np.uint64), np.zeros(len(active), np.uint64)
+        for t in range(int(length)):
+            want = items.hashes[begins + t]
+            keep = np.isin(hashes, want)[codes[active + t]]
+            active, key = active[keep], key[keep]
+            of, key = mix(of * MIX + want), mix(key * MIX + hashes[codes[active + t]])
+        which, at = agreeing(of, key)
+        found.append(np.stack([own[of_item[some[which]]], active[at] - first[some[which]], active[at]]))
+    return found
+
+
+def candidates(items: Items, codes: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, window start, text) of windows that agree with an item in some repetition or piece; ``hashes`` are the dictionary's."""
+    exact = np.flatnonzero(items.repetitions == 0)
+    found = exact_candidates(items, exact, codes, hashes) if len(exact) else []
+    for r in range(int(items.repetitions.max(initial=0))):
         seed, _, coordinates = seeds(r)
         offset, steps = begin(items, r)
         bits = mix(hashes ^ seed)
-        for count in np.unique(steps):
-            own = np.flatnonzero(steps == count)
+        going = items.repetitions > r
+        for count in np.unique(steps[going]):
+            own = np.flatnonzero(going & (steps == count))
             symbols = item_keys(items.hashes, items.offsets[own] + offset[own], steps[own], r)
             active, key, of = None, None, np.zeros(len(own), np.uint64)
             at = None
@@ -139,17 +205,17 @@ def candidates(items: Items, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.
                 if t + 1 < count:
                     step = (bits[codes[at]] >> np.uint64(t)) & np.uint64(1)
                     at = np.minimum(at + step.astype(np.int64), len(codes) - 1)
-            by = np.argsort(of, kind="stable")
-            low, high = np.searchsorted(of[by], key, "left"), np.searchsorted(of[by], key, "right")
-            times = high - low
-            which = by[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            anchor = np.repeat(active, times)
-            found.append(np.stack([own[which], anchor - offset[own[which]], anchor]))
+            which, at = agreeing(of, key)
+            found.append(np.stack([own[which], active[at] - offset[own[which]], active[at]]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
-    every = np.concatenate(found, axis=1)
-    _, first = np.unique(every[0] * np.int64(len(codes) + (1 << 20)) + every[1] + (1 << 19), return_index=True)
-    return tuple(every[:, first])
+    item, start, anchor = np.concatenate(found, axis=1)
+    text = np.searchsorted(offsets, anchor, side="right") - 1
+    # a window that lies across an edge of texts counts for each text that it was found from
+    by = np.lexsort((text, start, item))
+    item, start, text = item[by], start[by], text[by]
+    first = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] != start[:-1]) | (text[1:] != text[:-1])])[: len(item)])
+    return item[first], start[first], text[first]
 
 
 def edit_rows(left: np.ndarray, sizes: np.ndarray, right: np.ndarray, free: bool) -> np.ndarray:
@@ -222,8 +288,7 @@ def matches(items: Items, texts: pa.Array):
     if not len(items) or not len(codes):
         return none
     hashes = word_hashes(names)
-    item, start, anchor = candidates(items, codes, hashes)
-    text = np.searchsorted(offsets, anchor, side="right") - 1
+    item, start, text = candidates(items, codes, hashes, offsets)
     sizes = np.diff(items.offsets)[item]
     low = np.maximum(start - items.edits[item], offsets[text])
     high = np.minimum(start + sizes + items.edits[item], offsets[text + 1])
@@ -258,7 +323,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 
     One row per document row and item: distance and place (words, lower case, split at white space) of the best match:
     fewest edits, then the first. Exact passages are always found, edited ones with probability ``recall`` at the edit
-    limit and more below it. Null, empty and blank texts match nothing, nor do such items; null ids stay null; repeated
+    limit and more below it, whatever the item's length; items under ``EXACT_BELOW`` words always. Null, empty and blank texts match nothing, nor do such items; null ids stay null; repeated
     rows are matched each, repeated items once; items of 1 to 4 words must match exactly; other columns are ignored."""
     spark, out = docs.sparkSession, None
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

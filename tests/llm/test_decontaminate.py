@@ -81,3 +81,43 @@ def test_odd_rows(spark, odd_documents, no_documents, monkeypatch):
     assert kept.columns == odd_documents.columns and not {1, 7, 9} & {r["doc_id"] for r in kept.collect()}
     assert dec.find_leaks(no_documents, items).count() == 0
     assert dec.find_leaks(odd_documents, items.limit(0)).count() == 0 and dec.remove_leaks(odd_documents, items.limit(0)).count() == odd_documents.count()
+
+
+def found_items(items, texts, share=0.2, recall=0.99):
+    ready = dec.prepare(items, share, recall)
+    text, item, *_ = dec.matches(ready, pa.array(texts))
+    return {(int(a), ready.ids[b]) for a, b in zip(text, item, strict=True)}
+
+
+def test_short_items_are_found_wherever_the_edit_is():
+    rng = random.Random(5)
+    items = [(k, prose(rng, n)) for k, n in enumerate(n for n in range(5, 15) for _ in range(4))]
+    texts, want = [], set()
+    for k, item in items:
+        words = item.split()
+        for at in range(len(words)):
+            for copy in (words[:at] + words[at + 1 :], words[:at] + ["zzz"] + words[at + 1 :], words[:at] + ["zzz"] + words[at:]):
+                want.add((len(texts), k))
+                texts.append(" ".join([prose(rng, 6), *copy, prose(rng, 6)]))
+    assert want <= found_items(items, texts)
+
+
+def test_each_length_reaches_the_target():
+    rng = random.Random(6)
+    for n in (15, 20, 35, 50):
+        items = [(k, prose(rng, n)) for k in range(40)]
+        texts = [" ".join([prose(rng, 20), *edited(rng, items[k % 40][1].split(), n // 5), prose(rng, 20)]) for k in range(800)]
+        assert len({(k, k % 40) for k in range(800)} & found_items(items, texts)) >= 0.985 * 800, n
+
+
+def test_too_few_repetitions_fall_back_to_exact_search(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(dec, "MOST_REPETITIONS", 1)
+    items = [(k, prose(rng, 40)) for k in range(20)]
+    texts = [" ".join(edited(rng, items[k % 20][1].split(), 8)) for k in range(200)]
+    assert {(k, k % 20) for k in range(200)} <= found_items(items, texts)
+
+
+def test_a_window_across_two_texts_counts_for_both():
+    words = "a b c d e f g h i j k l m n o".split()
+    assert found_items([(1, " ".join(words))], [" ".join(words[:3]), " ".join(words[3:])]) == {(1, 1)}
