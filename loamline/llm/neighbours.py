@@ -2,8 +2,8 @@
 
 The graph holds one node per distinct vector. Random hyperplane leaves give first neighbours; then each round joins every
 node's sampled neighbours, both ways, to the node, compares neighbours of neighbours there, and sends each node what
-improves its list (Dong, Moses, Li, 2011). Vectors travel as 8-bit codes while the graph is built; a search measures the
-original vectors in double precision. A search keeps a beam of the best nodes for each query and, in rounds, joins the
+improves its list (Dong, Moses, Li, 2011). Vectors travel as bytes in the precision of their column, and graph and search
+rank by distances of these in double precision, so near-equal vectors keep their order. A search keeps a beam of the best nodes for each query and, in rounds, joins the
 beam's unexpanded nodes to the graph until none is left, so it ends as a sequential greedy search does.
 """
 
@@ -18,6 +18,7 @@ from loamline.llm.common import cut, release
 
 LEAF = 256
 MOST_ROUNDS = 40
+PAIRS = 4096
 
 
 def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -27,20 +28,34 @@ def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def to_codes(x: np.ndarray) -> list[bytes]:
-    """Each row as its scale (32-bit float) and components in 8 bits."""
-    scale = np.abs(x).max(axis=1, keepdims=True) / 127 if len(x) else np.zeros((0, 1))
-    scale = np.where(scale > 0, scale, 1.0)
-    codes = np.rint(x / scale).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale.astype("<f4"), codes, strict=True)]
+def precision(vectors: DataFrame) -> str:
+    """NumPy type that holds the components of column ``embedding`` without loss."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def from_codes(values: list[bytes]) -> np.ndarray:
-    """Rows again, in single precision."""
+def to_codes(x: np.ndarray, kind: str) -> list[bytes]:
+    """Each row as the bytes of its components."""
+    return [row.tobytes() for row in x.astype(kind)]
+
+
+def from_codes(values: list[bytes], kind: str) -> np.ndarray:
+    """Rows again, in double precision."""
     if not values:
-        return np.zeros((0, 0), np.float32)
-    table = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
-    return table[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(table[:, :4]).view("<f4")
+        return np.zeros((0, 0))
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+
+
+def squared_distances(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows; pairs in which norms and product would cancel are measured by differences."""
+    norm = (x * x).sum(1)
+    sums = norm[:, None] + norm[None]
+    d = sums - 2 * x @ x.T
+    a, b = np.nonzero(np.triu(~(d >= 1e-6 * sums), 1))
+    for k in range(0, len(a), PAIRS):
+        i, j = a[k : k + PAIRS], b[k : k + PAIRS]
+        d[i, j] = d[j, i] = ((x[i] - x[j]) ** 2).sum(1)
+    np.fill_diagonal(d, 0)
+    return d
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -65,15 +80,15 @@ def distinct_nodes(rows: DataFrame, keep: int, salts: int = 16) -> tuple[DataFra
     return ranked.where("n = 1").select("node", "vec"), ranked.select("node", "vec_id")
 
 
-def _leaves(nodes: DataFrame, count: int, trees: int, each: int) -> DataFrame:
+def _leaves(nodes: DataFrame, kind: str, count: int, trees: int, each: int) -> DataFrame:
     """First edges (v, u, d): the ``each`` nearest in the same leaf of random hyperplane trees; leaves are split at ``LEAF`` by id hash."""
     bits = max(0, int(np.log2(max(count, 1) / LEAF)))
 
     def assign(batches):
         for batch in batches:
-            x = matrix(batch.column("vec"), np.float32)
-            node, codes = batch.column("node").to_numpy(), to_codes(x)
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            x = matrix(batch.column("vec"))
+            node, codes = batch.column("node").to_numpy(), to_codes(x, kind)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             for tree in range(trees):
                 planes = np.random.default_rng([tree, x.shape[1] if x.size else 0]).normal(size=(x.shape[1], bits)).astype(np.float32)
                 key = ((unit @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
@@ -86,19 +101,18 @@ def _leaves(nodes: DataFrame, count: int, trees: int, each: int) -> DataFrame:
 
     def nearest(groups):
         for batch in groups:
-            v, x = batch.column("v").to_numpy(), from_codes(batch.column("code").to_pylist())
+            v, x = batch.column("v").to_numpy(), from_codes(batch.column("code").to_pylist(), kind)
             if len(v) < 2:
                 continue
-            norm = (x * x).sum(1)
-            d = norm[:, None] + norm[None] - 2 * x @ x.T
+            d = squared_distances(x)
             np.fill_diagonal(d, np.inf)
             k = min(each, len(v) - 1)
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
             far = np.take_along_axis(d, near, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, k)), pa.array(v[near].ravel()), pa.array(np.maximum(far, 0).astype(np.float32).ravel())], ["v", "u", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, k)), pa.array(v[near].ravel()), pa.array(far.ravel())], ["v", "u", "d"])
 
     spread = parts.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part").select("tree", "leaf", "part", "v", "code")
-    return spread.mapInArrow(lambda batches: nearest(runs(batches, ["tree", "leaf", "part"])), "v long, u long, d float")
+    return spread.mapInArrow(lambda batches: nearest(runs(batches, ["tree", "leaf", "part"])), "v long, u long, d double")
 
 
 def runs(batches, keys: list[str]):
@@ -128,41 +142,44 @@ def _nearest_lists(edges: DataFrame, degree: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("d", "u", "new"))).alias("nb"))
 
 
-def _local_join(batches):
+def _local_join(kind: str):
     """Compare each centre's sampled members: pairs with a new one, in which one improves the other's list."""
-    for batch in runs(batches, ["centre"]):
-        member = batch.column("member").to_numpy()
-        _, first = np.unique(member, return_index=True)
-        if len(first) < 2:
-            continue
-        member, x = member[first], from_codes([batch.column("code")[int(i)].as_py() for i in first])
-        new = np.zeros(len(first), bool)
-        new[np.searchsorted(member, batch.column("member").to_numpy()[batch.column("new").to_numpy(zero_copy_only=False)])] = True
-        worst = batch.column("worst").to_numpy()[first]
-        norm = (x * x).sum(1)
-        d = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0)
-        take = (new[:, None] | new[None]) & (d < worst[:, None])
-        np.fill_diagonal(take, False)
-        a, b = np.nonzero(take)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(member[a]), pa.array(member[b]), pa.array(d[a, b].astype(np.float32))], ["v", "u", "d"])
-
-
-def coded(nodes: DataFrame) -> DataFrame:
+
+    def run(batches):
+        for batch in runs(batches, ["centre"]):
+            member = batch.column("member").to_numpy()
+            _, first = np.unique(member, return_index=True)
+            if len(first) < 2:
+                continue
+            member, x = member[first], from_codes([batch.column("code")[int(i)].as_py() for i in first], kind)
+            new = np.zeros(len(first), bool)
+            new[np.searchsorted(member, batch.column("member").to_numpy()[batch.column("new").to_numpy(zero_copy_only=False)])] = True
+            worst = batch.column("worst").to_numpy()[first]
+            d = squared_distances(x)
+            take = (new[:, None] | new[None]) & (d < worst[:, None])
+            np.fill_diagonal(take, False)
+            a, b = np.nonzero(take)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(member[a]), pa.array(member[b]), pa.array(d[a, b])], ["v", "u", "d"])
+
+    return run
+
+
+def coded(nodes: DataFrame, kind: str) -> DataFrame:
     """(id, code) of ``nodes``."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(to_codes(matrix(batch.column("vec"), np.float32)), pa.binary())], ["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(to_codes(matrix(batch.column("vec")), kind), pa.binary())], ["id", "code"])
 
     return cut(nodes.mapInArrow(run, "id long, code binary"))
 
 
-def build_graph(nodes: DataFrame, codes: DataFrame, count: int, degree: int = 30, sample: int = 10, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
+def build_graph(nodes: DataFrame, codes: DataFrame, kind: str, count: int, degree: int = 30, sample: int = 10, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
     """Neighbour graph (v, nb: array of (d, u, new)) of ``nodes`` (node, vec): about the ``degree`` nearest of each.
 
     Rounds end after ``rounds``, or when they change fewer than ``least_share`` of the list entries."""
-    first = _leaves(nodes, count, trees, min(10, degree)).withColumn("new", F.lit(True))
+    first = _leaves(nodes, kind, count, trees, min(10, degree)).withColumn("new", F.lit(True))
     graph = cut(_nearest_lists(first, degree))
     for number in range(rounds):
 
@@ -173,16 +190,16 @@ def build_graph(nodes: DataFrame, codes: DataFrame, count: int, degree: int = 30
             return F.transform(F.slice(order, 1, sample), lambda e: F.struct(e["u"].alias("u"), F.lit(wanted).alias("new")))
 
         # a list that is not full takes any distance
-        worst = F.when(F.size("nb") < degree, F.lit(float("inf"))).otherwise(F.element_at("nb", -1)["d"]).cast("float")
+        worst = F.when(F.size("nb") < degree, F.lit(float("inf"))).otherwise(F.element_at("nb", -1)["d"])
         drawn_rows = graph.select("v", "nb", worst.alias("worst"), drawn(True).alias("fresh"), drawn(False).alias("stale"))
-        info = codes.join(drawn_rows.select(F.col("v").alias("id"), "worst"), "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")).cast("float")))
+        info = codes.join(drawn_rows.select(F.col("v").alias("id"), "worst"), "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         links = drawn_rows.select("v", F.explode(F.concat("fresh", "stale")).alias("e")).select("v", F.col("e.u").alias("u"), F.col("e.new").alias("new"))
         back = Window.partitionBy("u", "new").orderBy(F.xxhash64("u", "v", F.lit(number)))
         back_links = links.withColumn("n", F.row_number().over(back)).where(F.col("n") <= sample)
         both = links.select(F.col("v").alias("centre"), F.col("u").alias("id"), "new").union(back_links.select("u", "v", "new"))
         members = both.join(info, "id").select("centre", F.col("id").alias("member"), "new", "code", "worst")
         spread = members.repartition("centre").sortWithinPartitions("centre")
-        proposed = spread.mapInArrow(_local_join, "v long, u long, d float").withColumn("new", F.lit(True))
+        proposed = spread.mapInArrow(_local_join(kind), "v long, u long, d double").withColumn("new", F.lit(True))
         taken = F.transform("fresh", lambda e: e["u"])
         kept = drawn_rows.select("v", F.explode("nb").alias("e"), taken.alias("taken")).select(
             "v", F.col("e.u").alias("u"), F.col("e.d").alias("d"), (F.col("e.new") & ~F.array_contains("taken", F.col("e.u"))).alias("new"),
@@ -204,13 +221,13 @@ def adjacency(graph: DataFrame, degree: int) -> DataFrame:
     return links.select("v", "u").union(back).groupBy("v").agg(F.collect_set("u").alias("near"))
 
 
-STATE = "query long, code binary, ids array<long>, ds array<float>, open array<boolean>, seen array<long>, want array<long>"
+STATE = "query long, code binary, ids array<long>, ds array<double>, open array<boolean>, seen array<long>, want array<long>"
 
 
-def _merge(beam: int, spread: int):
+def _merge(kind: str, beam: int, spread: int):
     """Measure a query's new nodes, keep the best ``beam``, and choose what to expand: the nearest ``spread`` unexpanded."""
     names = [c.split()[0] for c in STATE.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in runs(batches, ["query"]):
@@ -218,14 +235,14 @@ def _merge(beam: int, spread: int):
             at = int(np.flatnonzero(states)[0])
             code = batch.column("code")[at].as_py()
             take = lambda name, kind: np.array(batch.column(name)[at].as_py(), kind)
-            ids, ds, free, seen = take("ids", np.int64), take("ds", np.float32), take("open", bool), take("seen", np.int64)
+            ids, ds, free, seen = take("ids", np.int64), take("ds", np.float64), take("open", bool), take("seen", np.int64)
             more = batch.filter(pa.array(~states))
             node, first = np.unique(more.column("node").to_numpy(), return_index=True)
             some = ~np.isin(node, seen)
             node, first = node[some], first[some]
             if len(node):
-                y = from_codes(more.column("code").take(pa.array(first)).to_pylist())
-                ids, ds = np.concatenate([ids, node]), np.concatenate([ds, ((y - from_codes([code])) ** 2).sum(1)])
+                y = from_codes(more.column("code").take(pa.array(first)).to_pylist(), kind)
+                ids, ds = np.concatenate([ids, node]), np.concatenate([ds, ((y - from_codes([code], kind)) ** 2).sum(1)])
                 free, seen = np.concatenate([free, np.ones(len(node), bool)]), np.union1d(seen, node)
             best = np.lexsort((ids, ds))[:beam]
             ids, ds, free = ids[best], ds[best], free[best]
@@ -237,19 +254,19 @@ def _merge(beam: int, spread: int):
     return run
 
 
-def search(queries: DataFrame, codes: DataFrame, near: DataFrame, beam: int = 192, spread: int = 96, entries: int = 32) -> DataFrame:
-    """Greedy graph search: (query, ids) with the ``beam`` nearest nodes found for each of ``queries`` (query, node, code), by 8-bit codes.
+def search(queries: DataFrame, codes: DataFrame, near: DataFrame, kind: str, beam: int = 192, spread: int = 96, entries: int = 32) -> DataFrame:
+    """Greedy graph search: (query, ids) with the ``beam`` nearest nodes found for each of ``queries`` (query, node, code).
 
     A search begins at ``entries`` nodes drawn by hash, which all queries share, and at the query's own ``node`` if it has one."""
     starts = [r[0] for r in codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
-    empty = {"ids": "array<long>", "ds": "array<float>", "open": "array<boolean>", "seen": "array<long>"}
+    empty = {"ids": "array<long>", "ds": "array<double>", "open": "array<boolean>", "seen": "array<long>"}
     state = queries.select("query", "code", *[F.array().cast(t).alias(n) for n, t in empty.items()])
     own = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array().cast("array<long>"))
     asked = queries.select("query", F.explode(F.array_distinct(F.concat(own, F.array(*[F.lit(s) for s in starts]).cast("array<long>")))).alias("node"))
     for _ in range(MOST_ROUNDS):
         measured = asked.join(codes, asked["node"] == codes["id"]).select("query", "code", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "node")
         rows = state.select("query", "code", *empty, F.lit(None).cast("long").alias("node")).union(measured)
-        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(beam, spread), STATE))
+        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(kind, beam, spread), STATE))
         release(queries.sparkSession)
         going = state.where(F.size("want") > 0)
         if going.isEmpty():
@@ -286,15 +303,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 3
     another length than the most common are not comparable and raise an error; other columns are ignored."""
     rows = usable(vectors).distinct()
     nodes, members = distinct_nodes(rows, k + 1)
-    count = nodes.count()
-    codes = coded(nodes)
-    near = cut(adjacency(build_graph(nodes, codes, count, degree=degree, rounds=rounds), degree))
+    count, kind = nodes.count(), precision(vectors)
+    codes = coded(nodes, kind)
+    near = cut(adjacency(build_graph(nodes, codes, kind, count, degree=degree, rounds=rounds), degree))
     release(vectors.sparkSession)
     asked = usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "vec")
     known = asked.join(nodes.select("node", F.col("vec").alias("same")), asked["vec"] == F.col("same"), "left")
     # queries with equal vectors are searched once
     begun = cut(known.where("node IS NOT NULL").select(F.col("node").alias("query"), "node", "vec").dropDuplicates(["query"]))
-    found = search(begun.join(codes, begun["query"] == codes["id"]).select("query", "node", "code"), codes, near, beam=max(beam, 2 * k))
+    found = search(begun.join(codes, begun["query"] == codes["id"]).select("query", "node", "code"), codes, near, kind, beam=max(beam, 2 * k))
     pairs = measured(found, nodes, begun.select("query", "vec"), k + 1)
     hits = known.select("query_id", F.col("node").alias("query")).join(pairs, "query").join(members, "node").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")

@@ -35,3 +35,20 @@ def test_odd_vectors_take_no_part(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == [(1, 1, 7), (7, 1, 1)]
     assert nn.nearest(table.where("vec_id = 1"), table.where("vec_id = 1")).count() == 0
     assert nn.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_near_copies_keep_their_true_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    for kind, apart in (("float", 1e-3), ("double", 1e-7)):
+        x = centre / np.linalg.norm(centre) + rng.normal(size=(1000, 64)) * apart / np.sqrt(128)
+        rows = list(enumerate(x.astype(np.float32 if kind == "float" else np.float64).tolist()))
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        out = nn.nearest(table, table.where("vec_id % 50 = 0")).collect()
+        hits = sum(len({i for i, _ in brute(rows, q, 10)} & {r["vec_id"] for r in out if r["query_id"] == q}) for q in range(0, 1000, 50))
+        assert hits >= 0.9 * 200, (kind, hits)
+
+
+def test_distances_of_near_copies_do_not_cancel():
+    x = np.random.default_rng(5).normal(size=(40, 8)) * 1e-9 + 1.0
+    assert np.allclose(nn.squared_distances(x), ((x[:, None] - x[None]) ** 2).sum(2), rtol=1e-12, atol=0)
