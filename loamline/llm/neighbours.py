@@ -175,7 +175,7 @@ def coded(nodes: DataFrame, kind: str) -> DataFrame:
     return cut(nodes.mapInArrow(run, "id long, code binary"))
 
 
-def build_graph(nodes: DataFrame, codes: DataFrame, kind: str, count: int, degree: int = 30, sample: int = 10, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
+def build_graph(nodes: DataFrame, codes: DataFrame, kind: str, count: int, degree: int = 30, sample: int = 12, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
     """Neighbour graph (v, nb: array of (d, u, new)) of ``nodes`` (node, vec): about the ``degree`` nearest of each.
 
     Rounds end after ``rounds``, or when they change fewer than ``least_share`` of the list entries."""

@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 
 from loamline.llm import neighbours as nn
@@ -52,3 +54,7 @@ def test_near_copies_keep_their_true_neighbours(spark):
 def test_distances_of_near_copies_do_not_cancel():
     x = np.random.default_rng(5).normal(size=(40, 8)) * 1e-9 + 1.0
     assert np.allclose(nn.squared_distances(x), ((x[:, None] - x[None]) ** 2).sum(2), rtol=1e-12, atol=0)
+
+
+def test_a_round_compares_twelve_neighbours():
+    assert inspect.signature(nn.build_graph).parameters["sample"].default == 12
