@@ -40,29 +40,26 @@ def unescape(text: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """Fold events (conv_id, seq, turn, op, role, text) into final messages (conv_id, turn, role, text).
 
-    Events of a turn apply by ``seq``; of equal ``seq``, those that set a text come first, then ties go by text. A null
-    text is empty, a null role is filled from the turn's other events, or is empty; unknown or null ops count as
-    ``message``; null conv_id is a conversation of its own and null turn its first turn."""
-    sets = F.when(F.col("op").eqNullSafe("delta"), False).otherwise(True)
-    rows = events.select(
-        "conv_id", "turn", F.col("seq").cast("long").alias("seq"), sets.alias("sets"), F.col("op").eqNullSafe("regenerate").alias("again"),
-        F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    order = F.struct("seq", (~F.col("sets")).alias("later"), "text")
-    log = F.sort_array(F.collect_list(F.struct("seq", (~F.col("sets")).alias("later"), "text")))
-    turns = rows.groupBy("conv_id", "turn").agg(
-        log.alias("log"),
-        F.max(F.when(F.col("sets"), order)).alias("start"),
-        F.max(F.when(F.col("again"), F.col("seq"))).alias("regenerated"),
-        F.max("seq").alias("last"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), order)).alias("role"),
+    Events of a conversation apply by ``seq``; of equal ``seq``, those that set a text come first, then ties go by text. A
+    regeneration removes what later turns had so far; what comes for them afterwards starts from nothing. A null text is
+    empty; a turn's role is that of its last event that has one, of those removed if no other has, or empty; an event
+    without ``seq`` comes before all others; unknown or null ops count as ``message``; null conv_id is a conversation of
+    its own and null turn its first turn."""
+    sets = ~F.col("op").eqNullSafe("delta")
+    event = F.struct(
+        F.col("seq").cast("long").alias("seq"), (~sets).alias("later"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("role").cast("string").alias("role")
     )
-    after = F.filter("log", lambda e: F.col("start").isNull() | (e >= F.col("start")))
+    again = F.when(F.col("op").eqNullSafe("regenerate"), F.col("seq").cast("long"))
+    turns = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("log"), F.max(again).alias("regenerated"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("cut", F.max("regenerated").over(before))
-    kept = turns.where(F.col("cut").isNull() | (F.col("last") > F.col("cut")))
-    text = F.array_join(F.transform(after, lambda e: e["text"]), "")
-    return kept.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    stands = F.filter("log", lambda e: F.col("cut").isNull() | F.coalesce(e["seq"] > F.col("cut"), F.lit(False)))
+    turns = turns.withColumn("own", stands).where(F.size("own") > 0)
+    turns = turns.withColumn("start", F.array_max(F.filter("own", lambda e: ~e["later"])))
+    said = F.filter("own", lambda e: F.col("start").isNull() | (e >= F.col("start")))
+    last = lambda log: F.try_element_at(F.transform(F.filter(log, lambda e: e["role"].isNotNull()), lambda e: e["role"]), F.lit(-1))
+    role = F.coalesce(last("own"), last("log"), F.lit(""))
+    return turns.select("conv_id", "turn", role.alias("role"), F.array_join(F.transform(said, lambda e: e["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:

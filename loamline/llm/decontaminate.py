@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import MIX, mix, slices, word_hashes, words
+from loamline.llm.common import MIX, mix, slices, tidy, word_hashes, words
 
 STEPS = 8
 SAMPLES = 4
@@ -339,7 +339,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
                     columns += [pa.array(x.astype(np.int32)) for x in (distance, sizes[item] if len(item) else item, first, past)]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LEAKS.split(", ")])
 
-        found = base.mapInArrow(run, LEAKS)
+        found = base.mapInArrow(tidy(run), LEAKS)
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -356,5 +356,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     keep[matches(shared.value, some.column("text"))[0]] = False
                     yield some.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import slices
+from loamline.llm.common import slices, tidy
 
 #: Fixed values of HTML: kinds of elements and what they close.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,24 +236,46 @@ class Flow:
         return self.lines
 
 
-def lines_of(node: Element, listed: bool = False) -> list[str]:
+def rendered(step):
+    """Result of a renderer. Renderers are generators that yield the renderers of what they hold and get their results, on a
+    stack of their own, so that no depth of nesting meets the interpreter's limit."""
+    stack, value = [step], None
+    while stack:
+        try:
+            step = stack[-1].send(value)
+        except StopIteration as end:
+            value = end.value
+            stack.pop()
+        else:
+            stack.append(step)
+            value = None
+    return value
+
+
+def lines_of(node: Element, listed: bool = False):
     flow = Flow(listed)
-    fill(node, flow)
+    yield fill(node, flow)
     return flow.done()
 
 
 def literal(node: Element) -> str:
     """Text of a preformatted element, as it stands."""
-    out = []
-    for child in node.children:
-        if isinstance(child, str):
+    out, rest = [], [iter(node.children)]
+    while rest:
+        child = next(rest[-1], None)
+        if child is None:
+            rest.pop()
+        elif isinstance(child, str):
             out.append(child)
         elif not child.hidden:
-            out.append("\n" if child.tag == "br" else literal(child))
+            if child.tag == "br":
+                out.append("\n")
+            else:
+                rest.append(iter(child.children))
     return "".join(out)
 
 
-def fill(node: Element, flow: Flow) -> None:
+def fill(node: Element, flow: Flow):
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
@@ -280,36 +302,36 @@ def fill(node: Element, flow: Flow) -> None:
             flow.edge(tag != "textarea")
         elif tag == "table":
             flow.edge(True)
-            flow.put(table_lines(child)) if child.children else None
+            flow.put((yield table_lines(child))) if child.children else None
             flow.edge(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.edge(not flow.listed)
-            if lines := list_lines(child):
+            if lines := (yield list_lines(child)):
                 flow.put(lines)
             flow.edge(not flow.listed)
         elif tag in ("blockquote", "dd"):
             flow.edge(tag == "blockquote")
-            if lines := lines_of(child):
+            if lines := (yield lines_of(child)):
                 flow.put([("  " + x) if x else x for x in lines])
             flow.edge(tag == "blockquote")
         elif tag == "li":
             flow.edge(False)
-            if lines := item_lines(child, "- "):
+            if lines := (yield item_lines(child, "- ")):
                 flow.put(lines)
         elif tag == "q":
             flow.text('"')
-            fill(child, flow)
+            yield fill(child, flow)
             flow.text('"')
         elif tag in BLOCK:
             flow.edge(tag in MARGIN)
-            fill(child, flow)
+            yield fill(child, flow)
             flow.edge(tag in MARGIN)
         else:
-            fill(child, flow)
+            yield fill(child, flow)
 
 
-def item_lines(item: Element, mark: str) -> list[str]:
-    lines = lines_of(item, True)
+def item_lines(item: Element, mark: str):
+    lines = yield lines_of(item, True)
     return [(mark if not k else " " * len(mark)) + x if x else x for k, x in enumerate(lines)]
 
 
@@ -318,7 +340,7 @@ def number(value: str | None, default: int, most: int = 10**6) -> int:
     return min(int(found[1]), most) if found else default
 
 
-def list_lines(node: Element) -> list[str]:
+def list_lines(node: Element):
     """Items in order; content outside of items stands as a block between them."""
     out, ordered = [], node.tag == "ol"
     items = [x for x in node.children if not isinstance(x, str) and x.tag == "li" and not x.hidden]
@@ -326,25 +348,26 @@ def list_lines(node: Element) -> list[str]:
     count = number(node.attrs.get("start"), len(items) if down else 1)
     loose = Element("div")
 
-    def flush() -> None:
+    def flush():
         nonlocal loose
         if loose.children:
-            out.extend("  " + x if x else x for x in lines_of(loose))
+            lines = yield lines_of(loose)
+            out.extend("  " + x if x else x for x in lines)
             loose = Element("div")
 
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
             loose.children.append(child)
         elif not child.hidden:
-            flush()
+            yield flush()
             count = number(child.attrs.get("value"), count) if ordered else count
-            out += item_lines(child, f"{count}. " if ordered else "- ")
+            out += yield item_lines(child, f"{count}. " if ordered else "- ")
             count += -1 if down else 1
-    flush()
+    yield flush()
     return out
 
 
-def table_lines(table: Element) -> list[str]:
+def table_lines(table: Element):
     """Caption, then rows: columns are as wide as their widest cell, two spaces apart; cells of several lines stay in their column."""
     rows: list[Element] = []
     caption: list[str] = []
@@ -353,7 +376,7 @@ def table_lines(table: Element) -> list[str]:
         if isinstance(part, str) or part.hidden:
             continue
         if part.tag == "caption":
-            caption += lines_of(part)
+            caption += yield lines_of(part)
         elif part.tag == "tr":
             by[""].append(part)
         elif part.tag in SECTIONS:
@@ -370,7 +393,7 @@ def table_lines(table: Element) -> list[str]:
                 at += 1
             span = max(1, number(cell.attrs.get("colspan"), 1, 1000))
             deep = max(1, number(cell.attrs.get("rowspan"), 1, 65534))
-            cells.append((at, span, lines_of(cell)))
+            cells.append((at, span, (yield lines_of(cell))))
             if deep > 1:
                 held |= {k: deep for k in range(at, at + span)}
             at += span
@@ -405,7 +428,7 @@ def table_lines(table: Element) -> list[str]:
 
 def extract_text(source: str) -> str:
     """Visible text of a page; no blank lines at the edges or more than one in a row outside of preformatted text."""
-    lines = lines_of(parse(source.replace("\x00", "")))
+    lines = rendered(lines_of(parse(source.replace("\x00", ""))))
     while lines and not lines[0]:
         lines.pop(0)
     while lines and not lines[-1]:
@@ -427,4 +450,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import mix, slices, words
+from loamline.llm.common import mix, slices, tidy, words
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 2000  #: labelled rows of each language that the model is fitted on (expected number; drawn by id hash)
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 1e-3
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["lang", "bucket", "n"])
 
-    rows = sample.select("text", "lang").mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
@@ -212,7 +212,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         last = index[has, b - 1]
         before[at[has]] = (before[last][:, :, None] + transfer[last]).max(1)
         before[at[has]] -= before[at[has]].max(1, keepdims=True)  # keeps single precision exact enough on long texts
-    back = np.zeros((steps, len(start), n_labels), np.int8)
+    back = np.zeros((steps, len(start), n_labels), np.int16 if n_labels > 127 else np.int8)
     final = forward(before[:, None, :].copy(), back)[:, 0]
     labels = np.zeros(len(scores), np.int64)
     exit_label = np.full(len(start), -1)
@@ -284,7 +284,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, RESULT)
+    return source.mapInArrow(tidy(run), RESULT)
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, penalty: float = 8.0) -> DataFrame:
@@ -296,4 +296,4 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, pen
                 found = label_texts(model, some.column("text"), penalty)
                 yield some.filter(pa.array((found.score >= least_score) & (np.array(found.pred) != "und")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, gram_hashes, mix, slices, stash, unused, word_hashes, words
+from loamline.llm.common import cut, gram_hashes, mix, slices, stash, tidy, unused, word_hashes, words
 from loamline.llm.components import components
 
 BLOCK = 256
@@ -181,7 +181,7 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     bands, rows = choose_bands(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("node", text_node())
-    signed = stash(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, node binary, bands array<long>"), "signatures")
+    signed = stash(base.mapInArrow(tidy(_signatures(n, bands, rows)), "doc_id long, node binary, bands array<long>"), "signatures")
     texts = cut(
         signed.where(F.size("bands") > 0).groupBy("node").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -202,7 +202,7 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     tasks = tasks.withColumn("first", F.coalesce("first", F.lit(ABSENT))).join(source, ["node", "first"])
     # the key is hashed anew: roots are least hashes
     spread = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    verified = cut(spread.select("root", "i", "j", "node", "copies", "block", "text").mapInArrow(_verify(n, threshold), VERIFIED))
+    verified = cut(spread.select("root", "i", "j", "node", "copies", "block", "text").mapInArrow(tidy(_verify(n, threshold)), VERIFIED))
     links = verified.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     linked = components(verified.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     # a class goes by its least id, a text without id coming last, and by that id's least text

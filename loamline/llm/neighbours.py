@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, release
+from loamline.llm.common import cut, release, tidy
 
 LEAF = 256
 MOST_ROUNDS = 40
@@ -94,7 +94,7 @@ def _leaves(nodes: DataFrame, kind: str, count: int, trees: int, each: int) -> D
                 key = ((unit @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(key), pa.array(node), pa.array(codes)], ["tree", "leaf", "v", "code"])
 
-    placed = nodes.mapInArrow(assign, "tree int, leaf long, v long, code binary")
+    placed = nodes.mapInArrow(tidy(assign), "tree int, leaf long, v long, code binary")
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
     # sizes have a row per leaf: two to the power of ``bits`` of them in each tree, a 256th of the nodes
     parts = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("v", "tree"), F.col("parts")).cast("int"))
@@ -112,7 +112,7 @@ def _leaves(nodes: DataFrame, kind: str, count: int, trees: int, each: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, k)), pa.array(v[near].ravel()), pa.array(far.ravel())], ["v", "u", "d"])
 
     spread = parts.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part").select("tree", "leaf", "part", "v", "code")
-    return spread.mapInArrow(lambda batches: nearest(runs(batches, ["tree", "leaf", "part"])), "v long, u long, d double")
+    return spread.mapInArrow(tidy(lambda batches: nearest(runs(batches, ["tree", "leaf", "part"]))), "v long, u long, d double")
 
 
 def runs(batches, keys: list[str]):
@@ -172,7 +172,7 @@ def coded(nodes: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(to_codes(matrix(batch.column("vec")), kind), pa.binary())], ["id", "code"])
 
-    return cut(nodes.mapInArrow(run, "id long, code binary"))
+    return cut(nodes.mapInArrow(tidy(run), "id long, code binary"))
 
 
 def build_graph(nodes: DataFrame, codes: DataFrame, kind: str, count: int, degree: int = 30, sample: int = 12, trees: int = 6, rounds: int = 4, least_share: float = 0.02) -> DataFrame:
@@ -199,7 +199,7 @@ def build_graph(nodes: DataFrame, codes: DataFrame, kind: str, count: int, degre
         both = links.select(F.col("v").alias("centre"), F.col("u").alias("id"), "new").union(back_links.select("u", "v", "new"))
         members = both.join(info, "id").select("centre", F.col("id").alias("member"), "new", "code", "worst")
         spread = members.repartition("centre").sortWithinPartitions("centre")
-        proposed = spread.mapInArrow(_local_join(kind), "v long, u long, d double").withColumn("new", F.lit(True))
+        proposed = spread.mapInArrow(tidy(_local_join(kind)), "v long, u long, d double").withColumn("new", F.lit(True))
         taken = F.transform("fresh", lambda e: e["u"])
         kept = drawn_rows.select("v", F.explode("nb").alias("e"), taken.alias("taken")).select(
             "v", F.col("e.u").alias("u"), F.col("e.d").alias("d"), (F.col("e.new") & ~F.array_contains("taken", F.col("e.u"))).alias("new"),
@@ -266,7 +266,7 @@ def search(queries: DataFrame, codes: DataFrame, near: DataFrame, kind: str, bea
     for _ in range(MOST_ROUNDS):
         measured = asked.join(codes, asked["node"] == codes["id"]).select("query", "code", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "node")
         rows = state.select("query", "code", *empty, F.lit(None).cast("long").alias("node")).union(measured)
-        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(_merge(kind, beam, spread), STATE))
+        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(tidy(_merge(kind, beam, spread)), STATE))
         release(queries.sparkSession)
         going = state.where(F.size("want") > 0)
         if going.isEmpty():
@@ -290,7 +290,7 @@ def measured(found: DataFrame, nodes: DataFrame, queries: DataFrame, most: int)
             best = np.lexsort((node, d))[:most]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query")[0].as_py(), len(best)), pa.int64()), pa.array(node[best], pa.int64()), pa.array(d[best])], ["query", "node", "d"])
 
-    return rows.repartition("query").sortWithinPartitions("query").mapInArrow(run, "query long, node long, d double")
+    return rows.repartition("query").sortWithinPartitions("query").mapInArrow(tidy(run), "query long, node long, d double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 30, rounds: int = 4, beam: int = 192) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import slices, stash
+from loamline.llm.common import slices, stash, tidy
 from loamline.llm.tokens import tokenizer
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary, part int, nth long"
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stash(source.mapInArrow(_cut(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = stash(source.mapInArrow(tidy(_cut(tokenizer_path, capacity, end_id)), PIECES), "pieces")
     groups = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import gram_hashes, mix, slices, stash, unused, word_hashes, words
+from loamline.llm.common import gram_hashes, mix, slices, stash, tidy, unused, word_hashes, words
 
 GRAM = 15
 
@@ -238,15 +238,15 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if not GRAM < min_words <= GRAM + 63:
         raise ValueError(f"min_words must be in {GRAM + 1}..{GRAM + 63}")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key())
-    seeds = stash(base.select("key", "text").mapInArrow(_seeds(min_words), "key long, pos int, seed long"), "seeds")
+    seeds = stash(base.select("key", "text").mapInArrow(tidy(_seeds(min_words)), "key long, pos int, seed long"), "seeds")
     # written first, so that both sides of the join are plain shuffles, of which Spark can split a partition with a hot k-gram
     again = stash(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "again")
     places = seeds.join(again, "seed").groupBy("key").agg(F.collect_set("pos").alias("places"))
     near = base.join(places, "key").select("doc_id", "key", "text", "places")
-    suffixes = stash(near.mapInArrow(_contexts(min_words), SUFFIXES), "suffixes")
+    suffixes = stash(near.mapInArrow(tidy(_contexts(min_words)), SUFFIXES), "suffixes")
     classes = suffixes.where("after IS NOT NULL").select("seed", "class", "mask", "after", "before", "n", "first_doc", "first_pos")
     ordered = classes.repartition("seed").sortWithinPartitions("seed", "after")
-    verdicts = ordered.mapInArrow(_compare(min_words), VERDICTS)
+    verdicts = ordered.mapInArrow(tidy(_compare(min_words)), VERDICTS)
     # a class has a row for each slice that it is in; all agree on what repeats, and the one with the first has the firsts
     merged = verdicts.groupBy("seed", "class").agg(
         F.bit_or("repeats").alias("repeats"), F.bit_or("firsts").alias("firsts"), F.min(F.struct("first_doc", "first_pos")).alias("at")
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     first = (F.col("doc_id") == F.col("at.first_doc")) & (F.col("pos") == F.col("at.first_pos"))
     cut = F.when(first, F.col("repeats").bitwiseAND(F.bitwise_not(F.col("firsts")))).otherwise(F.col("repeats"))
     gathered = hits.select("doc_id", "key", F.struct("pos", "repeats", cut.alias("cut")).alias("hit")).groupBy("doc_id", "key")
-    found = gathered.agg(F.collect_list("hit").alias("hits")).mapInArrow(_spans(min_words), SPANS)
+    found = gathered.agg(F.collect_list("hit").alias("hits")).mapInArrow(tidy(_spans(min_words)), SPANS)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != ABSENT, F.col("doc_id")))
 
 
@@ -287,4 +287,4 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
 
-    return joined.mapInArrow(cut, joined.schema).select(*docs.columns)
+    return joined.mapInArrow(tidy(cut), joined.schema).select(*docs.columns)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, fresh_path, slices, stash
+from loamline.llm.common import cut, fresh_path, slices, stash, tidy
 from loamline.llm.tokens import tokenizer
 from loamline.llm.warc import open_folder
 
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             yield row()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stash(source.mapInArrow(write, "path string, ids long, doc_ids array<long>"), "token-files")
+    return stash(source.mapInArrow(tidy(write), "path string, ids long, doc_ids array<long>"), "token-files")
 
 
 HITS = "path string, block long, hits array<long>, n long, last long"
@@ -87,7 +87,7 @@ def scan(files: DataFrame, end_id: int, dtype: str = "<u2", block_ids: int = BLO
     files = files.groupBy("path").agg(F.max("ids").alias("ids"))
     blocks = files.where("ids > 0").select("path", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / block_ids))).alias("block"))
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stash(blocks.repartition(parts, "path", "block").mapInArrow(search, HITS), "hits")
+    found = stash(blocks.repartition(parts, "path", "block").mapInArrow(tidy(search), HITS), "hits")
     # the prefix scan, in two steps so that a file of any length is never one group: within groups of blocks, then over groups
     at = found.select("path", "block", "n", "last", F.floor(F.col("block") / SCAN_GROUP).alias("group"))
     totals = at.groupBy("path", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))

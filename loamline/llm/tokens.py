@@ -15,12 +15,15 @@ import regex
 
 from loamline.llm.common import ragged
 
-CACHE_WORDS = 500_000
+CACHE_BYTES = 64 << 20
+WORD_BYTES = 200  #: what a kept pre-token takes besides its characters: string and number objects, a place in the table
 #: The vocabulary's own split pattern (a line feed ends a chunk), and the characters that byte-level vocabularies write bytes as.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Letters of the block whose lower case lies beyond it.
+LEAVING = "".join(c for c in map(chr, range(0x80, 0x250)) if max(map(ord, c.lower())) > 0x24F)
 #: Beyond this block normal forms and case mapping need the tokenizer itself; so may the strings of special tokens.
-UNSURE = regex.compile(r"[^\x00-\u024f]|\u0130|<\|")
+UNSURE = regex.compile(rf"[^\x00-\u024f]|[{LEAVING}]|<\|")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -34,7 +37,7 @@ _open: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
 class ChunkTokenizer:
-    """Ids of many texts at once. Ids of pre-tokens are kept; the store is emptied at ``CACHE_WORDS``, which bounds memory."""
+    """Ids of many texts at once. Ids of pre-tokens are kept, in about ``CACHE_BYTES``, beyond which the store begins anew."""
 
     def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,6 +52,7 @@ class ChunkTokenizer:
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.lengths = np.zeros(1, np.int64)
+        self.held = 0
 
     def _add(self, pieces: list[str], encode) -> None:
         ids, lengths = [], np.zeros(len(pieces), np.int64)
@@ -57,6 +61,7 @@ class ChunkTokenizer:
             ids += own
             lengths[k] = len(own)
             self.known[piece] = len(self.known)
+            self.held += WORD_BYTES + len(piece) + 4 * len(own)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
@@ -75,7 +80,7 @@ class ChunkTokenizer:
             chunks[k] = ""
         pieces = WORDS.findall("\n".join(chunks).lower() + "\n")
         new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) + len(odd) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.reset()
             new = set(pieces).difference(self.known)
         self._add(list(new), self._word)

@@ -17,7 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, fresh_path
+from loamline.llm.common import cut, fresh_path, tidy
 
 #: Fixed values of the format: the dictionary's skippable frame, the frame magic number, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         paths, counts, sizes = zip(*writer.done, strict=True) if writer.done else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])
 
-    return cut(marked.mapInArrow(write, "path string, records long, bytes long"))
+    return cut(marked.mapInArrow(tidy(write), "path string, records long, bytes long"))
 
 
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -211,4 +211,4 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     kinds = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in READ.split(", "))])
     spread = archives.select("path").repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInArrow(read, READ)
+    return spread.mapInArrow(tidy(read), READ)

@@ -24,6 +24,35 @@ def test_events_fold(spark):
     assert fold(spark, rows) == sorted(want, key=str)
 
 
+def test_regeneration_drops_what_later_turns_had(spark):
+    rows = [(1, 1, 2, "message", "user", "old"), (1, 2, 1, "regenerate", "assistant", "again"), (1, 3, 2, "delta", None, "new"), (1, 4, 2, "delta", None, "er")]
+    assert fold(spark, rows) == [(1, 1, "assistant", "again"), (1, 2, "user", "newer")]
+
+
+def replay(rows):
+    """One event after another, by sequence."""
+    now = {}
+    for conv, _, turn, op, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[3] == "delta", r[5] or "")):
+        turns = now.setdefault(conv, {})
+        said, of = turns.get(turn, (None, None))
+        turns[turn] = ((said or "") + (text or "") if op == "delta" else text or "", role if role is not None else of)
+        if op == "regenerate":
+            now[conv] = {t: v for t, v in turns.items() if t <= turn}
+    return sorted(((c, t, r or "", x) for c, turns in now.items() for t, (x, r) in turns.items()), key=str)
+
+
+def test_fold_is_the_replay_of_random_logs(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = []
+        for conv in range(60):
+            for seq in range(rng.randint(1, 14)):
+                turn = rng.randint(0, 4)
+                rows.append((conv, seq, turn, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), ["user", "assistant"][turn % 2], rng.choice(["", "a", "bc", "d#", None])))
+        rng.shuffle(rows)
+        assert fold(spark, rows) == replay(rows)
+
+
 def test_texts_come_back_from_the_output(spark):
     rng = random.Random(1)
     pieces = ["\\", "\\\\", "#", "###", "</turn>\n", "<turn>### user: ", "h", "l", "c", ":", ": ", "\n", "é", "漢", "", " "]
@@ -72,6 +101,13 @@ def test_archives_round_trip(spark):
     assert struct.unpack("<I", open(path, "rb").read(4))[0] == warc.DICTIONARY_MAGIC
 
 
+def test_archives_are_the_same_where_digests_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(k, None, f"page {k % 7}" * (k % 7), None, None) for k in range(50)]
+    back = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, PAGES))).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in back) == [(k, k % 7 if k >= 7 else None) for k in range(50)]
+
+
 def test_small_payloads_may_all_be_responses(spark):
     rows = [(1, "u", "ab", None, None), (2, "u", "ab", None, None), (3, "u", "abcdef", None, None), (4, "u", "abcdef", None, None)]
     back = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, PAGES), min_bytes=4)).collect()

@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 from loamline.llm.html import extract, extract_text
 
@@ -29,6 +30,60 @@ def test_text_in_odd_places_is_kept():
     assert extract_text("<select><option>a<option>b</select>").split() == ["a", "b"]
 
 
+def test_any_depth_of_nesting():
+    for tag in ("ul", "ol", "ul><li", "ol><li", "table><tr><td", "blockquote", "dl><dd", "q", "pre", "div", "b"):
+        for times in (150, 250, 1500):
+            assert extract_text(f"<{tag}>" * times + "deep").replace('"', "").split()[-1] == "deep", (tag, times)
+
+
+class Visible(HTMLParser):
+    """Words of a well-formed page outside of hidden elements, in order, by the standard parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        hidden = tag in ("script", "style", "title", "template") or "hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "")
+        self.open.append(hidden or bool(self.open and self.open[-1]))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not (self.open and self.open[-1]):
+            self.words += data.split()
+
+
+def test_words_are_the_standard_parsers():
+    rng = random.Random(11)
+    inside = {"div": "div p ul ol table span pre section blockquote", "li": "b i ul span", "td": "b i ul p", "p": "b i span", "span": "b i"}
+
+    def element(tag, depth):
+        attrs = rng.choice(["", "", "", "", ' class="x"', " hidden", ' style="display: none"', " title='a > b'"])
+        if tag in ("ul", "ol"):
+            body = "".join(element("li", depth - 1) for _ in range(rng.randint(1, 3)))
+        elif tag == "table":
+            body = "".join("<tr>" + "".join(element("td", depth - 1) for _ in range(2)) + "</tr>" for _ in range(rng.randint(1, 3)))
+        else:
+            parts = []
+            for _ in range(rng.randint(0, 4)):
+                parts.append(f" w{rng.randint(0, 999)} &amp; " if rng.random() < 0.6 else "")
+                if depth > 0 and rng.random() < 0.6:
+                    parts.append(element(rng.choice(inside.get(tag, "b i span").split()), depth - 1))
+            body = "".join(parts)
+        return f"<{tag}{attrs}>{body}</{tag}>"
+
+    for _ in range(300):
+        page = "<style>no</style>" + "".join(element("div", 5) for _ in range(3)) + "<script>no</script>"
+        seen = Visible()
+        seen.feed(page)
+        got = [w for w in extract_text(page).split() if w != "-" and not re.fullmatch(r"\d+\.", w)]
+        assert sorted(got) == sorted(seen.words), page
+        if "<table" not in page:
+            assert got == seen.words, page
+
+
 def test_every_visible_word_comes_once():
     rng = random.Random(5)
     tags = "p div b i ul li table tr td h2 span blockquote section a em dl dt dd ol article".split()

@@ -40,6 +40,12 @@ def test_viterbi_is_optimal_across_blocks(monkeypatch):
             assert total == pytest.approx(brute(own, 1.0), abs=1e-4)
 
 
+def test_viterbi_has_room_for_many_languages():
+    scores = np.zeros((6, 300), np.float32)
+    scores[:3, 299] = scores[3:, 200] = 9
+    assert langid.viterbi(scores, np.array([0, 6]), 1.0).tolist() == [299] * 3 + [200] * 3
+
+
 def test_spans_of_mixed_text(model, rng):
     english, german = prose(rng, 30), " ".join("".join(rng.choice(GERMAN) for _ in range(2)) for _ in range(20))
     found = langid.label_texts(model, pa.array([f"{english} {german} слово речь"]), 8.0)

@@ -22,8 +22,18 @@ def test_chunked_ids_are_the_tokenizers():
     assert at[-1] == at[-2]
 
 
+def test_every_letter_of_the_block_and_every_case_pair_has_the_tokenizers_ids():
+    plain = Tokenizer.from_file(PATH)
+    points = [c for c in map(chr, range(0x250)) if c not in "\n "]
+    points += [c for c in map(chr, range(0x250, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.lower() != c or c.upper() != c)]
+    texts = [f"{c}" for c in points] + [f"a{c}b {c}{c}1" for c in points]
+    ids, at = tokens.tokenizer(PATH).encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert list(ids[at[k] : at[k + 1]]) == plain.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20 * tokens.WORD_BYTES)
     own = tokens.ChunkTokenizer(PATH)
     for k in range(30):
         own.encode(pa.array([f"word{k} other{k}"]))
