@@ -93,7 +93,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a Parquet table in the shared folder and read it back, so that later stages prune its columns."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

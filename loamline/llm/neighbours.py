@@ -9,6 +9,8 @@ beam's unexpanded nodes to the graph until none is left, so it ends as a sequent
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from loamline.llm.common import cut, release, tidy
 
 LEAF = 256
-MOST_ROUNDS = 40
 PAIRS = 4096
 
 
@@ -83,12 +84,15 @@ def distinct_nodes(rows: DataFrame, keep: int, salts: int = 16) -> tuple[DataFra
 def _leaves(nodes: DataFrame, kind: str, count: int, trees: int, each: int) -> DataFrame:
     """First edges (v, u, d): the ``each`` nearest in the same leaf of random hyperplane trees; leaves are split at ``LEAF`` by id hash."""
     bits = max(0, int(np.log2(max(count, 1) / LEAF)))
+    # planes go through the mean, a number for each dimension
+    means = nodes.select(F.posexplode("vec").alias("at", "x")).groupBy("at").agg(F.avg("x")).collect()
+    centre = np.array([m for _, m in sorted(map(tuple, means))])
 
     def assign(batches):
         for batch in batches:
             x = matrix(batch.column("vec"))
             node, codes = batch.column("node").to_numpy(), to_codes(x, kind)
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            unit = (x - centre) / np.maximum(np.abs(x - centre).max(1, keepdims=True), 1e-300) if x.size else x
             for tree in range(trees):
                 planes = np.random.default_rng([tree, x.shape[1] if x.size else 0]).normal(size=(x.shape[1], bits)).astype(np.float32)
                 key = ((unit @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
@@ -254,27 +258,50 @@ def _merge(kind: str, beam: int, spread: int):
     return run
 
 
-def search(queries: DataFrame, codes: DataFrame, near: DataFrame, kind: str, beam: int = 192, spread: int = 96, entries: int = 32) -> DataFrame:
+def _begin(starts: list[tuple[int, bytes]], kind: str, spread: int):
+    """States of queries (query, node, code) before their first step: their own nodes and ``starts`` (id, code), all measured."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    entry, y = np.array([x[0] for x in starts], np.int64), from_codes([x[1] for x in starts], kind)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for query, node, code in zip(*(batch.column(c).to_pylist() for c in ("query", "node", "code")), strict=True):
+                ids, ds = entry, ((y - from_codes([code], kind)) ** 2).sum(1)
+                if node is not None:
+                    ids, ds = np.append(ids[entry != node], node), np.append(ds[entry != node], 0.0)
+                by = np.lexsort((ids, ds))
+                rows.append((query, code, ids[by], ds[by], np.arange(len(ids)) >= spread, np.sort(ids), ids[by][:spread]))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
+def search(queries: DataFrame, codes: DataFrame, near: DataFrame, kind: str, beam: int = 192, spread: int = 192, entries: int = 32) -> DataFrame:
     """Greedy graph search: (query, ids) with the ``beam`` nearest nodes found for each of ``queries`` (query, node, code).
 
-    A search begins at ``entries`` nodes drawn by hash, which all queries share, and at the query's own ``node`` if it has one."""
-    starts = [r[0] for r in codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
+    A search begins at ``entries`` nodes drawn by hash, which all queries share and are shipped with the code, and at the
+    query's own ``node`` if it has one. It goes on until its beam has no unexpanded node; queries that are done stay out
+    of later rounds. Each round expands nodes that were not expanded before, so there is a last one."""
+    starts = [tuple(r) for r in codes.select("id", "code").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
+    state = cut(queries.select("query", "node", "code").mapInArrow(tidy(_begin(starts, kind, spread)), STATE))
     empty = {"ids": "array<long>", "ds": "array<double>", "open": "array<boolean>", "seen": "array<long>"}
-    state = queries.select("query", "code", *[F.array().cast(t).alias(n) for n, t in empty.items()])
-    own = F.when(F.col("node").isNotNull(), F.array("node")).otherwise(F.array().cast("array<long>"))
-    asked = queries.select("query", F.explode(F.array_distinct(F.concat(own, F.array(*[F.lit(s) for s in starts]).cast("array<long>")))).alias("node"))
-    for _ in range(MOST_ROUNDS):
-        measured = asked.join(codes, asked["node"] == codes["id"]).select("query", "code", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "node")
-        rows = state.select("query", "code", *empty, F.lit(None).cast("long").alias("node")).union(measured)
-        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(tidy(_merge(kind, beam, spread)), STATE))
-        release(queries.sparkSession)
+    done = state.where(F.size("want") == 0).select("query", "ids")
+    for number in itertools.count(1):
         going = state.where(F.size("want") > 0)
         if going.isEmpty():
-            break
+            return done
         reached = going.select("query", F.explode("want").alias("v")).join(near, "v").select("query", F.explode("near").alias("node"))
         sets = reached.groupBy("query").agg(F.collect_set("node").alias("nodes")).join(going.select("query", "seen"), "query")
         asked = sets.select("query", F.explode(F.array_except("nodes", "seen")).alias("node"))
-    return state.select("query", "ids")
+        measured = asked.join(codes, asked["node"] == codes["id"]).select("query", "code", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], "node")
+        rows = going.select("query", "code", *empty, F.lit(None).cast("long").alias("node")).union(measured)
+        state = cut(rows.repartition("query").sortWithinPartitions("query").mapInArrow(tidy(_merge(kind, beam, spread)), STATE))
+        done = done.union(state.where(F.size("want") == 0).select("query", "ids"))
+        if number % 4 == 0:
+            release(queries.sparkSession)
 
 
 def measured(found: DataFrame, nodes: DataFrame, queries: DataFrame, most: int) -> DataFrame:

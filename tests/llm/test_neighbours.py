@@ -58,3 +58,21 @@ def test_distances_of_near_copies_do_not_cancel():
 
 def test_a_round_compares_twelve_neighbours():
     assert inspect.signature(nn.build_graph).parameters["sample"].default == 12
+
+
+def test_vectors_far_from_the_origin_keep_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    for offset in (20.0, 1000.0, 1e6):
+        x = rng.normal(size=(1500, 16)) + offset
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        out = nn.nearest(table, table.where("vec_id % 100 = 0")).collect()
+        rows = list(enumerate(x))
+        hits = sum(len({i for i, _ in brute(rows, q, 10)} & {r["vec_id"] for r in out if r["query_id"] == q}) for q in range(0, 1500, 100))
+        assert hits >= 0.9 * 150, (offset, hits)
+
+
+def test_huge_vectors_are_found(spark):
+    rows = [(i, [1e100 * (i + 1), -1e100]) for i in range(6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r["query_id"]: r["vec_id"] for r in nn.nearest(table, table, k=1).collect()}
+    assert out[0] == 1 and out[5] == 4
