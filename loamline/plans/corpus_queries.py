@@ -34,12 +34,11 @@ OPENINGS = [
     "export default function ", "impl ", "catch (", "except: ", "x.unwrap() ", "bail!(", "call(", "type ", "// TODO ", "# note ", "    ", "System.out.println(", "echo 'DEBUG", "printf(", "export const ", "async def ",
 ]
 EXTENSIONS = ["rs", "py", "go", "js", "java", "c", "sh", "txt", "mjs", "rb"]
-CODE_SQL = (
-    "code AS (SELECT 'f' || doc_id || '.' || ([" + ", ".join(repr(e) for e in EXTENSIONS) + f"])[1 + doc_id % {len(EXTENSIONS)}] AS path, doc_id, line, "
-    "CASE WHEN (doc_id + line) % 5 = 0 OR (doc_id + line) % 5 = 1 AND doc_id % 2 = 0 THEN '' ELSE (["
-    + ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS)
-    + f"])[1 + (doc_id * 7 + line * 3) % {len(OPENINGS)}] || left(text, 20 + line % 50) || CASE WHEN line % 4 = 0 THEN ' {{' WHEN line % 11 = 0 THEN '?;' ELSE '' END END AS text FROM lines)"
-)
+_OPENING_SQL = "([" + ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS) + f"])[1 + (doc_id * 7 + line * 3) % {len(OPENINGS)}]"
+#: Each line of a document, opened and closed as code, and up to two blank lines after it.
+CODE_SQL = f"""opened AS (SELECT *, unnest(range(1 + CASE (doc_id + line) % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 - doc_id % 2 ELSE 0 END)) AS nth FROM lines),
+code AS (SELECT 'f' || doc_id || '.' || ([{", ".join(repr(e) for e in EXTENSIONS)}])[1 + doc_id % {len(EXTENSIONS)}] AS path, doc_id, CAST(line * 3 - 2 + nth AS INTEGER) AS line,
+  CASE WHEN nth > 0 THEN '' ELSE {_OPENING_SQL} || text || CASE WHEN line % 4 = 0 THEN ' {{' WHEN line % 11 = 0 THEN '?;' ELSE '' END END AS text FROM opened)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -73,11 +72,12 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n = F.col("doc_id"), F.col("line")
     at = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (F.lit(1) + k).cast("int"))
-    blank = ((d + n) % 5 == 0) | (((d + n) % 5 == 1) & (d % 2 == 0))
+    blanks = F.when((d + n) % 5 == 0, 2).when((d + n) % 5 == 1, (1 - d % 2).cast("int")).otherwise(0)
     end = F.when(n % 4 == 0, " {").when(n % 11 == 0, "?;").otherwise("")
-    made = F.concat(at(OPENINGS, (d * 7 + n * 3) % len(OPENINGS)), F.left("text", 20 + n % 50), end)
+    made = F.concat(at(OPENINGS, (d * 7 + n * 3) % len(OPENINGS)), F.col("text"), end)
     path = F.concat(F.lit("f"), d.cast("string"), F.lit("."), at(EXTENSIONS, d % len(EXTENSIONS)))
-    return doc_lines(spark, sf_dir).select(path.alias("path"), "doc_id", "line", F.when(blank, "").otherwise(made).alias("text"))
+    own = doc_lines(spark, sf_dir).select(path.alias("path"), "doc_id", "line", made.alias("text"), F.explode(F.sequence(F.lit(0), blanks)).alias("nth"))
+    return own.select("path", "doc_id", (F.col("line") * 3 - 2 + F.col("nth")).alias("line"), F.when(F.col("nth") > 0, "").otherwise(F.col("text")).alias("text"))
 
 
 def _in(values) -> str:
@@ -288,12 +288,12 @@ def batch_search(spark, sf_dir):
     return search.batch_hits(files(spark, sf_dir), wanted)
 
 
-_SYMBOLS_SQL = """symbols AS (SELECT path, regexp_extract(text, '^[A-Z][a-z]+') AS name, line AS start_line, line + 3 + length(text) % 4 AS end_line FROM lines WHERE line % 3 = 1 AND regexp_matches(text, '^[A-Z][a-z]{2,} ') AND length(text) < 400)"""
+_SYMBOLS_SQL = """symbols AS (SELECT path, regexp_extract(text, '^[A-Z][a-z]+') AS name, line AS start_line, line + 3 + length(text) % 4 AS end_line FROM lines WHERE regexp_matches(text, '^[A-Z][a-z]{2,} '))"""
 
 
 def symbols(spark, sf_dir) -> DataFrame:
-    """Short lines that begin with a capital word, as definitions of it that last some lines."""
-    own = text.lines(files(spark, sf_dir), "path").where((F.col("line") % 3 == 1) & F.col("text").rlike("^[A-Z][a-z]{2,} ") & (F.length("text") < 400))
+    """Lines that begin with a capital word, as definitions of it that last some lines."""
+    own = text.lines(files(spark, sf_dir), "path").where(F.col("text").rlike("^[A-Z][a-z]{2,} "))
     none = lambda t: F.lit(None).cast(t)
     return own.select(
         "path", F.lit("prose").alias("lang"), F.lit("function").alias("kind"), F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("name"), none("string").alias("parent"), F.col("line").alias("start_line"),
@@ -408,15 +408,15 @@ def tabular_outline(spark, sf_dir):
 
 @query(
     "read_ranges",
-    f"{BASE}, r AS (SELECT doc_id AS ord, path, 2 + doc_id % 3 AS first, 4 + doc_id % 5 AS last FROM files WHERE doc_id % 7 = 0) SELECT ord, l.path, line, text FROM r JOIN lines l ON r.path = l.path AND line BETWEEN first AND last",
+    f"{BASE}, r AS (SELECT doc_id AS ord, path, 2 + doc_id % 3 AS first, 4 + doc_id % 5 AS last FROM files) SELECT ord, l.path, line, text FROM r JOIN lines l ON r.path = l.path AND line BETWEEN first AND last",
 )
 def read_ranges(spark, sf_dir):
     own = files(spark, sf_dir)
-    ranges = own.where("doc_id % 7 = 0").select(F.col("doc_id").alias("ord"), "path", (2 + F.col("doc_id") % 3).alias("first"), (4 + F.col("doc_id") % 5).alias("last"))
+    ranges = own.select(F.col("doc_id").alias("ord"), "path", (2 + F.col("doc_id") % 3).alias("first"), (4 + F.col("doc_id") % 5).alias("last"))
     return views.read_ranges(own, ranges)
 
 
-_HEADED = "CASE WHEN line % 4 = 1 THEN repeat('#', CAST(1 + (doc_id + line) % 3 AS INTEGER)) || ' ' || left(text, 12) WHEN line % 9 = 0 THEN '```' ELSE text END"
+_HEADED = "CASE WHEN line % 4 = 1 THEN repeat('#', CAST(1 + (doc_id + line) % 3 AS INTEGER)) || ' ' || text WHEN line % 9 = 0 THEN '```' ELSE text END"
 
 
 @query(
@@ -429,7 +429,7 @@ SELECT a.path, a.line, CAST(a.level AS INTEGER) AS level, CAST(coalesce(min(b.li
 def headings(spark, sf_dir):
     own = doc_lines(spark, sf_dir)
     marks = F.repeat(F.lit("#"), (1 + (F.col("doc_id") + F.col("line")) % 3).cast("int"))
-    line = F.when(F.col("line") % 4 == 1, F.concat(marks, F.lit(" "), F.left("text", F.lit(12)))).when(F.col("line") % 9 == 0, "```").otherwise(F.col("text"))
+    line = F.when(F.col("line") % 4 == 1, F.concat(marks, F.lit(" "), F.col("text"))).when(F.col("line") % 9 == 0, "```").otherwise(F.col("text"))
     whole = own.withColumn("text", line).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
     return search.headings(whole.withColumn("content", F.concat("content", F.lit("\n")))).select("path", "line", "level", "end_line")
 
@@ -461,9 +461,9 @@ def hunk_numbers(spark, sf_dir):
     return diff.renumbered(own, hunks).select("file_no", "hunk_no", "seq", "kind", "old_no", "new_no")
 
 
-@query("secret_hits", f"""WITH {NAMES_SQL}, n AS (SELECT doc_id, path FROM named WHERE doc_id % 3 = 0) SELECT doc_id, CASE WHEN regexp_matches(path, '(^|/)(\\.env(\\.local)?|id_rsa|server\\.pem|credentials\\.json|\\.netrc)$') THEN '(redacted)' ELSE path END AS text FROM n""")
+@query("secret_hits", f"""WITH {NAMES_SQL}, n AS (SELECT doc_id, path FROM named) SELECT doc_id, CASE WHEN regexp_matches(path, '(^|/)(\\.env(\\.local)?|id_rsa|server\\.pem|credentials\\.json|\\.netrc)$') THEN '(redacted)' ELSE path END AS text FROM n""")
 def secret_hits(spark, sf_dir):
-    own = named(spark, sf_dir).where("doc_id % 3 = 0").withColumn("text", F.col("path"))
+    own = named(spark, sf_dir).withColumn("text", F.col("path"))
     return search.redacted(own).select("doc_id", "text")
 
 
