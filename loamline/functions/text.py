@@ -188,6 +188,14 @@ def is_plain_comment(line: Column, kind: Column) -> Column:
     return by_family(kind, rule) & ~holds(F.upper(line), KEEP_MARKERS)
 
 
+def with_meta(header: dict[str, Column], body: Column, as_of: Column | None = None) -> Column:
+    """A text under one line of JSON with its header, and the time it holds for; without either the text alone."""
+    fields = [value.alias(name) for name, value in header.items()]
+    if as_of is not None:
+        fields.append(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("if_modified_since"))
+    return F.concat(F.to_json(F.struct(*fields)), F.lit("\n\n"), body) if fields else body
+
+
 def truncate_bytes(text: str | None, most: int) -> str | None:
     """The longest prefix of at most ``most`` bytes that ends between characters."""
     return None if text is None else text.encode("utf-8", "surrogatepass")[:most].decode("utf-8", "ignore")

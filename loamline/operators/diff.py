@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import text
+from loamline.operators.graph import in_spans
 from loamline.sources.extract import blank
 
 RATIO, DICE = 0.8, 0.8
@@ -114,8 +117,9 @@ def structure(body: str, lang: str, name: str) -> list[str]:
 
 def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols with body, content hash and structural hash."""
-    lines = F.slice(F.split("content", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    own = symbols.join(files.select("path", "content"), "path").withColumn("body", F.array_join(lines, "\n")).drop("content")
+    each = files.select("path", F.split("content", "\n").alias("lines"))  # a content is split once, not for each of its symbols
+    body = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    own = symbols.join(each, "path").withColumn("body", body).drop("lines")
 
     def run(batches):
         for batch in batches:
@@ -132,11 +136,12 @@ def bigrams(value: str) -> Counter:
     return Counter(value[k : k + 2] for k in range(len(value) - 1))
 
 
-def dice(a: str, b: str) -> float:
-    """Share of character pairs in common, white space left out; equal texts are 1."""
-    x, y = bigrams(a), bigrams(b)
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else float(a.split() == b.split())
+def dice(a: str, b: str, kept: dict[str, Counter] | None = None) -> float:
+    """Share of character pairs in common, white space left out; equal texts are 1. ``kept`` holds pairs of texts met before."""
+    kept = {} if kept is None else kept
+    x, y = (kept[t] if t in kept else kept.setdefault(t, bigrams(t)) for t in (a, b))
+    total = x.total() + y.total()
+    return 2 * (x & y).total() / total if total else float(a.split() == b.split())
 
 
 CHANGES = "path string, kind string, parent string, name string, change string, old_name string, confidence string, score double, count int, line int, old_signature string, new_signature string"
@@ -193,11 +198,16 @@ def match_file(old: list[dict], new: list[dict]) -> list[dict]:
                 add("added", None, y, "ambiguous", count=count)
         loose_old = [x for x in loose_old if x not in a]
         loose_new = [y for y in loose_new if y not in b]
-    scored = []
-    for i, x in enumerate(loose_old):
-        for j, y in enumerate(loose_new):
-            sizes = sorted((len(x["body"].encode()), len(y["body"].encode())))
-            if x["kind"] == y["kind"] and sizes[1] and sizes[0] / sizes[1] >= RATIO and (s := dice(x["body"], y["body"])) >= DICE:
+    scored, kept = [], {}
+    size = lambda s: len(s["body"].encode())
+    by_size = sorted((x["kind"], size(x), i) for i, x in enumerate(loose_old))
+    for j, y in enumerate(loose_new):
+        n = size(y)
+        low = bisect_left(by_size, (y["kind"], math.ceil(n * RATIO - 1e-9), -1))
+        for kind, m, i in by_size[low:]:  # only bodies of a kind and of about the same size
+            if kind != y["kind"] or n < m * RATIO:
+                break
+            if n and (s := dice(loose_old[i]["body"], y["body"], kept)) >= DICE:
                 scored.append((-s, i, j))
     used_old, used_new = set(), set()
     for s, i, j in sorted(scored):
@@ -247,14 +257,23 @@ def blast(changes: DataFrame, calls: DataFrame) -> DataFrame:
     return named.join(calls, named["name"] == calls["callee"], "left").groupBy("name").agg(F.count("callee").alias("callers"))
 
 
-def attributed(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Changed diff lines with the innermost symbol of the new version that they are in; removed lines go by where they stood between new ones."""
+def attributed(lines: DataFrame, symbols: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Changed diff lines with the innermost symbol that they are in: of the new version, or for removed lines of ``gone``, the
+    symbols of the old version that are deleted. Other removed lines go by where they stood between new ones."""
     near = F.coalesce("new_line", F.last("new_line", ignorenulls=True).over(Window.partitionBy("patch", "path", "hunk_no").orderBy("seq")))
-    own = lines.withColumn("_at", near).where("kind IN ('+', '-')").alias("d")
-    within = (F.col("d.path") == F.col("s.path")) & F.col("_at").between(F.col("s.start_line"), F.col("s.end_line"))
-    found = own.join(symbols.select("path", "name", "start_line", "end_line").alias("s"), within, "left")
-    keys = ["patch", "d.path", "hunk_no", "seq", "d.kind", "content"]
-    return found.groupBy(*keys).agg(F.max_by("name", F.struct("s.start_line", -F.col("s.end_line"))).alias("symbol"))
+    own = lines.withColumn("line", near).where("kind IN ('+', '-')").select("patch", "path", "hunk_no", "seq", "kind", "content", "line", "old_line")
+
+    def innermost(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        spans = of.select("path", "name", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+        best = F.max_by("name", F.struct("first", (-F.col("last")).alias("e")))
+        return in_spans(rows.distinct(), spans).groupBy("path", "line").agg(best.alias(name))
+
+    out = own.join(innermost(own.select("path", "line"), symbols, "symbol"), ["path", "line"], "left")
+    if gone is not None:
+        removed = own.where("kind = '-'").select("path", F.col("old_line").alias("line"))
+        old = innermost(removed, gone, "_old").select(F.col("path"), F.col("line").alias("old_line"), "_old")
+        out = out.join(old, ["path", "old_line"], "left").withColumn("symbol", F.when(F.col("kind") == "-", F.coalesce("_old", "symbol")).otherwise(F.col("symbol")))
+    return out.select("patch", "path", "hunk_no", "seq", "kind", "content", "symbol")
 
 
 def conflicts(lines: DataFrame) -> DataFrame:

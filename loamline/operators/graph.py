@@ -35,20 +35,76 @@ def second_hop(calls: DataFrame, hits: DataFrame, limit: int = SECOND_HOP_SHOWN)
     return found.where("caller IS NOT NULL").groupBy("caller", "path").agg(F.min("line").alias("line"), F.min("via").alias("via")).orderBy("path", "line", "caller").limit(limit)
 
 
+SPAN_BLOCK = 256  #: spans and lines meet by path and block of so many lines, so a long file is many small groups
+
+
+def in_spans(lines: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of ``lines`` (path, line, ...) and ``spans`` (path, first, last, ...) with the line in the span; columns must differ but for the path and ``keys``."""
+    block = lambda c: F.floor(F.col(c) / SPAN_BLOCK)
+    held = spans.where("first <= last").withColumn("_block", F.explode(F.sequence(block("first"), block("last"))))
+    return lines.withColumn("_block", block("line")).join(held, ["path", *keys, "_block"]).where("line BETWEEN first AND last").drop("_block")
+
+
 def enclosing(hits: DataFrame, symbols: DataFrame, strict_header: bool = True) -> DataFrame:
     """Innermost definition around each (path, line), with its parent; null outside of any.
 
-    With ``strict_header`` the first line of a member belongs to what is around it. The join has the path as its key."""
-    spans = symbols.select("path", "name", "kind", "parent", "start_line", "end_line")
-    from_line = F.when(F.col("parent").isNotNull() & F.lit(strict_header), F.col("s.start_line") + 1).otherwise(F.col("s.start_line"))
-    within = (F.col("h.path") == F.col("s.path")) & (F.col("line") >= from_line) & (F.col("line") <= F.col("s.end_line"))
-    lines = hits.select("path", "line").distinct().alias("h")
-    found = lines.join(spans.alias("s"), within, "left")
-    best = F.max_by(F.struct("name", "kind", "parent", "s.start_line", "s.end_line"), F.struct("s.start_line", (-F.col("s.end_line")).alias("e")))
-    inner = found.groupBy("h.path", "line").agg(best.alias("in")).select("path", "line", F.col("in.name").alias("in_name"), F.col("in.kind").alias("in_kind"), F.col("in.parent").alias("in_parent"))
+    With ``strict_header`` the first line of a member belongs to what is around it."""
+    first = F.when(F.col("parent").isNotNull() & F.lit(strict_header), F.col("start_line") + 1).otherwise(F.col("start_line"))
+    spans = symbols.select("path", "name", "kind", "parent", "start_line", first.alias("first"), F.col("end_line").alias("last"))
+    found = in_spans(hits.select("path", "line").distinct(), spans)
+    best = F.max_by(F.struct("name", "kind", "parent"), F.struct("start_line", (-F.col("last")).alias("e")))
+    inner = found.groupBy("path", "line").agg(best.alias("in")).select("path", "line", F.col("in.name").alias("in_name"), F.col("in.kind").alias("in_kind"), F.col("in.parent").alias("in_parent"))
     return hits.join(inner, ["path", "line"], "left")
 
 
+def outline_entries(symbols: DataFrame) -> DataFrame:
+    """Entries (path, entry, entry_name, first, last) of each file's outline, numbered in order."""
+    number = F.row_number().over(Window.partitionBy("path").orderBy("start_line", "ord"))
+    return symbols.select("path", number.alias("entry"), F.col("name").alias("entry_name"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+
+
+def entry_of(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """``hits`` (path, line, ...) with ``entry``, the first outline entry that the line is in, or null."""
+    found = in_spans(hits.select("path", "line").distinct(), entries).groupBy("path", "line").agg(F.min("entry").alias("entry"))
+    return hits.join(found, ["path", "line"], "left")
+
+
+def outline_context(hits: DataFrame, symbols: DataFrame, around: int = 2) -> DataFrame:
+    """(path, line, entry, entry_name, here): outline entries around the one that holds each hit, which ``here`` marks."""
+    entries = outline_entries(symbols)
+    own = entry_of(hits.select("path", "line").distinct(), entries).where("entry IS NOT NULL").withColumnRenamed("entry", "at")
+    near = own.withColumn("entry", F.explode(F.sequence(F.col("at") - around, F.col("at") + around)))
+    return near.join(entries, ["path", "entry"]).select("path", "line", "entry", "entry_name", (F.col("entry") == F.col("at")).alias("here"))
+
+
+def usage_groups(shown: DataFrame, symbols: DataFrame, least_lines: int = 50) -> DataFrame:
+    """``shown`` hits (place, path, line, is_definition, impl_target, def_name, start_line, end_line, est_lines) in groups, in display order.
+
+    Neighbours in display order that are usages in one entry of a file of ``least_lines`` or more are one group; a definition
+    is a group of its own, and is shown once. What is shown is bounded, and so is the window over it."""
+    own = F.col("is_definition") | F.col("impl_target").isNotNull()
+    same = Window.partitionBy(own, "path", "line", "start_line", "end_line", "def_name", "impl_target").orderBy("place")
+    once = shown.withColumn("_n", F.row_number().over(same)).where(~own | (F.col("_n") == 1))
+    rows = entry_of(once.drop("_n"), outline_entries(symbols))
+    before = lambda c: F.lag(c).over(Window.orderBy("place"))
+    joins = ~own & ~F.coalesce(before(own), F.lit(True)) & (before("path") == F.col("path")) & (F.col("est_lines") >= least_lines) & (before("entry") == F.col("entry"))
+    begins = rows.withColumn("_begins", (~F.coalesce(joins, F.lit(False))).cast("int"))
+    grouped = begins.withColumn("group", F.sum("_begins").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    out = grouped.groupBy("group").agg(F.min("place").alias("place"), F.first("path").alias("path"), F.array_sort(F.collect_list("line")).alias("lines"), F.bool_or(own).alias("is_definition"))
+    return out.orderBy("group")
+
+
+def lookup(wanted: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Outcome of each of ``wanted`` (path, name): found with the first such definition's span, missing, or unavailable where no code can be read."""
+    code = files.where(names.file_kind(F.col("path")).startswith("code:") & F.col("content").isNotNull())
+    lines = F.when(F.col("content") == "", 0).otherwise(F.length(F.regexp_replace("content", "[^\n]", "")) + F.when(F.col("content").endswith("\n"), 0).otherwise(1))
+    there = code.select("path", lines.alias("lines"))
+    spans = symbols.groupBy("path", "name").agg(F.min_by(F.struct("start_line", "end_line"), F.struct("start_line", "ord")).alias("at"))
+    own = wanted.join(there, "path", "left").join(spans, ["path", "name"], "left")
+    outcome = F.when(F.col("lines").isNull(), "unavailable").when(F.col("at").isNull(), "missing").otherwise("found")
+    return own.select("path", "name", outcome.alias("outcome"), F.col("at.start_line").alias("start_line"), F.col("at.end_line").alias("end_line"), "lines")
+
+
 def import_candidates(imports: DataFrame) -> DataFrame:
     """(path, source, line, ord, place, candidate): paths that an import may mean, in the order in which they are tried."""
     folder, src = names.parent(F.col("path")), F.col("source")
@@ -131,6 +187,14 @@ def two_hops(edges: DataFrame, path: str, caller: str, limit: int = 15) -> DataF
     return near.union(far.select(F.lit(2), "target_path", "callee", "target_line"))
 
 
+def is_external(lang: Column, source: Column) -> Column:
+    """Whether an import names something from outside by its form alone, which languages that need a build to tell always do."""
+    return (
+        F.when(lang == "rust", ~text.begins(source, ["crate::", "self::", "super::"])).when(lang.isin("javascript", "typescript", "tsx"), ~text.begins(source, [".", "@/", "~/"]))
+        .when(lang.isin("python", "bash"), ~source.startswith(".")).when(lang.isin("c", "cpp"), ~source.startswith('"')).otherwise(True)
+    )
+
+
 def is_library(lang: Column, source: Column) -> Column:
     root = lambda sep: F.substring_index(source, sep, 1)
     return (

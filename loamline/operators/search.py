@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, rank, text
+from loamline.operators import graph
 
 SHOWN, SHOWN_IN_FULL = 10, 100
 HIT = "path line text is_definition exact def_name def_weight impl_target start_line end_line est_lines mtime".split()
@@ -164,14 +165,30 @@ def multi_word_pattern(q: str) -> str:
 def batch_hits(files: DataFrame, wanted: DataFrame, limit: int = SHOWN) -> DataFrame:
     """Hits of many literals in one pass: ``wanted`` has (query_no, query); the first ``limit`` of each by path and line, with totals.
 
-    Lines are split once; queries are few and broadcast (at most ten in a batch)."""
-    if wanted.limit(11).count() > 10:
+    Contents without any of the literals are not split. Queries are at most ten, and so is what the driver sees of them."""
+    asked = [tuple(r) for r in wanted.select("query_no", "query").limit(11).collect()]
+    if len(asked) > 10:
         raise ValueError("a batch has at most ten queries")
-    rows = file_lines(searchable(files)).join(F.broadcast(wanted), F.contains("text", "query"))
-    totals = rows.groupBy("query_no").agg(F.count("*").alias("total_found"))
+    literals = [q for _, q in asked if q is not None]
+    rows = file_lines(searchable(files).where(text.holds(F.col("content"), literals) if literals else F.lit(False)))
+    hit = F.array_compact(F.array(*[F.when(F.col("text").contains(q), F.lit(n)) for n, q in asked if q is not None])) if literals else F.array().cast("array<int>")
+    found = rows.select(F.explode(hit).alias("query_no"), "path", "line", "text").withColumn("query_no", F.col("query_no").cast(wanted.schema["query_no"].dataType))
+    totals = found.groupBy("query_no").agg(F.count("*").alias("total_found"))
     order = Window.partitionBy("query_no").orderBy("path", "line")
-    best = rows.select("query_no", "path", "line", "text").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return best.join(F.broadcast(totals), "query_no")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return best.join(F.broadcast(totals), "query_no")  # at most ten rows
+
+
+def boost_term(hits: DataFrame) -> DataFrame:
+    """Hits with the term that lines of their expansion are weighed by: what is implemented, else what is defined."""
+    return hits.withColumn("boost", F.coalesce("impl_target", "def_name"))
+
+
+def markdown_scopes(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits (path, line) with the heading of the deepest section that they are in, or null; a heading's line is in its own section."""
+    spans = headings(files.where(names.file_kind(F.col("path")) == "markdown")).select("path", F.col("line").alias("first"), F.col("end_line").alias("last"), "title", "level")
+    found = graph.in_spans(hits.select("path", "line").distinct(), spans).groupBy("path", "line").agg(F.max_by("title", "first").alias("title"))
+    return hits.join(found, ["path", "line"], "left")
 
 
 def grouped_lines(hits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import names, text
+from loamline.operators.graph import in_spans
 
 OUTLINE_FROM, FULL_BYTES = 6000, 2_000_000
 DIVERSE_FROM, DIVERSE_LINES = 80, 40
@@ -30,9 +31,8 @@ def read_mode(files: DataFrame, full: bool = False) -> DataFrame:
 
 def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Lines of ``ranges`` (ord, path, first, last) in request order; overlaps are given each time."""
-    lines = text.lines(files, "path")
-    within = (F.col("l.path") == F.col("r.path")) & F.col("line").between(F.col("first"), F.col("last"))
-    return ranges.alias("r").join(lines.alias("l"), within).select("ord", "r.path", "line", "text").orderBy("ord", "line")
+    wanted = ranges.join(files.select("path", "size"), "path").withColumn("last", F.least("last", F.col("size") + 1)).drop("size")
+    return in_spans(text.lines(files, "path"), wanted).select("ord", "path", "line", "text").orderBy("ord", "line")
 
 
 def skipped_lines(lines: DataFrame) -> DataFrame:
@@ -225,15 +225,34 @@ def read_many(files: DataFrame, wanted: DataFrame, budget: int = DEFAULT_BUDGET)
 
 
 def expanded_hits(files: DataFrame, hits: DataFrame, around: int = 10, whole_below: int = 800) -> DataFrame:
-    """Lines shown for each expanded hit (path, line, start_line, end_line): the file if it is small, else the definition or some lines around."""
+    """Lines shown for each expanded hit (path, line, start_line, end_line): the file if it is small, else the definition or some lines around.
+
+    Where a definition is shown from one of the first five lines of its file, imports and blank lines before any other are left
+    out, and everywhere debug logs, plain comments and all but the first of blank lines in a row; ``gap`` says how many lines
+    are left out before a line, where more than three are."""
     own = hits.join(files.select("path", "size"), "path")
     whole = text.tokens_of_bytes(F.col("size")) < whole_below
     first = F.when(whole, 1).otherwise(F.coalesce("start_line", F.greatest(F.col("line") - around, F.lit(1))))
-    last = F.when(whole, 1 << 30).otherwise(F.coalesce("end_line", F.col("line") + around))
-    spans = own.select("path", F.col("line").alias("hit_line"), first.alias("first"), last.alias("last"))
-    lines = text.lines(files.join(spans.select("path").distinct(), "path", "left_semi"), "path")
-    within = (F.col("s.path") == F.col("l.path")) & F.col("l.line").between(F.col("s.first"), F.col("s.last"))
-    return spans.alias("s").join(lines.alias("l"), within).select("s.path", "hit_line", "line", "text")
+    last = F.when(whole, F.col("size") + 1).otherwise(F.least(F.coalesce("end_line", F.col("line") + around), F.col("size") + 1))
+    spans = own.select("path", F.col("line").alias("hit_line"), first.alias("first"), last.alias("last"), (F.col("start_line").isNotNull() & (first <= 5)).alias("_heads"))
+    lines = skipped_lines(text.lines(files.join(spans.select("path").distinct(), "path", "left_semi"), "path"))
+    shown = in_spans(lines, spans)
+    head = F.ltrim("text").rlike(r"^(?:use |import |from |#include|require[( ]|const .*= require\(|\s*$)")
+    order = Window.partitionBy("path", "hit_line").orderBy("line")
+    leading = F.col("_heads") & (F.count_if(~head).over(order) == 0) & (F.count_if(~head).over(Window.partitionBy("path", "hit_line")) > 0)
+    out = shown.withColumn("_leads", leading).where((~F.col("skip") & ~F.col("_leads")) | (F.col("line") == F.col("hit_line")))
+    before = F.col("line") - F.lag("line").over(order) - 1
+    return out.select("path", "hit_line", "line", "text", F.when(before > 3, before).alias("gap"))
+
+
+def is_import_line(lang: Column, line: Column) -> Column:
+    """Whether a line begins an import of a language."""
+    t = F.ltrim(line)
+    return F.coalesce(
+        F.when(lang == "rust", t.startswith("use ")).when(lang.isin("javascript", "typescript", "tsx"), text.begins(t, ["import ", "import{"])).when(lang == "python", text.begins(t, ["import ", "from "]))
+        .when(lang.isin("go", "java", "scala", "kotlin"), t.startswith("import ")).when(lang.isin("c", "cpp"), t.startswith("#include"))
+        .when(lang == "elixir", text.begins(t, ["alias ", "import ", "use ", "require "])).when(lang == "bash", t.rlike(r"^(?:source|\.)\s")), F.lit(False),
+    )
 
 
 def signatures(symbols: DataFrame, path: str) -> DataFrame:

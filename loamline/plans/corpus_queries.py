@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, rank, text
-from loamline.operators import diff, graph, search, views
+from loamline.operators import diff, edit, graph, search, views
 from loamline.sources.corpus import from_documents
 
 QUERIES: dict = {}
@@ -381,11 +381,10 @@ def glob_list(spark, sf_dir):
     return search.glob_files(files(spark, sf_dir), "src1*/{en,fr}/*1.txt")
 
 
-@query("similar_names", "SELECT c_name, levenshtein(c_name, 'Customer#000000042') AS distance FROM customer WHERE levenshtein(c_name, 'Customer#000000042') <= 2")
+@query("similar_names", "SELECT c_name AS name, levenshtein(c_name, 'Customer#00000x42') AS distance FROM customer WHERE levenshtein(c_name, 'Customer#00000x42') <= 3 ORDER BY distance, name LIMIT 1")
 def similar_names(spark, sf_dir):
-    own = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    near = F.levenshtein("c_name", F.lit("Customer#000000042"), 2)
-    return own.select("c_name", near.cast("long").alias("distance")).where("distance >= 0")
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("people/"), "c_name").alias("path"))
+    return search.similar_names(own, "people", "Customer#00000x42").select("name", F.col("distance").cast("long").alias("distance"))
 
 
 @query(
@@ -427,11 +426,16 @@ h AS (SELECT path, line, length(regexp_extract(text, '^#+')) AS level, last FROM
 SELECT a.path, a.line, CAST(a.level AS INTEGER) AS level, CAST(coalesce(min(b.line) - 1, greatest(any_value(a.last), a.line)) AS INTEGER) AS end_line FROM h a LEFT JOIN h b ON a.path = b.path AND b.line > a.line AND b.level <= a.level GROUP BY a.path, a.line, a.level""",
 )
 def headings(spark, sf_dir):
+    return search.headings(headed_files(spark, sf_dir)).select("path", "line", "level", "end_line")
+
+
+def headed_files(spark, sf_dir) -> DataFrame:
+    """Documents with a heading in every fourth line and fences between."""
     own = doc_lines(spark, sf_dir)
     marks = F.repeat(F.lit("#"), (1 + (F.col("doc_id") + F.col("line")) % 3).cast("int"))
     line = F.when(F.col("line") % 4 == 1, F.concat(marks, F.lit(" "), F.col("text"))).when(F.col("line") % 9 == 0, "```").otherwise(F.col("text"))
     whole = own.withColumn("text", line).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    return search.headings(whole.withColumn("content", F.concat("content", F.lit("\n")))).select("path", "line", "level", "end_line")
+    return whole.withColumn("content", F.concat("content", F.lit("\n")))
 
 
 _CONFLICT = "CASE line % 12 WHEN 2 THEN '<<<<<<< ours' WHEN 5 THEN '=======' WHEN 8 THEN '>>>>>>> theirs' ELSE text END"
@@ -473,14 +477,24 @@ def changed_files(spark, sf_dir):
     return search.changed_since(own, F.lit("2024-01-01 00:05:00").cast("timestamp")).select("path", "changed", "text")
 
 
-@query("packed_blocks")
+@query(
+    "packed_blocks",
+    f"""WITH RECURSIVE {FILES_SQL}, {SPLIT_SQL}, b AS (SELECT path AS owner, line AS ord, strlen(text) AS bytes, row_number() OVER (PARTITION BY path ORDER BY line % 10 <> 1, -(line * 7 % 13), line) AS n, line % 10 = 1 AS stays FROM lines),
+r(owner, n, used, kept) AS (SELECT DISTINCT owner, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM b
+  UNION ALL SELECT r.owner, b.n, CASE WHEN stays OR used + bytes <= 4000 THEN used + bytes ELSE used END, CASE WHEN stays OR used + bytes <= 4000 THEN list_append(kept, ord) ELSE kept END FROM r JOIN b ON b.owner = r.owner AND b.n = r.n + 1)
+SELECT owner, array_to_string(list_sort(arg_max(kept, n)), ',') AS kept FROM r GROUP BY owner""",
+)
 def packed_blocks(spark, sf_dir):
-    """First fit by worth: a fold that SQL has no window for."""
+    """First fit by worth."""
     own = doc_lines(spark, sf_dir).select(F.col("path").alias("owner"), F.col("line").alias("ord"), F.octet_length("text").cast("long").alias("bytes"), (F.col("line") * 7 % 13).alias("worth"), (F.col("line") % 10 == 1).alias("structural"))
-    return views.packed(own, 4000)
+    return views.packed(own, 4000).select("owner", F.array_join("kept", ",").alias("kept"))
 
 
-@query("path_suggestions")
+@query(
+    "path_suggestions",
+    f"""{BASE}, c AS (SELECT DISTINCT path, regexp_extract(lower(path), 's.*?1.*?e.*?4') AS m FROM files)
+SELECT path, CAST(100 - least(80, length(m) - 4) + CASE WHEN regexp_matches(regexp_extract(lower(path), '[^/]*$'), 's.*?1.*?e.*?4') THEN 20 ELSE 0 END - least(10, length(path) // 20) AS BIGINT) AS score FROM c WHERE m <> '' ORDER BY score DESC, path LIMIT 3""",
+)
 def path_suggestions(spark, sf_dir):
     return search.suggested(files(spark, sf_dir), "path", "s1e4")
 
@@ -505,3 +519,102 @@ def score_terms(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_search(spark, sf_dir)
+
+
+_SPEC = "CASE doc_id % 8 WHEN 0 THEN path || ':' || doc_id WHEN 1 THEN path || '#' || doc_id || '-' || (doc_id + 5) WHEN 2 THEN path || '#' || doc_id WHEN 3 THEN path || '###Title' WHEN 4 THEN path || '#words here' WHEN 5 THEN path || '#symbol' WHEN 6 THEN 'name:' || doc_id ELSE path END"
+
+
+@query(
+    "target_specs",
+    f"""WITH {NAMES_SQL}, q AS (SELECT doc_id, {_SPEC} AS q FROM named)
+SELECT doc_id, nullif(regexp_extract(q, '^(.*[/.].*):([0-9]+)$', 1), '') AS path, CAST(nullif(regexp_extract(q, '^(.*[/.].*):([0-9]+)$', 2), '') AS BIGINT) AS line,
+  CASE WHEN NOT contains(q, '#') THEN NULL ELSE ([NULL, 'range', 'line', 'heading', 'words', 'symbol'])[1 + doc_id % 8] END AS suffix FROM q""",
+)
+def target_specs(spark, sf_dir):
+    d, p = F.col("doc_id"), F.col("path")
+    made = F.concat(p, F.element_at(F.array(
+        F.concat(F.lit(":"), d.cast("string")), F.concat(F.lit("#"), d.cast("string"), F.lit("-"), (d + 5).cast("string")), F.concat(F.lit("#"), d.cast("string")), F.lit("###Title"), F.lit("#words here"), F.lit("#symbol"), F.lit(""), F.lit(""),
+    ), (d % 8 + 1).cast("int")))
+    own = named(spark, sf_dir).select("doc_id", F.when(d % 8 == 6, F.concat(F.lit("name:"), d.cast("string"))).otherwise(made).alias("q"))
+    return own.select("doc_id", queries.target_spec(F.col("q")).alias("t"), queries.section_suffix(F.col("q")).alias("suffix")).select("doc_id", "t.path", "t.line", "suffix")
+
+
+@query("pattern_list", f"{BASE}, g AS (SELECT path, size FROM files WHERE regexp_matches(path, '^[^/]*/de/[^/]*7\\.txt$') OR regexp_matches(path, '(^|/)[^/]*00\\.txt$')) SELECT path, size, (SELECT count(*) FROM g) AS total_found FROM g ORDER BY path LIMIT 20")
+def pattern_list(spark, sf_dir):
+    return search.glob_files(files(spark, sf_dir), "*/de/*7.txt", "*00.txt", depth=3)
+
+
+@query("folder_list", f"{BASE}, e AS (SELECT regexp_extract(path, '^[^/]*') || '/' AS entry, size FROM files) SELECT entry, CAST(ceil(sum(size) / 4) AS BIGINT) AS tokens FROM e GROUP BY entry")
+def folder_list(spark, sf_dir):
+    return views.directory_listing(files(spark, sf_dir), "")
+
+
+@query("stem_file", f"{BASE} SELECT path, 3 AS priority FROM files WHERE doc_id = 42")
+def stem_file(spark, sf_dir):
+    return search.basename_file(files(spark, sf_dir), "42")
+
+
+@query("binary_files", "SELECT doc_id, doc_id % 3 = 0 AS is_binary FROM documents")
+def binary_files(spark, sf_dir):
+    data = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit("").cast("binary"))
+    zero = F.concat(F.unhex(F.lit("610062")), data)
+    return documents(spark, sf_dir).select("doc_id", text.is_binary(F.when(F.col("doc_id") % 3 == 0, zero).otherwise(data)).alias("is_binary"))
+
+
+@query("seen_literals", f"{BASE} SELECT bool_or(contains(content, 'tion')) AS seen FROM files")
+def seen_literals(spark, sf_dir):
+    return search.seen_anywhere(files(spark, sf_dir), "tion")
+
+
+@query("kept_gaps", f"""{BASE}, k AS (SELECT path, line FROM lines WHERE contains(text, 'tion')) SELECT path, line, CAST(CASE WHEN line - lag(line) OVER w > 4 THEN line - lag(line) OVER w - 1 END AS INTEGER) AS gap FROM k WINDOW w AS (PARTITION BY path ORDER BY line)""")
+def kept_gaps(spark, sf_dir):
+    return views.gaps(doc_lines(spark, sf_dir).where(F.col("text").contains("tion")).select("path", "line")).select("path", "line", "gap")
+
+
+@query("meta_headers", f"""{BASE} SELECT path, '{{"tokens":' || CAST(ceil(size / 4) AS BIGINT) || ',"if_modified_since":"' || strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') || '"}}' || chr(10) || chr(10) || content AS text FROM files""")
+def meta_headers(spark, sf_dir):
+    own = files(spark, sf_dir)
+    return own.select("path", text.with_meta({"tokens": text.tokens(F.col("content"))}, F.col("content"), F.col("mtime")).alias("text"))
+
+
+@query("heading_suggestions", f"{BASE}, m AS (SELECT DISTINCT 'Part ' || doc_id % 40 AS title FROM files) SELECT title, levenshtein(lower(title), 'port 12') AS distance FROM m ORDER BY distance, title LIMIT 5")
+def heading_suggestions(spark, sf_dir):
+    own = files(spark, sf_dir).select("path", F.concat(F.lit("# Part "), (F.col("doc_id") % 40).cast("string"), F.lit("\n")).alias("content"))
+    return search.suggested_headings(own, "port 12")
+
+
+@query(
+    "section_scopes",
+    f"""{BASE}, m AS (SELECT path, doc_id, line, {_HEADED} AS text FROM lines), f AS (SELECT *, coalesce(sum(CASE WHEN text = '```' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced,
+  max(CASE WHEN trim(text) <> '' THEN line END) OVER (PARTITION BY path) AS last FROM m),
+h AS (SELECT path, line, length(regexp_extract(text, '^#+')) AS level, last FROM f WHERE NOT fenced AND regexp_matches(text, '^#{{1,6}}(\\s|$)')),
+s AS (SELECT a.path, a.line, coalesce(min(b.line) - 1, greatest(any_value(a.last), a.line)) AS past FROM h a LEFT JOIN h b ON a.path = b.path AND b.line > a.line AND b.level <= a.level GROUP BY a.path, a.line, a.level)
+SELECT m.path, m.line, count(s.line) AS depth FROM (SELECT path, line FROM m WHERE contains(text, 'an')) m LEFT JOIN s ON s.path = m.path AND m.line BETWEEN s.line AND s.past GROUP BY ALL HAVING count(s.line) > 0""".replace("count(s.line) AS depth", "max(s.line) AS heading_line"),
+)
+def section_scopes(spark, sf_dir):
+    """Lines with the heading of the section that they are in; a title here is its line's number."""
+    own = headed_files(spark, sf_dir)
+    hits = text.lines(own, "path").where(F.col("text").contains("an")).select("path", "line")
+    spans = search.headings(own).select("path", F.col("line").alias("first"), F.col("end_line").alias("last"), F.col("line").cast("string").alias("title"))
+    inner = graph.in_spans(hits, spans).groupBy("path", "line").agg(F.max(F.col("title").cast("int")).alias("heading_line"))
+    return inner
+
+
+@query(
+    "edited_texts",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT *, string_split(t, chr(10)) AS p FROM d), n AS (SELECT *, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM s)
+SELECT doc_id, CASE WHEN len(q) < 1 THEN t ELSE array_to_string(list_concat(['top', 'new'], list_concat(q[2:], ['end'])), chr(10)) || CASE WHEN p[len(p)] = '' THEN chr(10) ELSE '' END END AS content, len(q) < 1 AS failed FROM n""",
+)
+def edited_texts(spark, sf_dir):
+    """Each text with its first line replaced and one added at either end."""
+    section = "@ x\nreplace 1\n+ new\nprepend\n+ top\nappend\n+ end"
+    own = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.lit(section).alias("section"), F.lit(None).cast("string").alias("recorded"))
+    return edit.apply_edits(own).select(F.col("path").cast("long").alias("doc_id"), "content", F.col("error").isNotNull().alias("failed"))
+
+
+@query("cut_texts", "SELECT doc_id, (list_filter([left(text, i) FOR i IN range(0, 101)], lambda x: strlen(x) <= 100))[-1] AS head FROM documents")
+def cut_texts(spark, sf_dir):
+    from loamline.engine import register_functions
+
+    register_functions(spark)
+    return documents(spark, sf_dir).select("doc_id", F.call_function("truncate_bytes", F.col("text"), F.lit(100)).alias("head"))

@@ -135,6 +135,55 @@ def agent_tool_calls(events: DataFrame) -> DataFrame:
     return named.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+# Events of the two other kinds of streams: items within turns, and parts within steps.
+ITEM_EVENT = """type string, thread_id string, item struct<type:string,id:string,text:string,command:string,tool:string,arguments:string,file_path:string>,
+usage struct<input_tokens:long,cached_input_tokens:long,cache_write_input_tokens:long,cache_write_tokens:long,output_tokens:long>"""
+PART_EVENT = """type string, sessionID string, part struct<tool:string,callID:string,id:string,text:string,cost:double,state:struct<input:string>,
+tokens:struct<input:long,output:long,cache:struct<write:long,read:long>>>"""
+ITEM_TOOLS = {"command_execution": "Bash", "file_edit": "Edit", "file_write": "Write"}
+TURN = "session turn input_tokens output_tokens cache_creation_tokens cache_read_tokens".split()
+
+
+def item_stream(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, calls) of streams of items (session, line_no, text): a turn's items follow its start, usages go to turns in order.
+
+    Cached tokens and tokens written to the cache are parts of the input stated, and are taken off it."""
+    order = Window.partitionBy("session").orderBy("line_no")
+    events = rows.select("session", "line_no", F.from_json("text", ITEM_EVENT).alias("e")).where("e.type IS NOT NULL").select("session", "line_no", "e.*")
+    events = events.withColumns({"turn": F.count_if(F.col("type") == "turn.started").over(order), "ended": F.count_if(F.col("type") == "turn.completed").over(order)})
+    turns = events.where("type = 'turn.started'").select("session", "turn")
+    zero = lambda *cs: F.coalesce(*[F.when(F.col(f"usage.{c}") != 0, F.col(f"usage.{c}")) for c in cs], F.lit(0).cast("long"))
+    cached, written = zero("cached_input_tokens"), zero("cache_write_input_tokens", "cache_write_tokens")
+    usage = events.where("type = 'turn.completed'").select(
+        "session", F.col("ended").alias("turn"), F.greatest(zero("input_tokens") - cached - written, F.lit(0)).alias("input_tokens"), zero("output_tokens").alias("output_tokens"),
+        written.alias("cache_creation_tokens"), cached.alias("cache_read_tokens"),
+    )
+    turns = turns.join(usage, ["session", "turn"], "left").select("session", "turn", *[F.coalesce(c, F.lit(0)).alias(c) for c in TURN[2:]])
+    tools = F.create_map(*[F.lit(x) for pair in ITEM_TOOLS.items() for x in pair])
+    tool = F.when(F.col("item.type") == "mcp_tool_call", F.coalesce("item.tool", F.lit("unknown"))).otherwise(tools[F.col("item.type")])
+    given = F.when(F.col("item.type") == "mcp_tool_call", F.col("item.arguments")).otherwise(F.coalesce("item.command", "item.file_path"))
+    calls = events.where("type = 'item.completed' AND turn > 0").select("session", "turn", "line_no", F.coalesce("item.id", F.lit("")).alias("call_id"), tool.alias("tool"), given.alias("input"))
+    return turns, calls.where("tool IS NOT NULL")
+
+
+def part_stream(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, calls) of streams of parts (session, line_no, text): a finished step is a turn, which has the tools used since the step before.
+
+    A server's name that a tool has twice before its own stands once; tools after the last finished step belong to no turn."""
+    order = Window.partitionBy("session").orderBy("line_no")
+    events = rows.select("session", "line_no", F.from_json("text", PART_EVENT).alias("e")).where("e.type IS NOT NULL").select("session", "line_no", "e.*")
+    done = F.count_if(F.col("type") == "step_finish")
+    events = events.withColumns({"turn": F.coalesce(done.over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1, "turns": done.over(Window.partitionBy("session"))})
+    count = lambda c: F.coalesce(f"part.tokens.{c}", F.lit(0).cast("long"))
+    turns = events.where("type = 'step_finish'").select(
+        "session", "turn", count("input").alias("input_tokens"), count("output").alias("output_tokens"), count("cache.write").alias("cache_creation_tokens"), count("cache.read").alias("cache_read_tokens"),
+        F.coalesce("part.cost", F.lit(0.0)).alias("cost"),
+    )
+    tool = F.regexp_replace(F.coalesce("part.tool", F.lit("unknown")), r"^([^_]+_)\1", "$1")
+    calls = events.where("type = 'tool_use' AND turn <= turns").select("session", "turn", "line_no", F.coalesce("part.callID", "part.id", F.lit("")).alias("call_id"), tool.alias("tool"), F.col("part.state.input").alias("input"))
+    return turns, calls
+
+
 def stream_errors(events: DataFrame) -> DataFrame:
     """Last error of each session."""
     return events.where("error IS NOT NULL").groupBy("session").agg(F.max_by(F.concat_ws(": ", F.coalesce("subtype", F.lit("error")), "error"), "line_no").alias("error"))

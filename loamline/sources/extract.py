@@ -46,9 +46,9 @@ HEADS = {
         (r"(?:(?:public|private|protected|internal|static|final|abstract|sealed)\s+)*interface\s+(\w+)", "interface"),
         (r"(?:(?:public|private|protected|internal|static)\s+)*enum\s+(?:class\s+)?(\w+)", "enum"),
         (r"(?:(?:public|private|protected|internal|override|open|suspend|inline|final|implicit)\s+)*(?:fun|def)\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", "function"),
-        (r"(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)+[\w<>\[\],.? ]+?\s+(\w+)\s*\([^;]*$", "method"),
+        (r"(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)+[\w<>\[\],.? ]+?\s+(\w+)\s*\([^;{]*(?:\{|$)", "method"),
     ],
-    "c": [(r"(?:typedef\s+)?struct\s+(\w+)", "struct"), (r"(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)", "enum"), (r"class\s+(\w+)", "class"), (r"namespace\s+(\w+)", "module"), (r"(?:[\w:*&<>,]+\s+)+[*&]*(?:\w+::)*(\w+)\s*\([^;]*$", "function")],
+    "c": [(r"(?:typedef\s+)?struct\s+(\w+)", "struct"), (r"(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)", "enum"), (r"class\s+(\w+)", "class"), (r"namespace\s+(\w+)", "module"), (r"(?:[\w:*&<>,]+\s+)+[*&]*(?:\w+::)*(\w+)\s*\([^;{]*(?:\{|$)", "function")],
     "php": [(r"(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)", "function"), (r"(?:(?:abstract|final)\s+)*class\s+(\w+)", "class"), (r"interface\s+(\w+)", "interface"), (r"trait\s+(\w+)", "trait")],
     "swift": [(r"(?:(?:public|private|internal|open|static|final|override|mutating)\s+)*func\s+(\w+)", "function"), (r"(?:(?:public|private|internal|open|final)\s+)*(?:class|actor|extension)\s+(\w+)", "class"), (r"(?:public\s+)?struct\s+(\w+)", "struct"), (r"(?:public\s+)?enum\s+(\w+)", "enum"), (r"(?:public\s+)?protocol\s+(\w+)", "interface")],
     "ruby": [(r"def\s+(?:self\.)?(\w+[?!]?)", "function"), (r"class\s+([\w:]+)", "class"), (r"module\s+([\w:]+)", "module")],
@@ -75,6 +75,8 @@ IMPORT_LINE = {
     "swift": r"\s*import\s",
 }
 
+STATEMENT_LINES = 200  #: a head or an import goes on over so many lines at most
+
 REGISTERED: dict[str, Callable[[str, str], list[dict]]] = {}
 
 
@@ -178,37 +180,88 @@ def _block_end(code: list[str], at: int, column: int, lang: str) -> int:
     return len(code) - 1 if opened else at
 
 
+def _statements(code: list[str], lang: str) -> list[str]:
+    """Of each line, the statement that begins there: the line and those after it until its brackets are closed."""
+    out = list(code)
+    for k, line in enumerate(code):
+        depth = line.count("(") + line.count("[") - line.count(")") - line.count("]")
+        last = k
+        while depth > 0 and last + 1 < len(code) and last < k + STATEMENT_LINES:
+            last += 1
+            more = code[last]
+            depth += more.count("(") + more.count("[") - more.count(")") - more.count("]")
+        if last > k and depth <= 0:
+            out[k] = "\n".join(code[k : last + 1])
+    return out
+
+
+def _imports(raw: list[str], code: list[str], kin: str, lang: str) -> tuple[list[dict], set[int]]:
+    """Import rows and the lines (from 0) that they take; a group of imports in brackets has a row for each."""
+    out, taken = [], set()
+    for k, line in enumerate(code):
+        if k in taken or not line.strip() or not re.match(IMPORT_LINE[kin], raw[k]):
+            continue
+        pairs, last = [("(", ")"), ("{", "}")], k
+        while any("".join(code[k : last + 1]).count(a) > "".join(code[k : last + 1]).count(b) for a, b in pairs) and last + 1 < len(code) and last < k + STATEMENT_LINES:
+            last += 1
+        taken.update(range(k, last + 1))
+        if lang == "go" and "(" in line:
+            for n in range(k, last + 1):
+                out += [{"row": "import", "source": source, "name": source, "start_line": n + 1} for source in re.findall(r"[\"`]([^\"`]+)[\"`]", raw[n] if code[n].strip() or n > k else "") if not raw[n].lstrip().startswith("//")]
+            continue
+        source = import_source(" ".join(x.strip() for x in raw[k : last + 1]), lang)
+        out.append({"row": "import", "source": source, "name": source, "start_line": k + 1})
+    return out, taken
+
+
 def _scanned(path: str, content: str, lang: str) -> list[dict]:
     kin = SAME_HEADS.get(lang, lang)
-    heads = [(re.compile(r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*" + p), kind) for p, kind in HEADS.get(kin, [])]
-    raw, code, out = content.split("\n"), blank(content, lang).split("\n"), []
+    heads = [(re.compile(r"\s*(?:@\w+(?:\([^)]*\))?\s+)*" + p), kind) for p, kind in HEADS.get(kin, [])]
+    raw, code = content.split("\n"), blank(content, lang).split("\n")
+    out, taken = _imports(raw, code, kin, lang) if kin in IMPORT_LINE else ([], set())
     symbols: list[dict] = []
-    for k, line in enumerate(code):
-        if kin in IMPORT_LINE and re.match(IMPORT_LINE[kin], raw[k] if line.strip() else ""):
-            out.append({"row": "import", "source": import_source(raw[k], lang), "name": import_source(raw[k], lang), "start_line": k + 1})
-            continue
+    named: set[tuple[int, str]] = set()  # line and name of each definition, which is no call
+
+    def take(k: int, column: int, text: str) -> bool:
+        """Take the definition whose head is at a column of line k, if one is there."""
         for pattern, kind in heads:
-            if (m := pattern.match(line)) and m[1] not in NOT_CALLS:
-                end = _block_end(code, k, m.end(), lang)
-                outer = next((s for s in reversed(symbols) if s["start_line"] <= k + 1 <= s["end_line"] and s["kind"] in CONTAINERS), None)
-                if kin == "javascript" and kind == "method" and outer is None:
-                    continue  # a call with a block after it
-                if kind in ("variable", "constant") and any(s["start_line"] < k + 1 <= s["end_line"] and s["kind"] in ("function", "method") for s in symbols):
-                    break
-                receiver = re.match(r"\s*func\s+\(\s*\w+\s+\*?(\w+)", line) if lang == "go" else None
-                owner = receiver[1] if receiver else outer["name"] if outer else None
-                trait = re.search(r"impl(?:\s*<[^{]*?>)?\s+([\w:]+)(?:<[^{]*>)?\s+for\s", line)
-                bases = re.findall(r"\w+", " ".join(re.findall(r"(?:implements|extends)\s+([^{]+)", line))) if kind in ("class", "interface") else []
-                symbols.append({"row": "symbol", "kind": "method" if kind == "function" and owner else kind, "name": m[1], "parent": owner, "start_line": k + 1, "end_line": end + 1, "signature": raw[k].strip().rstrip("{ "), "exported": bool(re.match(r"\s*(?:pub\b|export\b|public\b)", line)) or (lang == "go" and m[1][:1].isupper()), "implements": [trait[1]] if trait else [b for b in bases if b not in ("implements", "extends")], "doc": raw[k - 1].strip() if k and re.match(r"\s*(?:///|\*/|#\s|//\s)", raw[k - 1]) else None})
-                break
-    spans = [s for s in symbols if s["kind"] in ("function", "method")]
-    head_lines = {(s["start_line"], s["name"]) for s in symbols}
-    for k, line in enumerate(code):
-        for m in CALL.finditer(line):
-            if m["name"] in NOT_CALLS or (k + 1, m["name"]) in head_lines:
+            if not (m := pattern.match(text)) or m[1] in NOT_CALLS:
                 continue
-            inner = [s for s in spans if s["start_line"] <= k + 1 <= s["end_line"]]
-            out.append({"row": "call", "name": m["name"], "owner": m["owner"], "parent": inner[-1]["name"] if inner else None, "start_line": k + 1})
+            behind = text[: m.end()].count("\n")
+            start = column + m.end() if not behind else m.end() - text.rindex("\n", 0, m.end()) - 1
+            if text[m.end() - 1 : m.end()] == "{":
+                start -= 1
+            end = _block_end(code, k + behind, start, lang)
+            outer = next((s for s in reversed(symbols) if s["start_line"] <= k + 1 <= s["end_line"] and s["kind"] in CONTAINERS), None)
+            if kin == "javascript" and kind == "method" and outer is None:
+                continue  # a call with a block after it
+            if kind in ("variable", "constant") and any(s["start_line"] < k + 1 <= s["end_line"] and s["kind"] in ("function", "method") for s in symbols):
+                return False
+            receiver = re.match(r"\s*func\s+\(\s*\w+\s+\*?(\w+)", text) if lang == "go" else None
+            owner = receiver[1] if receiver else outer["name"] if outer else None
+            trait = re.search(r"impl(?:\s*<[^{]*?>)?\s+([\w:]+)(?:<[^{]*>)?\s+for\s", text)
+            bases = re.findall(r"\w+", " ".join(re.findall(r"(?:implements|extends)\s+([^{]+)", text))) if kind in ("class", "interface") else []
+            signature = raw[k][column:] if not behind else " ".join(x.strip() for x in [raw[k][column:], *raw[k + 1 : k + behind + 1]])
+            named.add((k + 1 + text[: m.start(1)].count("\n"), m[1]))
+            symbols.append({"row": "symbol", "kind": "method" if kind == "function" and owner else kind, "name": m[1], "parent": owner, "start_line": k + 1, "end_line": end + 1, "signature": signature.strip().rstrip("{ "), "exported": bool(re.match(r"\s*(?:pub\b|export\b|public\b)", text)) or (lang == "go" and m[1][:1].isupper()), "implements": [trait[1]] if trait else [b for b in bases if b not in ("implements", "extends")], "doc": raw[k - 1].strip() if k and not column and re.match(r"\s*(?:///|\*/|#\s|//\s)", raw[k - 1]) else None})
+            return True
+        return False
+
+    for k, statement in enumerate(_statements(code, lang)):
+        if k in taken:
+            continue
+        take(k, 0, statement)
+        if kin not in ("ruby", "elixir", "bash"):  # heads after another one's brace on the same line
+            for m in re.finditer(r"[{};](?=\s*\S)", code[k]):
+                if statement[: m.start()].count("(") == statement[: m.start()].count(")"):
+                    take(k, m.end(), statement[m.end() :])
+    callers: list[str | None] = [None] * len(code)
+    for s in symbols:
+        if s["kind"] in ("function", "method"):
+            callers[s["start_line"] - 1 : s["end_line"]] = [s["name"]] * (s["end_line"] - s["start_line"] + 1)
+    for k, line in enumerate(code):
+        if k not in taken:
+            out += [{"row": "call", "name": m["name"], "owner": m["owner"], "parent": callers[k], "start_line": k + 1} for m in CALL.finditer(line) if m["name"] not in NOT_CALLS and (k + 1, m["name"]) not in named]
     return symbols + out
 
 

@@ -231,5 +231,61 @@ def test_reading_many_and_expansion(spark, files, code):
     with pytest.raises(ValueError):
         views.read_many(files, wanted.limit(0))
     hits = spark.createDataFrame([("shop/store.py", 9, 6, 9)], "path string, line int, start_line int, end_line int")
-    assert views.expanded_hits(files, hits).count() == 13 and [r["line"] for r in views.expanded_hits(files, hits, whole_below=0).orderBy("line").collect()] == [6, 7, 8, 9]
+    # the imports before the definition, the comment in it and the second of two blank lines are left out
+    assert [r["line"] for r in views.expanded_hits(files, hits).orderBy("line").collect()] == [6, 8, 9, 10, 12, 13]
+    assert [r["line"] for r in views.expanded_hits(files, hits, whole_below=0).orderBy("line").collect()] == [6, 8, 9]
+    usage = hits.select("path", "line", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    assert [r["line"] for r in views.expanded_hits(files, usage).orderBy("line").collect()] == [1, 2, 3, 4, 6, 8, 9, 10, 12, 13]
     assert [r["signature"] for r in views.signatures(extract.symbols(code), "shop/store.py").collect()] == ["def open_store(path)", "def helper(x)"]
+
+
+def rows_of(lang, content, row):
+    keys = {"symbol": ("kind", "name", "parent", "start_line", "end_line"), "import": ("source", "start_line"), "call": ("name", "parent", "start_line")}[row]
+    return [tuple(r.get(k) for k in keys) for r in extract.extract("x", lang, content) if r["row"] == row]
+
+
+def test_heads_and_imports_over_several_lines():
+    go = 'package a\nimport (\n\t"fmt"\n\t// "no"\n\tx "net/http"\n)\nfunc (s *Store) Get(\n\tid int,\n) int {\n\treturn fmt.Sprint(id)\n}\n'
+    assert rows_of("go", go, "import") == [("fmt", 3), ("net/http", 5)]
+    assert rows_of("go", go, "symbol") == [("method", "Get", "Store", 7, 11)] and rows_of("go", go, "call") == [("Sprint", "Get", 10)]
+    script = "import {\n  a,\n} from './mod';\nexport class A extends B {\n  run(\n    x: number,\n  ): void {\n    go(x);\n  }\n}\n"
+    assert rows_of("typescript", script, "import") == [("./mod", 1)]
+    assert rows_of("typescript", script, "symbol") == [("class", "A", None, 4, 10), ("method", "run", "A", 5, 9)] and rows_of("typescript", script, "call") == [("go", "run", 8)]
+    rust = "use std::{\n  fs,\n};\nmod m { fn inner() { helper(); } }\npub fn long(\n    a: u32,\n) -> u32 {\n    inner(a)\n}\n"
+    assert rows_of("rust", rust, "import") == [("std", 1)]
+    assert rows_of("rust", rust, "symbol") == [("module", "m", None, 4, 4), ("method", "inner", "m", 4, 4), ("function", "long", None, 5, 9)]
+    assert rows_of("rust", rust, "call") == [("helper", "inner", 4), ("inner", "long", 8)]
+    java = "public class K {\n  public int f(int a,\n      int b) {\n    return g(a);\n  }\n  private static void h() { g(1); }\n}\n"
+    assert rows_of("java", java, "symbol") == [("class", "K", None, 1, 7), ("method", "f", "K", 2, 5), ("method", "h", "K", 6, 6)]
+    assert rows_of("java", java, "call") == [("g", "f", 4), ("g", "h", 6)]
+    c = "int add(int a, int b) { return a + b; }\nstatic int sub(\n  int a,\n  int b)\n{\n  return add(a, -b);\n}\n"
+    assert rows_of("c", c, "symbol") == [("function", "add", None, 1, 1), ("function", "sub", None, 2, 7)] and rows_of("c", c, "call") == [("add", "sub", 6)]
+
+
+def test_outcome_of_lookups(spark, files, code):
+    wanted = spark.createDataFrame([("shop/store.py", "helper"), ("shop/store.py", "gone"), ("docs/guide.md", "x"), ("none.py", "x"), ("shop/__init__.py", "x")], "path string, name string")
+    out = {(r["path"], r["name"]): (r["outcome"], r["start_line"], r["end_line"], r["lines"]) for r in graph.lookup(wanted, files, extract.symbols(code)).collect()}
+    assert out == {
+        ("shop/store.py", "helper"): ("found", 12, 13, 13), ("shop/store.py", "gone"): ("missing", None, None, 13), ("docs/guide.md", "x"): ("unavailable", None, None, None),
+        ("none.py", "x"): ("unavailable", None, None, None), ("shop/__init__.py", "x"): ("missing", None, None, 0),
+    }
+
+
+def test_streams_of_items_and_parts(spark):
+    items = [
+        '{"type":"thread.started","thread_id":"t"}', '{"type":"item.completed","item":{"type":"command_execution","command":"early"}}', '{"type":"turn.started"}',
+        '{"type":"item.completed","item":{"type":"command_execution","id":"c1","command":"ls"}}', '{"type":"item.completed","item":{"type":"mcp_tool_call","id":"c2","tool":"search","arguments":{"q":1}}}',
+        '{"type":"item.completed","item":{"type":"agent_message","text":"hi"}}', '{"type":"turn.completed","usage":{"input_tokens":100,"cached_input_tokens":30,"cache_write_tokens":20,"output_tokens":7}}',
+        "no json", '{"type":"turn.started"}', '{"type":"item.completed","item":{"type":"file_edit","id":"c3","file_path":"a.py"}}',
+    ]
+    rows = spark.createDataFrame([("s", k, x) for k, x in enumerate(items)], "session string, line_no int, text string")
+    turns, calls = corpus.item_stream(rows)
+    assert [tuple(r) for r in turns.orderBy("turn").collect()] == [("s", 1, 50, 7, 20, 30), ("s", 2, 0, 0, 0, 0)]
+    assert [tuple(r)[1:] for r in calls.orderBy("line_no").collect()] == [(1, 3, "c1", "Bash", "ls"), (1, 4, "c2", "search", '{"q":1}'), (2, 9, "c3", "Edit", "a.py")]
+    parts = [
+        '{"type":"tool_use","sessionID":"x","part":{"tool":"own_own_read","callID":"k1","state":{"input":{"p":"a"}}}}', '{"type":"text","part":{"text":"t"}}',
+        '{"type":"step_finish","part":{"cost":0.5,"tokens":{"input":5,"output":2,"cache":{"write":1,"read":9}}}}', '{"type":"tool_use","part":{"tool":"bash","id":"k2"}}', '{"type":"step_finish","part":{}}', '{"type":"tool_use","part":{"tool":"late"}}',
+    ]
+    turns, calls = corpus.part_stream(spark.createDataFrame([("s", k, x) for k, x in enumerate(parts)], "session string, line_no int, text string"))
+    assert [tuple(r) for r in turns.orderBy("turn").collect()] == [("s", 1, 5, 2, 1, 9, 0.5), ("s", 2, 0, 0, 0, 0, 0.0)]
+    assert [(r["turn"], r["call_id"], r["tool"]) for r in calls.orderBy("line_no").collect()] == [(1, "k1", "own_read"), (2, "k2", "bash")]

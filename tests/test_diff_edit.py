@@ -126,3 +126,15 @@ def test_one_bad_section_stops_no_other(spark):
     out = {r["path"]: (r["content"], r["error"]) for r in edit.apply_edits(spark.createDataFrame(rows, "path string, content string, section string, recorded string")).collect()}
     assert out["a"] == ("y", None) and out["b"][0] == "x" and out["b"][1] and out["c"][1]
     assert edit.block_span([(1, 9), (3, 5)], 3) == (3, 5) and edit.block_span([(1, 9), (3, 5)], 6) == (1, 9) and edit.block_span([], 1) is None
+
+
+def test_edits_in_json():
+    text = '[{"path": "a", "tag": "#00FF", "ops": [{"op": "replace", "start": 2, "end": 3, "content": "x\\ny\\n"}, {"op": "insert_after_block", "at": "#run", "content": "z"}, {"op": "append", "content": "end"}]}, {"path": "b", "ops": [{"op": "move_file", "dest": "c"}]}]'
+    (path, wanted, ops), (other, none, moved) = edit.sections_of_json(text, lambda path, at: (1, 4) if at == "run" else None)
+    assert (path, wanted, other, none) == ("a", "00ff", "b", None)
+    assert [(o.kind, o.start, o.end, o.lines) for o in ops] == [("replace", 2, 3, ["x", "y"]), ("insert_after", 4, 4, ["z"]), ("append", 0, 0, ["end"])]
+    assert edit.apply("1\n2\n3\n4\n5\n", ops) == "1\nx\ny\n4\nz\n5\nend\n" and moved[0].target == "c"
+    bad = ["{", "{}", "[1]", '[{"path": "a", "ops": [{"op": "swap"}]}]', '[{"path": "a", "ops": [{"op": "replace", "start": "2", "end": 3, "content": ""}]}]', '[{"path": "a", "tag": "xyz", "ops": []}]', '[{"path": "a", "ops": [{"op": "delete_block", "at": "#"}]}]', str([{}] * 21).replace("'", '"')]
+    for text in bad:
+        with pytest.raises(edit.EditRejected):
+            edit.sections_of_json(text)
