@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,14 +229,30 @@ def match_file(old: list[dict], new: list[dict]) -> list[dict]:
 def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes between the symbols (see ``bodies``) of two versions, file by file; a file's symbols are one group."""
     both = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))
-    columns = [c.split()[0] for c in CHANGES.split(", ")]
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in CHANGES.split(", "))])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_line", "end_line"]).to_dict("records")
-        found = match_file([r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1])
-        return pd.DataFrame(found, columns=columns).astype({"count": "Int32", "line": "Int32", "score": "Float64"})
+    def run(batches):
+        path, held = None, []
+
+        def found() -> list[dict]:
+            rows = sorted(held, key=lambda r: (r["start_line"], r["end_line"]))
+            return match_file([r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1])
 
-    return both.groupBy("path").applyInPandas(run, CHANGES)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["path"] != path and held:
+                    out += found()
+                    held = []
+                path = row["path"]
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(found(), schema)
+
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as the work is not in proportion to the bytes
+    return both.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, CHANGES)
 
 
 def moves(changes: DataFrame) -> DataFrame:

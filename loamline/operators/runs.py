@@ -237,23 +237,29 @@ def is_snowball(turns: Column) -> Column:
     return (F.size(turns) >= 2) & F.coalesce(F.forall(pairs, lambda p: (p["a"] > 0) & (p["b"] > p["a"]) & (p["b"] >= p["a"] * GROWTH)), F.lit(False))
 
 
+def percentile_of(rows: DataFrame, column: str, share: float) -> Column:
+    """An exact percentile as a scalar subquery: equal values are counted where they are, and only distinct ones come together."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    return counted.agg(F.percentile("_value", share, F.col("_n"))).scalar()
+
+
 def flags(runs: DataFrame) -> DataFrame:
     """(flag, task, model, repetition, mode, measured): runs that grow turn by turn, talk or call much and fail, use up the budget, or time out.
 
-    Thresholds are 95th percentiles over all runs, found in one aggregate; the flags of a run come from one pass."""
+    Thresholds are 95th percentiles over all runs; the flags of a run come from one pass."""
     own = runs.withColumn("_tools", tool_count(runs).cast("double"))
-    limits = own.agg(F.percentile("output_tokens", 0.95).alias("talk"), F.percentile("_tools", 0.95).alias("storm")).first()
+    talk, storm = percentile_of(own, "output_tokens", 0.95), percentile_of(own, "_tools", 0.95)
     wrong = ~F.coalesce("correct", F.lit(False))
     no = lambda c: F.coalesce(c, F.lit(False))
     rules = [
         ("token_snowball", no(is_snowball(F.col("per_turn_output_tokens"))), F.size("per_turn_output_tokens")),
-        ("talkative_failure", no(wrong & (F.col("output_tokens") > F.lit(limits["talk"]))), F.col("output_tokens")),
-        ("tool_storm", no(wrong & (F.col("_tools") > F.lit(limits["storm"]))), F.col("_tools")),
+        ("talkative_failure", no(wrong & (F.col("output_tokens") > talk)), F.col("output_tokens")),
+        ("tool_storm", no(wrong & (F.col("_tools") > storm)), F.col("_tools")),
         ("budget_exhausted", no(F.col("total_cost_usd") >= BUDGET_USD), F.col("total_cost_usd")),
         ("timeout", no(F.lower("error").contains("timeout")), F.lit(None)),
     ]
-    each = F.filter(F.array(*[F.struct(F.lit(n).alias("flag"), t.alias("is"), v.cast("double").alias("measured")) for n, t, v in rules]), lambda x: x["is"])
-    out = own.select("task", F.coalesce("model", "model_alias").alias("model"), "repetition", "mode", F.explode(each).alias("f"))
+    each = F.array(*[F.struct(F.lit(n).alias("flag"), t.alias("is"), v.cast("double").alias("measured")) for n, t, v in rules])
+    out = own.select("task", F.coalesce("model", "model_alias").alias("model"), "repetition", "mode", F.explode(each).alias("f")).where("f.is")
     return out.select("f.flag", "task", "model", "repetition", "mode", "f.measured")
 
 

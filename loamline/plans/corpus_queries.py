@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, rank, text
 from loamline.operators import diff, edit, graph, search, views
-from loamline.sources.corpus import from_documents
+from loamline.sources.corpus import from_documents, ignored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -618,3 +618,53 @@ def cut_texts(spark, sf_dir):
 
     register_functions(spark)
     return documents(spark, sf_dir).select("doc_id", F.call_function("truncate_bytes", F.col("text"), F.lit(100)).alias("head"))
+
+
+@query("ignored_paths", f"""WITH {NAMES_SQL}, p AS (SELECT DISTINCT path FROM named) SELECT path, regexp_matches(path, '(^|/)[^/]*\\.md$') OR regexp_matches(path, '^web/') AND NOT regexp_matches(path, '^web/app[^/]*$') OR starts_with(path, 'conf/') AND path <> 'conf/app.yaml' AS ignored FROM p""")
+def ignored_paths(spark, sf_dir):
+    rules = [("", 0, "*.md", True), ("", 1, "web", True), ("web", 0, "app*", False), ("", 2, "/conf".removeprefix("/"), True), ("conf", 0, "app.yaml", False)]
+    return ignored(named(spark, sf_dir).select("path").distinct(), rules).select("path", "ignored")
+
+
+@query("json_outlines", "SELECT 'e' || event_id || '.json' AS path, 'k: ' || json_extract_string(props, '$.k') || ' (int)' AS outline FROM events")
+def json_outlines(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
+    return views.structured_outline(own).select("path", F.array_join("outline", "\n").alias("outline"))
+
+
+@query(
+    "yaml_outlines",
+    """SELECT 'c' || c_custkey || '.yaml' AS path, line, level, key FROM customer, (VALUES (1, 0, 'name'), (2, 0, 'place'), (3, 1, 'nation'), (4, 1, 'segment'), (6, 2, 'deep')) x(line, level, key)""",
+)
+def yaml_outlines(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    content = F.format_string("name: %s\nplace:\n  nation: %d\n  segment: %s\n  # note: none\n    deep: 1\n      deeper: 2\n", "c_name", "c_nationkey", "c_mktsegment")
+    own = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".yaml")).alias("path"), content.alias("content"))
+    return views.yaml_outline(own)
+
+
+@query("test_outlines", """SELECT 's' || s_suppkey || '.test.ts' AS path, line, level, kind, CASE kind WHEN 'describe' THEN s_name ELSE 'works ' || s_nationkey END AS name FROM supplier, (VALUES (1, 0, 'describe'), (2, 1, 'it'), (5, 1, 'test')) x(line, level, kind)""")
+def test_outlines(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    content = F.format_string("describe('%s', () => {\n  it('works %d', () => {\n    run('it(')\n  })\n  test.only(\"works %d\", f)\n})\n", "s_name", "s_nationkey", "s_nationkey")
+    return views.test_outline(own.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".test.ts")).alias("path"), content.alias("content")))
+
+
+@query("age_labels", """SELECT event_id, CASE WHEN s >= 31536000 THEN s // 31536000 || 'y ago' WHEN s >= 604800 THEN s // 604800 || 'w ago' WHEN s >= 86400 THEN s // 86400 || 'd ago' WHEN s >= 3600 THEN s // 3600 || 'h ago' WHEN s >= 60 THEN s // 60 || 'm ago' ELSE 'just now' END AS label
+FROM (SELECT event_id, (event_id * event_id * 37) % 100000000 AS s FROM events)""")
+def age_labels(spark, sf_dir):
+    n = F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", diff.age_label((n * n * 37) % 100_000_000).alias("label"))
+
+
+@query("expanded_hits", _rank_sql("SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY score DESC, line) = 1 AND path IN (SELECT path FROM (SELECT path, max(score) AS best FROM s GROUP BY path ORDER BY best DESC, path LIMIT 5)) AS expand FROM s", "and the", "contains(text, 'and the')", False))
+def expanded_hits(spark, sf_dir):
+    hits = search.ranked(search.content_hits(files(spark, sf_dir), "and the"), "and the", F.lit(AS_OF).cast("timestamp"))
+    return search.expanded(hits, 5).select("path", "line", "expand")
+
+
+@query("read_files", f"{BASE} SELECT CAST(ord AS INTEGER) AS ord, w.path, f.path IS NOT NULL AS found, CASE WHEN f.path IS NOT NULL AND f.size > 0 THEN content END AS body FROM (SELECT 1 AS ord, 'gone.txt' AS path UNION ALL SELECT 2, path FROM files WHERE doc_id = 7 UNION ALL SELECT 3, path FROM files WHERE doc_id = 11) w LEFT JOIN files f USING (path)")
+def read_files(spark, sf_dir):
+    own = files(spark, sf_dir)
+    wanted = own.where("doc_id IN (7, 11)").select(F.when(F.col("doc_id") == 7, 2).otherwise(3).alias("ord"), "path").union(spark.createDataFrame([(1, "gone.txt")], "ord int, path string"))
+    return views.read_many(own, wanted, 3_000_000).select("ord", "path", "found", "body")

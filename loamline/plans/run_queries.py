@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.operators import runs, session
+from loamline.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -271,3 +272,128 @@ def session_expansions(spark, sf_dir):
 @query("session_savings", f"{_EVENTS} SELECT session, CAST(sum(CAST(item AS BIGINT)) AS BIGINT) AS baseline, CAST(sum(greatest(CAST(item AS BIGINT) - seq % 60, 0)) AS BIGINT) AS saved FROM e GROUP BY session")
 def session_savings(spark, sf_dir):
     return session.savings(events(spark, sf_dir).select("session", F.col("item").cast("long").alias("baseline"), (F.col("seq") % 60).alias("returned")))
+
+
+@query(
+    "tool_sequences",
+    f"""{_EVENTS}, c AS (SELECT session, seq, tool || '(' || CASE WHEN length(a) > 6 THEN left(a, 6) || '...' ELSE a END || ')' AS call FROM (SELECT *, coalesce(item, '') || '/' || seq AS a FROM e))
+SELECT session, string_agg(call, ' ' ORDER BY seq) AS sequence FROM c GROUP BY session""",
+)
+def tool_sequences(spark, sf_dir):
+    own = events(spark, sf_dir).select("session", F.col("seq").alias("ord"), "tool", F.concat(F.coalesce("item", F.lit("")), F.lit("/"), F.col("seq").cast("string")).alias("args"))
+    return runs.tool_sequence(own, 6).select("session", F.array_join("sequence", " ").alias("sequence"))
+
+
+@query(
+    "manifest_drift",
+    RUNS_SQL + """, m(mode, model, task) AS (VALUES ('baseline', 'm0', 't1'), ('mixed', 'm2', 't2')), b AS (SELECT m.mode, 'model' AS "column", m.model AS expected, r.model AS found FROM runs r JOIN m ON r.mode = m.mode
+  UNION ALL SELECT m.mode, 'task', m.task, r.task FROM runs r JOIN m ON r.mode = m.mode) SELECT mode, "column", expected, found, count(*) AS n FROM b WHERE found IS DISTINCT FROM expected GROUP BY ALL""",
+)
+def manifest_drift(spark, sf_dir):
+    manifest = spark.createDataFrame([("baseline", "m0", "t1"), ("mixed", "m2", "t2")], "mode string, model string, task string")
+    return runs.manifest_drift(all_runs(spark, sf_dir), manifest, ["model", "task"])
+
+
+@query(
+    "known_capabilities",
+    RUNS_SQL + """SELECT task, model, CASE WHEN model = 'm1' THEN '{0}' WHEN CAST(task[2:] AS INTEGER) % 2 = 0 THEN '{1}' ELSE 'unknown' END AS capability, count(*) AS n FROM runs GROUP BY ALL""".replace("{0}", sorted(runs.CAPABILITIES)[0]).replace("{1}", sorted(runs.CAPABILITIES)[1]),
+)
+def known_capabilities(spark, sf_dir):
+    first, second = sorted(runs.CAPABILITIES)[:2]
+    own = all_runs(spark, sf_dir).withColumn("capability", F.when(F.col("model") == "m1", first).when(F.col("model") == "m2", "no such"))
+    registry = spark.createDataFrame([(f"t{k}", second if k % 2 == 0 else "none") for k in range(50)], "task string, capability string")
+    return runs.capability(own, registry).groupBy("task", "model", "capability").agg(F.count("*").alias("n"))
+
+
+@query("model_names", RUNS_SQL + "SELECT CASE model WHEN 'm0' THEN 'large' WHEN 'm1' THEN 'small' ELSE model END AS model, count(*) AS n FROM runs GROUP BY 1")
+def model_names(spark, sf_dir):
+    return all_runs(spark, sf_dir).groupBy(runs.model_name({"m0": "large", "m1": "small"}).alias("model")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "sparklines",
+    RUNS_SQL + """, s AS (SELECT run_id, turns, list_min(turns) AS low, list_max(turns) AS high FROM runs)
+SELECT run_id, array_to_string(list_transform(turns, lambda x: (' ▁▂▃▄▅▆▇█')[1 + CASE WHEN high = low THEN 4 ELSE CAST(floor((x - low) / (high - low) * 8) AS INTEGER) END]), '') AS line, CAST(list_sum(turns) AS BIGINT) AS total FROM s""",
+)
+def sparklines(spark, sf_dir):
+    turns = F.col("per_turn_output_tokens")
+    return all_runs(spark, sf_dir).select("run_id", runs.sparkline(turns).alias("line"), runs.context_total(turns).alias("total"))
+
+
+@query("flag_counts", RUNS_SQL + """SELECT 'timeout' AS flag, mode, count(*) AS n FROM runs WHERE contains(lower(error), 'timeout') GROUP BY mode""")
+def flag_counts(spark, sf_dir):
+    return runs.flag_counts(runs.flags(all_runs(spark, sf_dir)).where("flag = 'timeout'"))
+
+
+_STREAM = "WITH e AS (SELECT user_id AS session, event_id AS line_no, event_type AS tool, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 5 AS way FROM events)"
+
+
+def stream_rows(spark, sf_dir, make) -> DataFrame:
+    own = events(spark, sf_dir).select("session", F.col("seq").alias("line_no"), "tool", F.col("item").cast("long").alias("k"), (F.col("seq") % 5).alias("way"))
+    return own.select("session", "line_no", make(F.col("tool"), F.col("k"), F.col("way"), F.col("line_no")).alias("text"))
+
+
+def _message(tool, k, way, n):
+    call = F.format_string('{"type":"tool_use","id":"c%d","name":"%s","input":{}}', F.floor(n / 2), tool)
+    said = F.format_string('{"type":"assistant","message":{"id":"m%d","usage":{"input_tokens":%d,"output_tokens":7},"content":[%s]}}', F.floor(n / 3), k, call)
+    return F.when(way == 4, F.format_string('{"type":"result","subtype":"limit","error":"stopped at %d"}', k)).when(way == 3, F.lit("  ")).otherwise(said)
+
+
+@query(
+    "message_turns",
+    f"""{_STREAM}, t AS (SELECT session, line_no // 3 AS id, min(line_no) AS line_no, arg_max(k, line_no) AS input_tokens FROM e WHERE way < 3 GROUP BY ALL)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY line_no) AS INTEGER) AS turn, line_no, input_tokens, CAST(7 AS BIGINT) AS output_tokens FROM t""",
+)
+def message_turns(spark, sf_dir):
+    return corpus.agent_turns(corpus.agent_events(stream_rows(spark, sf_dir, _message))).select("session", "turn", "line_no", "input_tokens", "output_tokens")
+
+
+@query("message_calls", f"{_STREAM} SELECT session, 'c' || line_no // 2 AS call_id, arg_min(tool, line_no) AS tool, min(line_no) AS line_no FROM e WHERE way < 3 GROUP BY session, line_no // 2")
+def message_calls(spark, sf_dir):
+    return corpus.agent_tool_calls(corpus.agent_events(stream_rows(spark, sf_dir, _message))).select("session", "call_id", "tool", "line_no")
+
+
+@query("last_errors", f"{_STREAM} SELECT session, 'limit: stopped at ' || arg_max(k, line_no) AS error FROM e WHERE way = 4 GROUP BY session")
+def last_errors(spark, sf_dir):
+    return corpus.stream_errors(corpus.agent_events(stream_rows(spark, sf_dir, _message)))
+
+
+def _item(tool, k, way, n):
+    use = F.format_string('{"type":"turn.completed","usage":{"input_tokens":%d,"cached_input_tokens":10,"output_tokens":3}}', k)
+    item = F.format_string('{"type":"item.completed","item":{"type":"mcp_tool_call","id":"i%d","tool":"%s"}}', n, tool)
+    return F.when(way == 0, '{"type":"turn.started"}').when(way == 4, use).otherwise(item)
+
+
+_ITEMS = f"{_STREAM}, n AS (SELECT *, count(*) FILTER (way = 0) OVER w AS turn, count(*) FILTER (way = 4) OVER w AS ended FROM e WINDOW w AS (PARTITION BY session ORDER BY line_no))"
+
+
+@query(
+    "item_turns",
+    f"""{_ITEMS} SELECT t.session, t.turn, coalesce(greatest(u.k - 10, 0), 0) AS input_tokens, CASE WHEN u.k IS NULL THEN 0 ELSE 3 END AS output_tokens, CASE WHEN u.k IS NULL THEN 0 ELSE 10 END AS cache_read_tokens
+FROM (SELECT session, turn FROM n WHERE way = 0) t LEFT JOIN (SELECT session, ended AS turn, k FROM n WHERE way = 4) u USING (session, turn)""",
+)
+def item_turns(spark, sf_dir):
+    return corpus.item_stream(stream_rows(spark, sf_dir, _item))[0].select("session", "turn", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("item_calls", f"{_ITEMS} SELECT session, turn, 'i' || line_no AS call_id, tool FROM n WHERE way IN (1, 2, 3) AND turn > 0")
+def item_calls(spark, sf_dir):
+    return corpus.item_stream(stream_rows(spark, sf_dir, _item))[1].select("session", "turn", "call_id", "tool")
+
+
+def _part(tool, k, way, n):
+    done = F.format_string('{"type":"step_finish","part":{"cost":0.25,"tokens":{"input":%d,"output":2}}}', k)
+    return F.when(way == 4, done).otherwise(F.format_string('{"type":"tool_use","part":{"tool":"own_own_%s","callID":"p%d"}}', tool, n))
+
+
+_PARTS = f"{_STREAM}, n AS (SELECT *, 1 + coalesce(count(*) FILTER (way = 4) OVER (PARTITION BY session ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn, count(*) FILTER (way = 4) OVER (PARTITION BY session) AS turns FROM e)"
+
+
+@query("step_turns", f"{_PARTS} SELECT session, turn, k AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, 0.25 AS cost FROM n WHERE way = 4")
+def step_turns(spark, sf_dir):
+    return corpus.part_stream(stream_rows(spark, sf_dir, _part))[0].select("session", "turn", "input_tokens", "output_tokens", "cost")
+
+
+@query("step_calls", f"{_PARTS} SELECT session, turn, 'p' || line_no AS call_id, 'own_' || tool AS tool FROM n WHERE way < 4 AND turn <= turns")
+def step_calls(spark, sf_dir):
+    return corpus.part_stream(stream_rows(spark, sf_dir, _part))[1].select("session", "turn", "call_id", "tool")
