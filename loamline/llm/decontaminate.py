@@ -28,7 +28,7 @@ EXACT_BELOW = 15  #: items of fewer words have exact keys: their walks begin at
 TRIALS = 1000
 TRIAL_CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20  #: items are taken in blocks of about so many bytes of text, each broadcast for one pass
-VERIFY_ROWS = 2048
+VERIFY_CELLS = 1 << 19  #: tables of candidates under verification have about so many cells, whatever the items' length
 
 
 @dataclass
@@ -232,13 +232,23 @@ def edit_rows(left: np.ndarray, sizes: np.ndarray, right: np.ndarray, free: bool
     return row
 
 
+def batches_of(widths: np.ndarray):
+    """Runs of candidates, in order of width, whose tables (rows times the widest) keep to ``VERIFY_CELLS``; a wider one comes alone."""
+    by, a = np.argsort(widths, kind="stable"), 0
+    while a < len(by):
+        ahead = by[a : a + VERIFY_CELLS]
+        fits = np.flatnonzero(widths[ahead] * np.arange(1, len(ahead) + 1) > VERIFY_CELLS)
+        stop = max(1, int(fits[0]) if len(fits) else len(ahead))
+        yield by[a : a + stop]
+        a += stop
+
+
 def plausible(items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether enough of an item's words are between words low and high for its edits; hash collisions only add candidates."""
     slots = 1024
     word_slot, item_slot = (hashes % np.uint64(slots)).astype(np.int64)[codes], (items.hashes % np.uint64(slots)).astype(np.int64)
     sizes_of, out = np.diff(items.offsets), np.zeros(len(item), bool)
-    for a in range(0, len(item), VERIFY_ROWS):
-        own = slice(a, a + VERIFY_ROWS)
+    for own in batches_of(np.maximum(high - low, slots)):
         which, lo, sizes = item[own], low[own], sizes_of[item[own]]
         there = np.zeros((len(which), slots), bool)
         rows = np.arange(len(which))[:, None]
@@ -257,8 +267,7 @@ def verify(items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray, co
     item_codes = np.where(hashes[order][at] == items.hashes, order[at], -2)
     sizes_of = np.diff(items.offsets)
     distance, first, past = (np.zeros(len(item), np.int64) for _ in range(3))
-    for a in range(0, len(item), VERIFY_ROWS):
-        own = slice(a, a + VERIFY_ROWS)
+    for own in batches_of(high - low + 1):
         which, lo, hi = item[own], low[own], high[own]
         sizes = sizes_of[which]
         column = np.arange(sizes.max())

@@ -20,6 +20,7 @@ from loamline.llm.warc import open_folder
 BLOCK_IDS = 2 << 20
 SCAN_GROUP = 1024  #: blocks that one step of the prefix scan takes together
 FILE_BYTES = 1 << 30
+FILE_DOCS = 1 << 20  #: so many documents end a file too: their ids are one row of the listing
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, dtype: str = "<u2") -> DataFrame:
@@ -52,7 +53,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 out.write(ended.tobytes())
                 count += len(ended)
                 ids_of += some.column("doc_id").to_pylist()
-                if count * np.dtype(dtype).itemsize >= FILE_BYTES:
+                if count * np.dtype(dtype).itemsize >= FILE_BYTES or len(ids_of) >= FILE_DOCS:
                     yield row()
                     out = None
         if out is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
@@ -17,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import cut, fresh_path, tidy
+from loamline.llm.common import cut, fresh_path, slices, tidy
 
 #: Fixed values of the format: the dictionary's skippable frame, the frame magic number, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -32,7 +33,8 @@ BROADCAST_ROWS = 200_000  #: digests of payloads that occur again, under 100 byt
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or of a local path."""
+    """File system and path of a URI or of a local path; the names that Hadoop has for S3 are those of the same store."""
+    uri = re.sub("^s3[an]:", "s3:", uri)
     return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
 
 
@@ -179,9 +181,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     def write(batches):
         writer = ArchiveWriter(folder)
         for batch in batches:
-            table = batch.to_pydict()
-            for page_id, url, payload, first in zip(table["page_id"], table["url"], table["payload"], table["refers_to"], strict=True):
-                writer.add(encode_record(page_id, url, payload, date, first))
+            for some in slices(batch, "payload"):
+                for page_id, url, payload, first in zip(*(some.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+                    writer.add(encode_record(page_id, url, payload, date, first))
         writer.end()
         paths, counts, sizes = zip(*writer.done, strict=True) if writer.done else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["path", "records", "bytes"])

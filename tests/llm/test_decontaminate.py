@@ -121,3 +121,48 @@ def test_too_few_repetitions_fall_back_to_exact_search(monkeypatch):
 def test_a_window_across_two_texts_counts_for_both():
     words = "a b c d e f g h i j k l m n o".split()
     assert found_items([(1, " ".join(words))], [" ".join(words[:3]), " ".join(words[3:])]) == {(1, 1)}
+
+
+def test_verification_keeps_to_its_cells(monkeypatch):
+    monkeypatch.setattr(dec, "VERIFY_CELLS", 1000)
+    widths = np.random.default_rng(1).integers(1, 3000, 500)
+    runs = list(dec.batches_of(widths))
+    assert sorted(np.concatenate(runs).tolist()) == list(range(500))
+    assert all(len(r) == 1 or widths[r].max() * len(r) <= 1000 for r in runs)
+
+
+def nearest_substring(item, words):
+    """Least word edits of an item against any part of a text."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(words, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_query_finds_what_brute_force_finds(spark, tmp_path):
+    rng = random.Random(12)
+    vocabulary = prose(rng, 400).split()
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 6, 9, 14, 15, 22, 35, 60]))]) for k in range(30)]
+    docs = []
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 120))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)[1]
+            at = rng.randint(0, len(words))
+            words[at:at] = edited(rng, item, rng.randint(0, len(item) // 5 + 1))
+        docs.append((k, words))
+    spark.createDataFrame([(k, " ".join(w).upper() if k % 3 else " ".join(w)) for k, w in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    low = lambda words: [w.lower() for w in words]
+    want = {}
+    for k, words in docs:
+        for i, item in items:
+            d = nearest_substring(low(item), low(words))
+            if d <= len(item) // 5 and d < len(item):
+                want[k, i] = d
+    from loamline.llm import queries
+
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.op7_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == want

@@ -68,3 +68,21 @@ def test_odd_rows(spark, model, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and not {2, 3, 4, 6} & {r["doc_id"] for r in kept.collect()}
     nothing = langid.fit(no_documents)
     assert {r["lang_pred"] for r in langid.label(odd_documents, nothing).collect()} == {"und"}
+
+
+def test_query_labels_every_row_and_learns_from_none_held_out(spark, rng, tmp_path):
+    from zlib import crc32
+
+    from loamline.llm import queries
+
+    german = lambda: " ".join("".join(rng.choice(GERMAN) for _ in range(2)) for _ in range(40))
+    rows = [(k, prose(rng, 40) if k % 2 else german(), "en" if k % 2 else "de") for k in range(200)]
+    # a held-out label that no other row has is never learned
+    rows = [(k, t, "xx" if crc32(str(k).encode()) % 4 == 2 and k % 3 == 0 else lang) for k, t, lang in rows] + [(900, None, "en"), (901, "42 --", None), (902, "", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op5_langid(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    for k, _, _ in rows:
+        assert out[k]["held_out"] == (crc32(str(k).encode()) % 4 == 2) and 0 <= out[k]["score"] <= 1
+    assert all(out[k]["lang_pred"] == ("en" if k % 2 else "de") for k in range(200))
+    assert [out[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3
