@@ -7,7 +7,9 @@ common prefixes of neighbours give the runs that agree to the right, and agreeme
 repeats exactly if its run holds two or more; windows that repeat are joined into maximal spans.
 
 Suffixes with the same surroundings are one row before they are sorted, so text that many documents share costs a task one
-row per slice of input, and results return to the suffixes by a join.
+row per slice of input, and results return to the suffixes by a join. A k-gram with many different surroundings would still
+fill a task: beyond ``HOT_CLASSES`` its suffixes meet by the words of each of their windows instead, spread over all tasks,
+with the same result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from loamline.llm.common import gram_hashes, mix, slices, stash, tidy, unused, word_hashes, words
 
 GRAM = 15
+HOT_CLASSES = 2048
 
 
 class Windows:
@@ -190,6 +193,22 @@ def _compare(size: int):
     return run
 
 
+def _by_windows(classes: DataFrame, size: int) -> DataFrame:
+    """What ``_compare`` finds, for k-grams with many classes: windows meet by a hash of all their words, and no task has a k-gram as a whole."""
+    left, right = size - GRAM, size
+    offsets = F.filter(F.sequence(F.lit(0), F.lit(left)), lambda a: F.call_function("getbit", F.col("mask"), a) == 1)
+    windows = classes.withColumn("a", F.explode(offsets))
+    words = [F.substring("before", F.lit(1), F.col("a") * 4), F.substring("after", F.lit(1), (F.lit(right) - F.col("a")) * 4)]
+    first = F.struct("first_doc", "first_pos")
+    windows = windows.select("seed", "class", "n", first.alias("own"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("a")).alias("bit"), F.xxhash64("seed", "a", *words).alias("window"))
+    groups = windows.groupBy("window").agg(F.sum("n").alias("times"), F.min("own").alias("least")).where("times > 1").select("window", "least")
+    # written first, so that a window that many classes have is a plain shuffle, which Spark can split
+    again = windows.join(stash(groups, "windows"), "window")
+    firsts = F.bit_or(F.when(F.col("own") == F.col("least"), F.col("bit")).otherwise(F.lit(0).cast("long")))
+    out = again.groupBy("seed", "class").agg(F.bit_or("bit").alias("repeats"), firsts.alias("firsts"), F.min("own").alias("own"))
+    return out.select("seed", "class", "repeats", "firsts", "own.*")
+
+
 SPANS = "doc_id long, key long, spans array<struct<first:int,past:int>>, cuts array<struct<first:int,past:int>>"
 
 
@@ -245,8 +264,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     near = base.join(places, "key").select("doc_id", "key", "text", "places")
     suffixes = stash(near.mapInArrow(tidy(_contexts(min_words)), SUFFIXES), "suffixes")
     classes = suffixes.where("after IS NOT NULL").select("seed", "class", "mask", "after", "before", "n", "first_doc", "first_pos")
-    ordered = classes.repartition("seed").sortWithinPartitions("seed", "after")
+    hot = stash(classes.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CLASSES).select("seed"), "hot")
+    some_hot = not hot.isEmpty()
+    cold = classes.join(hot, "seed", "left_anti") if some_hot else classes
+    ordered = cold.repartition("seed").sortWithinPartitions("seed", "after")
     verdicts = ordered.mapInArrow(tidy(_compare(min_words)), VERDICTS)
+    if some_hot:
+        verdicts = verdicts.unionByName(_by_windows(classes.join(hot, "seed", "left_semi"), min_words))
     # a class has a row for each slice that it is in; all agree on what repeats, and the one with the first has the firsts
     merged = verdicts.groupBy("seed", "class").agg(
         F.bit_or("repeats").alias("repeats"), F.bit_or("firsts").alias("firsts"), F.min(F.struct("first_doc", "first_pos")).alias("at")

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from conftest import prose
 
 from loamline.llm import minhash, suffixes
@@ -119,7 +120,9 @@ def brute_spans(rows, size):
     return out
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [suffixes.HOT_CLASSES, 0, 2])
+def test_repeats_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_CLASSES", hot)  # k-grams beyond it meet by windows
     rng = random.Random(6)
     rows = corpus(rng)
     rows.append((500, "a b c d e f g h i j " * 30))  # repeats within one text, and ties between its k-grams
