@@ -28,7 +28,7 @@ EXACT_BELOW = 15  #: items of fewer words have exact keys: their walks begin at
 TRIALS = 1000
 TRIAL_CELLS = 1 << 20
 BLOCK_BYTES = 8 << 20  #: items are taken in blocks of about so many bytes of text, each broadcast for one pass
-VERIFY_CELLS = 1 << 19  #: tables of candidates under verification have about so many cells, whatever the items' length
+VERIFY_CELLS = 1 << 17  #: tables of candidates under verification have about so many cells, whatever the items' length
 
 
 @dataclass
@@ -248,7 +248,7 @@ def plausible(items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray,
     slots = 1024
     word_slot, item_slot = (hashes % np.uint64(slots)).astype(np.int64)[codes], (items.hashes % np.uint64(slots)).astype(np.int64)
     sizes_of, out = np.diff(items.offsets), np.zeros(len(item), bool)
-    for own in batches_of(np.maximum(high - low, slots)):
+    for own in batches_of(np.maximum(high - low, slots) // 16):  # a byte a cell, of one table
         which, lo, sizes = item[own], low[own], sizes_of[item[own]]
         there = np.zeros((len(which), slots), bool)
         rows = np.arange(len(which))[:, None]
