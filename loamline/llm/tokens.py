@@ -23,7 +23,18 @@ PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Letters of the block whose lower case lies beyond it.
 LEAVING = "".join(c for c in map(chr, range(0x80, 0x250)) if max(map(ord, c.lower())) > 0x24F)
 #: Beyond this block normal forms and case mapping need the tokenizer itself; so may the strings of special tokens.
-UNSURE = regex.compile(rf"[^\x00-\u024f]|[{LEAVING}]|<\|")
+UNSURE = np.isin(np.arange(0x251), [0x250, *map(ord, LEAVING)])
+SPECIAL = "<|"
+
+
+def unsure_lines(joined: str) -> list[int]:
+    """Numbers of the lines of a text that need the whole tokenizer."""
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    odd = UNSURE[np.minimum(points, 0x250)]
+    if SPECIAL in joined:
+        odd[:-1] |= (points[:-1] == ord(SPECIAL[0])) & (points[1:] == ord(SPECIAL[1]))
+    at = np.flatnonzero(odd)
+    return np.unique(np.searchsorted(np.flatnonzero(points == 10), at)).tolist() if len(at) else []
 
 
 def _byte_chars() -> dict[int, str]:
@@ -54,6 +65,18 @@ class ChunkTokenizer:
         self.lengths = np.zeros(1, np.int64)
         self.held = 0
 
+    def _keep_only(self, pieces: set[str]) -> None:
+        """Begin the store anew with those of ``pieces`` that are in it."""
+        kept = [p for p in pieces if p != "\n" and p in self.known]
+        index = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+        lengths = self.lengths[index]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(kept) else 0)]
+        self.reset()
+        self.known |= {p: k for k, p in enumerate(kept, 1)}
+        self.flat, self.starts, self.lengths = flat, np.append(self.starts, ends - lengths), np.append(self.lengths, lengths)
+        self.held = WORD_BYTES * len(kept) + sum(map(len, kept)) + 4 * len(flat)
+
     def _add(self, pieces: list[str], encode) -> None:
         ids, lengths = [], np.zeros(len(pieces), np.int64)
         for k, piece in enumerate(pieces):
@@ -67,7 +90,8 @@ class ChunkTokenizer:
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
     def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))]
+        plain = word.isascii() and word.isprintable()  # such bytes are written as themselves
+        return [t.id for t in self.tokenizer.model.tokenize(word if plain else word.translate(BYTE_CHARS))]
 
     def _whole(self, chunk: str) -> list[int]:
         """Of a chunk that needs the whole tokenizer; it is kept under its text and a line feed, which no pre-token has."""
@@ -75,14 +99,17 @@ class ChunkTokenizer:
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the chunks, lengths)."""
-        odd = {k: chunk + "\n" for k, chunk in enumerate(chunks) if not chunk.isascii() or "<|" in chunk if UNSURE.search(chunk)}
-        for k in odd:
-            chunks[k] = ""
-        pieces = WORDS.findall("\n".join(chunks).lower() + "\n")
-        new = set(pieces).difference(self.known)
+        joined = "\n".join(chunks) + "\n"
+        odd = {k: chunks[k] + "\n" for k in unsure_lines(joined)}
+        if odd:
+            for k in odd:
+                chunks[k] = ""
+            joined = "\n".join(chunks) + "\n"
+        pieces = WORDS.findall(joined.lower())
+        distinct = set(pieces)
         if self.held > CACHE_BYTES:
-            self.reset()
-            new = set(pieces).difference(self.known)
+            self._keep_only(distinct)
+        new = distinct.difference(self.known)
         self._add(list(new), self._word)
         self._add(list(set(odd.values()).difference(self.known)), self._whole)
         index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
