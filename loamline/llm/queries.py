@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, warc
+from loamline.llm import bytebpe, chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,8 +134,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node", "stays")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of all documents and the bytes that they decode to, as digests."""
+    rows = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS), BYTE_RANKS)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op3_pack": op3_pack, "op4_neighbours": op4_neighbours, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
