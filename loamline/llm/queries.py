@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import bytebpe, chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, warc
+from loamline.llm import bytebpe, chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, variants, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -134,6 +134,50 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node", "stays")
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, with one word of 97 misspelled by checksum."""
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents"), slip_one_in=97))
+
+
+SQL_VARIANTS = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), pairs AS (
+  SELECT run, count(*) AS c, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS raw FROM runs GROUP BY doc_id, run
+), bits AS (
+  SELECT run, c, list_transform(range(8 * octet_length(raw)), lambda k:
+    CASE WHEN k % 8 = 0 THEN CAST('0x' || substr(hex(raw), CAST(k // 4 + 1 AS INTEGER), 2) AS BIGINT) ELSE 0 END) AS steps
+  FROM pairs
+), sums AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, steps), lambda x, b:
+    xor(xor(x, b) >> 1, 3988292384 * (xor(x, b) & 1)))) AS h
+  FROM bits
+), slipped AS (
+  SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped GROUP BY word HAVING sum(c) >= 3 AND length(word) >= 5
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, coalesce(form, word) AS at FROM forms
+  UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NOT NULL AND way.word <> way.at
+), ends AS (
+  SELECT way.word, way.at AS root FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of all documents and the bytes that they decode to, as digests."""
     rows = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS), BYTE_RANKS)
@@ -144,6 +188,6 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op3_pack": op3_pack, "op4_neighbours": op4_neighbours, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
-    "op13_byte_bpe": op13_byte_bpe,
+    "op12_variants": op12_variants, "op13_byte_bpe": op13_byte_bpe,
 }
-SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC}
+SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC, "op12_variants": SQL_VARIANTS}
