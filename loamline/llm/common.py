@@ -115,12 +115,12 @@ def ragged(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary, offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words between Unicode white space, as ``ragged``; null counts as empty text."""
+def words(texts: pa.Array, lower: bool = False, split=pc.utf8_split_whitespace) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words between Unicode white space (or what ``split`` cuts at), as ``ragged``; null counts as empty text."""
     texts = pc.fill_null(texts, "")
     if lower:
         texts = pc.utf8_lower(texts)
-    codes, names, offsets = ragged(pc.utf8_split_whitespace(texts))
+    codes, names, offsets = ragged(split(texts))
     blank = pc.index(names, "").as_py()
     if blank >= 0:  # white space at an edge of a text gives empty words
         keep = codes != blank

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import bytebpe, chat, decontaminate, html, langid, minhash, neighbours, packing, suffixes, tokencount, variants, warc
+from loamline.llm import bytebpe, chat, decontaminate, html, langid, lexical, minhash, neighbours, packing, suffixes, tokencount, variants, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -134,6 +134,39 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.similarity_join(table(spark, sf_dir, "documents")).drop("node", "stays")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for each benchmark item."""
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+SQL_LEXICAL = r"""
+WITH terms AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), sizes AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), held AS (
+  SELECT term, count(*) AS df FROM postings GROUP BY term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM held, totals
+), asked AS (
+  SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark
+), repeats AS (
+  SELECT item_id, term, count(*) AS r FROM asked GROUP BY item_id, term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM repeats JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, with one word of 97 misspelled by checksum."""
     return variants.variants(variants.word_counts(table(spark, sf_dir, "documents"), slip_one_in=97))
@@ -188,6 +221,6 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts, "op2_html_text": op2_html_text, "op3_pack": op3_pack, "op4_neighbours": op4_neighbours, "op5_langid": op5_langid, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontaminate": op7_decontaminate,
     "op8_chat": op8_chat,     "op9_jaccard_join": op9_jaccard_join, "op10_warc": op10_warc,
-    "op12_variants": op12_variants, "op13_byte_bpe": op13_byte_bpe,
+    "op11_lexical": op11_lexical, "op12_variants": op12_variants, "op13_byte_bpe": op13_byte_bpe,
 }
-SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC, "op12_variants": SQL_VARIANTS}
+SQL: dict[str, str] = {"op8_chat": SQL_CHAT, "op10_warc": SQL_WARC, "op11_lexical": SQL_LEXICAL, "op12_variants": SQL_VARIANTS}
