@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, text
 from loamline.operators import diff, graph, search, views
-from loamline.sources import corpus, extract
+from loamline.sources import corpus, extract, lexer
 
 MULTI_SYMBOLS = 5
 # How many rows each part of a bundle shows, by default and in full.
@@ -196,7 +196,7 @@ def register_functions(spark: SparkSession) -> None:
 
     @pandas_udf("array<string>")
     def lex_identifiers(content: pd.Series, lang: pd.Series) -> pd.Series:
-        return pd.Series([extract.identifiers(c or "", x or "") for c, x in zip(content, lang, strict=True)])
+        return pd.Series([lexer.identifiers(c or "", x or "") for c, x in zip(content, lang, strict=True)])
 
     @udtf(returnType="name string, kind string, start_line int, end_line int")
     class CorpusSymbols:

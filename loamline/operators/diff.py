@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import text
 from loamline.operators.graph import in_spans
-from loamline.sources.extract import blank
+from loamline.sources.lexer import blank
 
 RATIO, DICE = 0.8, 0.8
 LINES = "patch string, file_no int, path string, old_path string, status string, is_binary boolean, hunk_no int, seq int, kind string, old_line int, new_line int, content string"

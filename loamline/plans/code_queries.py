@@ -298,7 +298,7 @@ def call_scopes(spark, sf_dir):
 
 
 _CHANGES = f"""{CODE}, c AS (SELECT path, kind, name, coalesce(parent, '') AS parent, CASE
-    WHEN way = 1 AND name IN ('cost', 'Cost') THEN CASE WHEN l = 0 THEN 'body_changed' ELSE 'signature_changed' END WHEN way = 1 AND kind = 'class' THEN 'body_changed'
+    WHEN way = 1 AND name IN ('cost', 'Cost') THEN 'body_changed' WHEN way = 1 AND kind = 'class' THEN 'body_changed'
     WHEN way = 2 AND kind = 'function' THEN 'signature_changed' WHEN way = 3 AND kind = 'class' THEN 'body_changed' WHEN way = 3 AND name IN ('cost', 'Cost') THEN 'renamed'
     WHEN way IN (4, 5) AND kind = 'function' THEN 'deleted' ELSE 'unchanged' END AS change, k, l FROM symbols),
 n AS (SELECT path, kind, CASE change WHEN 'renamed' THEN (CASE name WHEN 'cost' THEN 'spend' ELSE 'Spend' END) ELSE name END AS name, parent, change, CASE change WHEN 'renamed' THEN name END AS old_name FROM c
@@ -400,8 +400,8 @@ def file_signatures(spark, sf_dir):
     "code_outlines",
     f"""{CODE}, o AS (SELECT path, start_line, CASE WHEN parent IS NULL THEN '' ELSE '  ' END || '[' || start_line || '-' || end_line || '] ' ||
   CASE WHEN l = 0 THEN CASE WHEN kind = 'class' THEN 'class ' || name || '(' || implements || ')' WHEN name = 'price' THEN 'def price(self,' WHEN name = 'cost' THEN 'def cost(self, x)' ELSE 'def ' || name || '(a)' END
-    WHEN l = 1 THEN CASE WHEN kind = 'class' THEN 'export class ' || name || ' extends ' || implements WHEN name = 'price' THEN 'price( x: number, ): number' WHEN name = 'cost' THEN 'cost(x: number): number {{ return x * ' || s || '; }}' ELSE 'export function ' || name || '(a: number)' END
-    ELSE CASE WHEN kind = 'struct' THEN 'type ' || name || ' struct' WHEN name = 'Price' THEN 'func (it *' || parent || ') Price(' WHEN name = 'Cost' THEN 'func (it *' || parent || ') Cost(x int) int {{ return x * ' || s || ' }}' ELSE 'func ' || name || '(a int) int' END END AS row FROM symbols)
+    WHEN l = 1 THEN CASE WHEN kind = 'class' THEN 'export class ' || name || ' extends ' || implements WHEN name = 'price' THEN 'price( x: number, ): number' WHEN name = 'cost' THEN 'cost(x: number): number' ELSE 'export function ' || name || '(a: number)' END
+    ELSE CASE WHEN kind = 'struct' THEN 'type ' || name || ' struct' WHEN name = 'Price' THEN 'func (it *' || parent || ') Price( x int, ) int' WHEN name = 'Cost' THEN 'func (it *' || parent || ') Cost(x int) int' ELSE 'func ' || name || '(a int) int' END END AS row FROM symbols)
 SELECT path, string_agg(row, chr(10) ORDER BY start_line) AS outline FROM o GROUP BY path""",
 )
 def code_outlines(spark, sf_dir):

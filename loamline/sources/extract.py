@@ -1,13 +1,11 @@
 """Definitions, imports and calls of source files.
 
-Python goes through the standard parser; other languages through a scanner that blanks comments and strings and then reads
-definition heads and block ends. The result has one row per definition, import or call; a grammar library could take the
-place of ``extract`` without a change elsewhere."""
+Python goes through the standard parser, other languages through a lexer and a reader with a stack of scopes. The result has
+one row per definition, import or call; a grammar library could take the place of ``extract`` without a change elsewhere."""
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,68 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions import names
+from loamline.sources import parser
 
 ROWS = "path string, lang string, row string, kind string, name string, parent string, owner string, start_line int, end_line int, signature string, exported boolean, ord int, source string, implements array<string>, doc string"
 
-# Definition heads of the scanned languages, with the kind that each defines.
-HEADS = {
-    "rust": [
-        (r"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+)*fn\s+(\w+)", "function"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "struct"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "trait"),
-        (r"(?:unsafe\s+)?impl(?:\s*<[^{]*?>)?\s+(?:[\w:]+(?:<[^{]*>)?\s+for\s+)?(\w+)", "impl"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)", "module"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:", "constant"),
-        (r"(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)", "type"),
-    ],
-    "go": [(r"func\s+(?:\([^)]*\)\s*)?(\w+)", "function"), (r"type\s+(\w+)\s+struct", "struct"), (r"type\s+(\w+)\s+interface", "interface"), (r"type\s+(\w+)", "type"), (r"(?:const|var)\s+(\w+)", "constant")],
-    "javascript": [
-        (r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"),
-        (r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "class"),
-        (r"(?:export\s+)?(?:declare\s+)?interface\s+(\w+)", "interface"),
-        (r"(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(\w+)", "enum"),
-        (r"(?:export\s+)?(?:declare\s+)?type\s+(\w+)\s*(?:<[^=]*>)?=", "type"),
-        (r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", "function"),
-        (r"(?:export\s+)?(?:const|let|var)\s+(\w+)", "variable"),
-        (r"(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{]+)?(?=\{)", "method"),
-    ],
-    "java": [
-        (r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|open|data|case|override)\s+)*(?:class|record|object)\s+(\w+)", "class"),
-        (r"(?:(?:public|private|protected|internal|static|final|abstract|sealed)\s+)*interface\s+(\w+)", "interface"),
-        (r"(?:(?:public|private|protected|internal|static)\s+)*enum\s+(?:class\s+)?(\w+)", "enum"),
-        (r"(?:(?:public|private|protected|internal|override|open|suspend|inline|final|implicit)\s+)*(?:fun|def)\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", "function"),
-        (r"(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)+[\w<>\[\],.? ]+?\s+(\w+)\s*\([^;{]*(?:\{|$)", "method"),
-    ],
-    "c": [(r"(?:typedef\s+)?struct\s+(\w+)", "struct"), (r"(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)", "enum"), (r"class\s+(\w+)", "class"), (r"namespace\s+(\w+)", "module"), (r"(?:[\w:*&<>,]+\s+)+[*&]*(?:\w+::)*(\w+)\s*\([^;{]*(?:\{|$)", "function")],
-    "php": [(r"(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)", "function"), (r"(?:(?:abstract|final)\s+)*class\s+(\w+)", "class"), (r"interface\s+(\w+)", "interface"), (r"trait\s+(\w+)", "trait")],
-    "swift": [(r"(?:(?:public|private|internal|open|static|final|override|mutating)\s+)*func\s+(\w+)", "function"), (r"(?:(?:public|private|internal|open|final)\s+)*(?:class|actor|extension)\s+(\w+)", "class"), (r"(?:public\s+)?struct\s+(\w+)", "struct"), (r"(?:public\s+)?enum\s+(\w+)", "enum"), (r"(?:public\s+)?protocol\s+(\w+)", "interface")],
-    "ruby": [(r"def\s+(?:self\.)?(\w+[?!]?)", "function"), (r"class\s+([\w:]+)", "class"), (r"module\s+([\w:]+)", "module")],
-    "elixir": [(r"defp?\s+(\w+[?!]?)", "function"), (r"defmacrop?\s+(\w+)", "function"), (r"defmodule\s+([\w.]+)", "module"), (r"defprotocol\s+([\w.]+)", "interface"), (r"defimpl\s+([\w.]+)", "impl")],
-    "bash": [(r"(?:function\s+)?([\w-]+)\s*\(\)", "function"), (r"function\s+([\w-]+)", "function")],
-}
-SAME_HEADS = {"typescript": "javascript", "tsx": "javascript", "kotlin": "java", "scala": "java", "csharp": "java", "cpp": "c"}
-CONTAINERS = {"class", "struct", "enum", "trait", "impl", "module", "interface"}
-CALL = re.compile(r"(?<![\w.])(?:(?P<owner>[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)(?:\.|::|->))?(?P<name>[A-Za-z_$][\w$]*[?!]?)\s*!?\(")
-NOT_CALLS = set(
-    "if for while switch match return catch function fn def func elif else in and or not with assert except lambda typeof sizeof await yield new class struct enum impl pub use let const var async super print do case when unless until end loop unsafe where".split()
-) - {"print"}
-HASH_COMMENTS = {"python", "ruby", "bash", "elixir", "php", "make", "dockerfile"}
-IMPORT_LINE = {
-    "rust": r"\s*(?:pub(?:\([^)]*\))?\s+)?use\s",
-    "go": r"\s*import\s",
-    "java": r"\s*import\s",
-    "c": r"\s*#include",
-    "javascript": r"\s*import[\s{]",
-    "elixir": r"\s*(?:alias|import|use|require)\s",
-    "bash": r"\s*(?:source|\.)\s",
-    "php": r"\s*(?:use|require|include)(?:_once)?\s",
-    "ruby": r"\s*require(?:_relative)?\s",
-    "swift": r"\s*import\s",
-}
-
-STATEMENT_LINES = 200  #: a head or an import goes on over so many lines at most
-
 REGISTERED: dict[str, Callable[[str, str], list[dict]]] = {}
 
 
@@ -85,41 +25,6 @@ def register_language(lang: str, extractor: Callable[[str, str], list[dict]]) ->
     REGISTERED[lang] = extractor
 
 
-def blank(content: str, lang: str) -> str:
-    """The content with comments and strings replaced by spaces; line feeds stay, so lines keep their numbers."""
-    hash_comment = "|#[^\n]*" if lang in HASH_COMMENTS else ""
-    lifetime = r"|'(?:\\.|[^'\\\n])'" if lang in ("rust", "c", "cpp") else r"|'(?:\\.|[^'\\\n])*'"
-    template = r"|`(?:\\.|[^`\\])*`" if lang in ("javascript", "typescript", "tsx", "go") else ""
-    slashes = r"|//[^\n]*|/\*.*?(?:\*/|\Z)" if lang not in HASH_COMMENTS or lang == "php" else ""
-    triple = r'|"""(?:.*?)(?:"""|\Z)' if lang in ("python", "elixir", "kotlin", "scala", "java", "swift") else ""
-    pattern = ("(?s:" + (triple + slashes + hash_comment + r'|"(?:\\.|[^"\\\n])*"' + lifetime + template)[1:] + ")")
-    return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), content)
-
-
-def identifiers(content: str, lang: str) -> list[str]:
-    """Distinct identifiers of a content, comments and strings left out."""
-    return sorted(set(re.findall(r"[A-Za-z_$][\w$]*", blank(content, lang))))
-
-
-def import_source(line: str, lang: str) -> str:
-    """Module or path that an import line names."""
-    line = line.strip().rstrip(";")
-    if lang in ("c", "cpp"):
-        return line.removeprefix("#include").strip()
-    if lang == "bash":
-        rest = re.sub(r"^(?:source|\.)\s+", "", line)
-        return "" if "$" in rest else rest.strip("\"'")
-    if lang == "elixir":
-        return re.sub(r"^(?:use|import|alias|require)\s+", "", line).split(",")[0].strip()
-    if lang == "rust":
-        rest = re.sub(r"^(?:pub(?:\([^)]*\))?\s+)?use\s+", "", line)
-        return re.sub(r"(?:::)+$", "", rest.split("{")[0].strip())
-    if (found := re.search(r"\bfrom\s+[\"']([^\"']+)", line)) or (found := re.search(r"[\"']([^\"']+)[\"']", line)):
-        return found[1]
-    words = line.split()
-    return words[1] if len(words) > 1 else line
-
-
 def _python(path: str, content: str) -> list[dict]:
     tree = ast.parse(content)
     source, out = content.split("\n"), []
@@ -155,116 +60,6 @@ def _python(path: str, content: str) -> list[dict]:
     return out
 
 
-def _block_end(code: list[str], at: int, column: int, lang: str) -> int:
-    """Last line (from 0) of the block that a head at ``at`` opens: by braces, by ``end``, or the head's own line."""
-    if lang in ("ruby", "elixir"):
-        indent = len(code[at]) - len(code[at].lstrip())
-        for k in range(at + 1, len(code)):
-            if re.match(r"\s*end\b", code[k]) and len(code[k]) - len(code[k].lstrip()) <= indent:
-                return k
-        return at
-    depth, opened, start = 0, False, column
-    for k in range(at, len(code)):
-        for c in code[k][start:]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-            elif c == ";" and not opened and depth == 0:
-                return k
-            if opened and depth <= 0:
-                return k
-        start = 0
-        if not opened and k > at + 20:
-            return at
-    return len(code) - 1 if opened else at
-
-
-def _statements(code: list[str], lang: str) -> list[str]:
-    """Of each line, the statement that begins there: the line and those after it until its brackets are closed."""
-    out = list(code)
-    for k, line in enumerate(code):
-        depth = line.count("(") + line.count("[") - line.count(")") - line.count("]")
-        last = k
-        while depth > 0 and last + 1 < len(code) and last < k + STATEMENT_LINES:
-            last += 1
-            more = code[last]
-            depth += more.count("(") + more.count("[") - more.count(")") - more.count("]")
-        if last > k and depth <= 0:
-            out[k] = "\n".join(code[k : last + 1])
-    return out
-
-
-def _imports(raw: list[str], code: list[str], kin: str, lang: str) -> tuple[list[dict], set[int]]:
-    """Import rows and the lines (from 0) that they take; a group of imports in brackets has a row for each."""
-    out, taken = [], set()
-    for k, line in enumerate(code):
-        if k in taken or not line.strip() or not re.match(IMPORT_LINE[kin], raw[k]):
-            continue
-        pairs, last = [("(", ")"), ("{", "}")], k
-        while any("".join(code[k : last + 1]).count(a) > "".join(code[k : last + 1]).count(b) for a, b in pairs) and last + 1 < len(code) and last < k + STATEMENT_LINES:
-            last += 1
-        taken.update(range(k, last + 1))
-        if lang == "go" and "(" in line:
-            for n in range(k, last + 1):
-                out += [{"row": "import", "source": source, "name": source, "start_line": n + 1} for source in re.findall(r"[\"`]([^\"`]+)[\"`]", raw[n] if code[n].strip() or n > k else "") if not raw[n].lstrip().startswith("//")]
-            continue
-        source = import_source(" ".join(x.strip() for x in raw[k : last + 1]), lang)
-        out.append({"row": "import", "source": source, "name": source, "start_line": k + 1})
-    return out, taken
-
-
-def _scanned(path: str, content: str, lang: str) -> list[dict]:
-    kin = SAME_HEADS.get(lang, lang)
-    heads = [(re.compile(r"\s*(?:@\w+(?:\([^)]*\))?\s+)*" + p), kind) for p, kind in HEADS.get(kin, [])]
-    raw, code = content.split("\n"), blank(content, lang).split("\n")
-    out, taken = _imports(raw, code, kin, lang) if kin in IMPORT_LINE else ([], set())
-    symbols: list[dict] = []
-    named: set[tuple[int, str]] = set()  # line and name of each definition, which is no call
-
-    def take(k: int, column: int, text: str) -> bool:
-        """Take the definition whose head is at a column of line k, if one is there."""
-        for pattern, kind in heads:
-            if not (m := pattern.match(text)) or m[1] in NOT_CALLS:
-                continue
-            behind = text[: m.end()].count("\n")
-            start = column + m.end() if not behind else m.end() - text.rindex("\n", 0, m.end()) - 1
-            if text[m.end() - 1 : m.end()] == "{":
-                start -= 1
-            end = _block_end(code, k + behind, start, lang)
-            outer = next((s for s in reversed(symbols) if s["start_line"] <= k + 1 <= s["end_line"] and s["kind"] in CONTAINERS), None)
-            if kin == "javascript" and kind == "method" and outer is None:
-                continue  # a call with a block after it
-            if kind in ("variable", "constant") and any(s["start_line"] < k + 1 <= s["end_line"] and s["kind"] in ("function", "method") for s in symbols):
-                return False
-            receiver = re.match(r"\s*func\s+\(\s*\w+\s+\*?(\w+)", text) if lang == "go" else None
-            owner = receiver[1] if receiver else outer["name"] if outer else None
-            trait = re.search(r"impl(?:\s*<[^{]*?>)?\s+([\w:]+)(?:<[^{]*>)?\s+for\s", text)
-            bases = re.findall(r"\w+", " ".join(re.findall(r"(?:implements|extends)\s+([^{]+)", text))) if kind in ("class", "interface") else []
-            signature = raw[k][column:] if not behind else " ".join(x.strip() for x in [raw[k][column:], *raw[k + 1 : k + behind + 1]])
-            named.add((k + 1 + text[: m.start(1)].count("\n"), m[1]))
-            symbols.append({"row": "symbol", "kind": "method" if kind == "function" and owner else kind, "name": m[1], "parent": owner, "start_line": k + 1, "end_line": end + 1, "signature": signature.strip().rstrip("{ "), "exported": bool(re.match(r"\s*(?:pub\b|export\b|public\b)", text)) or (lang == "go" and m[1][:1].isupper()), "implements": [trait[1]] if trait else [b for b in bases if b not in ("implements", "extends")], "doc": raw[k - 1].strip() if k and not column and re.match(r"\s*(?:///|\*/|#\s|//\s)", raw[k - 1]) else None})
-            return True
-        return False
-
-    for k, statement in enumerate(_statements(code, lang)):
-        if k in taken:
-            continue
-        take(k, 0, statement)
-        if kin not in ("ruby", "elixir", "bash"):  # heads after another one's brace on the same line
-            for m in re.finditer(r"[{};](?=\s*\S)", code[k]):
-                if statement[: m.start()].count("(") == statement[: m.start()].count(")"):
-                    take(k, m.end(), statement[m.end() :])
-    callers: list[str | None] = [None] * len(code)
-    for s in symbols:
-        if s["kind"] in ("function", "method"):
-            callers[s["start_line"] - 1 : s["end_line"]] = [s["name"]] * (s["end_line"] - s["start_line"] + 1)
-    for k, line in enumerate(code):
-        if k not in taken:
-            out += [{"row": "call", "name": m["name"], "owner": m["owner"], "parent": callers[k], "start_line": k + 1} for m in CALL.finditer(line) if m["name"] not in NOT_CALLS and (k + 1, m["name"]) not in named]
-    return symbols + out
-
-
 def extract(path: str, lang: str, content: str) -> list[dict]:
     """Rows of one file; a Python file that does not parse has none."""
     if lang in REGISTERED:
@@ -275,7 +70,7 @@ def extract(path: str, lang: str, content: str) -> list[dict]:
         except (SyntaxError, ValueError, RecursionError):
             rows = []
     else:
-        rows = _scanned(path, content, lang)
+        rows = parser.read(content, lang)
     for n, row in enumerate(rows):
         row |= {"path": path, "lang": lang, "ord": n}
         row["end_line"] = row.get("end_line") or row.get("start_line")
