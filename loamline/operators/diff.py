@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from loamline.functions import text
 from loamline.operators.graph import in_spans
-from loamline.sources.lexer import blank
 
 RATIO, DICE = 0.8, 0.8
 LINES = "patch string, file_no int, path string, old_path string, status string, is_binary boolean, hunk_no int, seq int, kind string, old_line int, new_line int, content string"
@@ -109,27 +108,15 @@ def renumbered(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     return own.withColumns({"old_no": F.when(F.col("kind") != "+", F.col("old_start") + run("+")), "new_no": F.when(F.col("kind") != "-", F.col("new_start") + run("-"))})
 
 
-def structure(body: str, lang: str, name: str) -> list[str]:
-    """Tokens of a definition with comments left out and its own name masked."""
-    plain = blank(body, lang) if lang else body
-    strings = re.findall(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", body)
-    return ["@" if t == name else t for t in re.findall(r"\w+|[^\w\s]", plain)] + strings
-
-
 def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols with body, content hash and structural hash."""
     each = files.select("path", F.split("content", "\n").alias("lines"))  # a content is split once, not for each of its symbols
     body = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     own = symbols.join(each, "path").withColumn("body", body).drop("lines")
 
-    def run(batches):
-        for batch in batches:
-            tokens = [" ".join(structure(b or "", lang, n)) for b, lang, n in zip(batch["body"], batch["lang"], batch["name"], strict=True)]
-            yield batch.assign(tokens=tokens)
-
-    own = own.select("path", "lang", "kind", "name", F.coalesce("parent", F.lit("")).alias("parent"), "start_line", "end_line", "signature", "body")
-    shaped = own.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in own.dtypes) + ", tokens string")
-    return shaped.withColumns({"content_hash": F.xxhash64("body"), "structure_hash": F.xxhash64("tokens")})
+    own = own.select("path", "lang", "kind", "name", F.coalesce("parent", F.lit("")).alias("parent"), "start_line", "end_line", "signature", "body", "shape")
+    content = F.xxhash64("body")
+    return own.withColumns({"content_hash": content, "structure_hash": F.coalesce("shape", content)}).drop("shape")
 
 
 def bigrams(value: str) -> Counter:
@@ -173,12 +160,12 @@ def match_file(old: list[dict], new: list[dict]) -> list[dict]:
     for key in sorted(befores.keys() | afters.keys()):
         a, b = list(befores.get(key, [])), list(afters.get(key, []))
         twins = []
-        for x in list(a):  # overloads: equal bodies first, others by position
-            y = next((y for y in b if y["content_hash"] == x["content_hash"]), None)
-            if y:
-                twins.append((x, y))
-                a.remove(x)
-                b.remove(y)
+        equal = keyed(reversed(b), lambda s: s["content_hash"])
+        for x in a:  # overloads: equal bodies first, others by position
+            if equal.get(x["content_hash"]):
+                twins.append((x, equal[x["content_hash"]].pop()))
+        done = {id(s) for pair in twins for s in pair}
+        a, b = [x for x in a if id(x) not in done], [y for y in b if id(y) not in done]
         for x, y in twins + list(zip(a, b, strict=False)):
             same = x["content_hash"] == y["content_hash"]
             add("unchanged" if same else "signature_changed" if x["signature"] != y["signature"] else "body_changed", x, y)
@@ -187,6 +174,7 @@ def match_file(old: list[dict], new: list[dict]) -> list[dict]:
         loose_new += b[n:]
     shape = lambda s: (s["kind"], s["structure_hash"])
     befores, afters = keyed(loose_old, shape), keyed(loose_new, shape)
+    met: set[int] = set()
     for key in befores.keys() & afters.keys():
         a, b = befores[key], afters[key]
         if len(a) == len(b) == 1:
@@ -197,8 +185,8 @@ def match_file(old: list[dict], new: list[dict]) -> list[dict]:
                 add("deleted", x, None, "ambiguous", count=count)
             for y in b:
                 add("added", None, y, "ambiguous", count=count)
-        loose_old = [x for x in loose_old if x not in a]
-        loose_new = [y for y in loose_new if y not in b]
+        met.update(id(s) for s in a + b)
+    loose_old, loose_new = [x for x in loose_old if id(x) not in met], [y for y in loose_new if id(y) not in met]
     scored, kept = [], {}
     size = lambda s: len(s["body"].encode())
     by_size = sorted((x["kind"], size(x), i) for i, x in enumerate(loose_old))
@@ -252,7 +240,8 @@ def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(found(), schema)
 
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as the work is not in proportion to the bytes
-    return both.repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, CHANGES)
+    # by a hash of the path: Spark 4.1 takes the union of two sides dealt by path to be dealt so itself, which adaptive execution can undo
+    return both.repartition(parts, F.xxhash64("path")).sortWithinPartitions("path").mapInArrow(run, CHANGES)
 
 
 def moves(changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.plans.code_queries import PARTS_SQL, new_files
 from loamline.sources import extract
 
 QUERIES: dict = {}
@@ -278,3 +279,32 @@ def import_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("g/m"), k.cast("string"), F.when(k % 2 == 0, ".go").otherwise(".ts"))
     files = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), F.when(k % 2 == 0, go).otherwise(script).alias("content"))
     return extract.imports(extract.code_rows(files)).select("path", "source", "line")
+
+
+@query(
+    "structure_copies",
+    f"""WITH {PARTS_SQL}, c AS (SELECT path, l, CASE WHEN way = 1 THEN s + 10 ELSE s END AS s, CASE WHEN way = 3 THEN 'spend' ELSE 'cost' END AS low FROM f)
+SELECT path, CASE WHEN l = 2 THEN upper(low[1]) || low[2:] ELSE low END AS name, count(*) OVER (PARTITION BY l, s, CASE WHEN l = 2 THEN path END) AS copies FROM c""",
+)
+def structure_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many methods of the made files' second version have a method's structure, whatever their names are.
+
+    Those of Go name their type in the receiver, so they have no copies."""
+    own = extract.symbols(extract.code_rows(new_files(spark, sf_dir))).where(F.lower("name").isin("cost", "spend"))
+    copies = own.groupBy("shape").agg(F.count("*").alias("copies"))
+    return own.join(copies, "shape").select("path", "name", "copies")
+
+
+@query(
+    "equal_parts",
+    """WITH m AS (SELECT p_partkey AS k, p_partkey % 7 AS g, p_partkey % 2 = 0 AS noted FROM part), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS copies FROM m)
+SELECT 'e/m' || k || '.ts' AS path, CASE WHEN noted THEN 2 ELSE 1 END AS start_line, CASE WHEN noted THEN 8 ELSE 6 END AS end_line, 35 AS tokens, copies FROM n WHERE copies > 1""",
+)
+def equal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that are the same but for comments and spacing, in files of seven kinds; what is in such a body is not named again."""
+    k = F.col("p_partkey")
+    noted = F.lit("// body {k}\nfunction f{k}(a) {\n  // again\n  const b = [1, 2, a];\n  if (a) {\n    go(b, {g}, a + b);\n  }\n  return a * b; /* end */ }\n")
+    plain = F.lit("function f{k}(a) {\n  const b = [1,2,a];\n  if (a) {\n    go( b, {g}, a + b);\n  }\n  return a*b; }\n")
+    content = F.replace(F.replace(F.when(k % 2 == 0, noted).otherwise(plain), F.lit("{k}"), k.cast("string")), F.lit("{g}"), (k % 7).cast("string"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("e/m"), k.cast("string"), F.lit(".ts")).alias("path"), content.alias("content"))
+    return extract.equal_parts(files).drop("shape")

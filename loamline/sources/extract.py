@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions import names
-from loamline.sources import parser
+from loamline.sources import lexer, parser
+from loamline.sources.shapes import Shapes
 
-ROWS = "path string, lang string, row string, kind string, name string, parent string, owner string, start_line int, end_line int, signature string, exported boolean, ord int, source string, implements array<string>, doc string"
+ROWS = "path string, lang string, row string, kind string, name string, parent string, owner string, start_line int, end_line int, signature string, exported boolean, ord int, source string, implements array<string>, doc string, shape bigint"
 
 REGISTERED: dict[str, Callable[[str, str], list[dict]]] = {}
 
@@ -57,6 +58,10 @@ def _python(path: str, content: str) -> list[dict]:
             visit(child, inner, caller)
 
     visit(tree, "", "")
+    shapes = Shapes(lexer.tokens(content, "python"), content, indented=True)
+    for row in out:
+        if row["row"] == "symbol":
+            row["shape"] = shapes.of_lines(row["start_line"], row["end_line"], row["name"])
     return out
 
 
@@ -81,7 +86,7 @@ def code_rows(files: DataFrame) -> DataFrame:
     """Definitions, imports and calls of the code files among ``files`` (path, content)."""
     kind = names.file_kind(F.col("path"))
     code = files.where(kind.startswith("code:") & F.col("content").isNotNull()).select("path", F.substr(kind, F.lit(6)).alias("lang"), "content")
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ROWS.split(", "))])
 
     def run(batches):
@@ -93,8 +98,32 @@ def code_rows(files: DataFrame) -> DataFrame:
     return code.mapInArrow(run, ROWS)
 
 
+def equal_parts(files: DataFrame, least: int = 20) -> DataFrame:
+    """(path, start_line, end_line, tokens, shape, copies) of the bracketed parts of at least ``least`` tokens that are in the code files
+    more than once, comments and spacing left out; parts of a larger one that is in as many places are not repeated.
+
+    Copies are found by a shuffle on the hash, which counts before it."""
+    kind = names.file_kind(F.col("path"))
+    code = files.where(kind.startswith("code:") & F.col("content").isNotNull()).select("path", F.substr(kind, F.lit(6)).alias("lang"), "content")
+    fields = ["shape", "start_line", "end_line", "tokens", "around"]
+
+    def run(batches):
+        for batch in batches:
+            for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
+                groups = Shapes(lexer.tokens(content, lang), content, lang in parser.INDENTED).groups(least)
+                columns = list(zip(*groups, strict=True)) or [()] * len(fields)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["path", *fields])
+
+    parts = code.mapInArrow(run, "path string, shape long, start_line int, end_line int, tokens int, around long")
+    copies = parts.groupBy("shape").agg(F.count("*").alias("copies")).where("copies > 1")
+    outer = copies.select(F.col("shape").alias("around"), F.col("copies").alias("outer_copies"))
+    own = parts.join(copies, "shape").join(outer, "around", "left")
+    return own.where("outer_copies IS NULL OR outer_copies < copies").select("path", "start_line", "end_line", "tokens", "shape", "copies")
+
+
 def symbols(rows: DataFrame) -> DataFrame:
-    return rows.where("row = 'symbol'").select("path", "lang", "kind", "name", "parent", "start_line", "end_line", "signature", "exported", "implements", "doc", "ord")
+    return rows.where("row = 'symbol'").select("path", "lang", "kind", "name", "parent", "start_line", "end_line", "signature", "exported", "implements", "doc", "ord", "shape")
 
 
 def calls(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from loamline.sources.lexer import SCRIPTS, tokens
+from loamline.sources.shapes import Shapes
 
 # Words of the languages that begin definitions, with the kinds that they define, and words before these.
 KEYWORDS = {
@@ -43,6 +44,7 @@ MODIFIERS = {
     "bash": "",
 }
 MODIFIERS = {k: set(v.split()) for k, v in MODIFIERS.items()}
+INDENTED = {"python"}
 NEWLINE_ENDS = {"go", "javascript", "kotlin", "scala", "swift", "bash", "ruby", "elixir"}
 #: Languages whose members have no word in front of their names.
 BARE_MEMBERS = {"java", "csharp", "c", "cpp", "javascript"}
@@ -70,6 +72,7 @@ class Reader:
         self.t = tokens(content, lang)
         self.kinds, self.texts, self.lines, self.close = self.t.kinds, self.t.texts, self.t.lines, self.t.close
         self.n = len(self.kinds)
+        self.shapes = Shapes(self.t, content, lang in INDENTED)
         self.scopes = [Scope(self.n, "file", None)]
         self.symbols: list[dict] = []
         self.imports: list[dict] = []
@@ -183,7 +186,7 @@ class Reader:
             doc = before if before.startswith(("///", "*/", "# ", "// ")) else None
         self.symbols.append({
             "row": "symbol", "kind": "method" if kind == "function" and owner else kind, "name": name, "parent": owner, "start_line": self.lines[first], "end_line": self.t.end_lines[last],
-            "signature": " ".join(self.content[start:end].split()).rstrip("{ ").rstrip(), "exported": bool(exported), "implements": implements or [], "doc": doc,
+            "signature": " ".join(self.content[start:end].split()).rstrip("{ ").rstrip(), "exported": bool(exported), "implements": implements or [], "doc": doc, "shape": self.shapes.of(first, last, name),
         })
         if kind in ("function", "method"):
             self.functions.append((first, last, name))

@@ -66,6 +66,48 @@ def version(spark, content, path="m.py"):
     return diff.bodies(extract.symbols(extract.code_rows(files)), files)
 
 
+def shapes(lang, content):
+    return {r["name"]: r["shape"] for r in extract.extract("x", lang, content) if r["row"] == "symbol"}
+
+
+def test_shapes():
+    one = lambda lang, content: next(iter(shapes(lang, content).values()))
+    assert one("rust", "fn foo(x: i32) -> i32 { x + 1 }") == one("rust", "fn bar(x: i32)->i32 { // why\n  x + 1\n}")
+    assert one("rust", "fn foo() { 1 + 2 }") != one("rust", "fn foo() { 3 * 4 }")
+    assert one("go", "func A(n int) int { return B(n) }") != one("go", "func A(n int) int { return B((n)) }")
+    assert one("rust", "fn foo(n: u8) { foo(n) }") != one("rust", "fn bar(n: u8) { foo2(n) }")  # what is called counts, the own head's name does not
+    nested = "def a(x):\n    if x:\n        y()\n{}z()\n"
+    assert one("python", nested.format("    ")) != one("python", nested.format("        "))
+    assert one("python", nested.format("    ")) == one("python", "\n\ndef b(x):  # c\n    if x:\n        y()\n\n    z()\n")
+    members = "class {} {{\n  m() {{ return 1 }}\n  n() {{ return 2 }}\n}}"
+    assert one("typescript", members.format("A")) == one("typescript", members.format("B"))
+
+
+def test_renames_reorders_and_comments(spark):
+    old = "fn a(x: u8) -> u8 { x + 1 }\nfn b(y: u8) -> u8 { y * 2 }\nfn c(z: u8) -> u8 { z - 3 }\nfn t1() { go(1) }\nfn t2() { go(1) }\n"
+    new = "fn c(z: u8) -> u8 { z - 3 }\nfn a(x: u8) -> u8 { /* note */ x + 1 }\nfn bb(y: u8) -> u8 {\n    // moved and renamed\n    y * 2\n}\nfn t3() { go(1) }\n"
+    changes = diff.symbol_changes(version(spark, old, "m.rs"), version(spark, new, "m.rs"))
+    found = {(r["name"], r["change"], r["old_name"], r["confidence"], r["count"]) for r in changes.collect()}
+    assert found == {
+        ("c", "unchanged", None, "exact", None), ("a", "body_changed", None, "exact", None), ("bb", "renamed", "b", "structural", None),
+        ("t1", "deleted", None, "ambiguous", 2), ("t2", "deleted", None, "ambiguous", 2), ("t3", "added", None, "ambiguous", 2),
+    }
+
+
+def test_overloads_keep_their_twins(spark):
+    old = "class A {\n int f(int a) { return a; }\n int f(long b) { return 2; }\n}"
+    new = "class A {\n int f(long b) { return 2; }\n int f(int a) { return a + 1; }\n}"
+    changes = diff.symbol_changes(version(spark, old, "A.java"), version(spark, new, "A.java")).where("kind = 'method'")
+    assert sorted(r["change"] for r in changes.collect()) == ["body_changed", "unchanged"]
+    assert diff.symbol_changes(version(spark, "", "A.java"), version(spark, "", "A.java")).count() == 0
+
+
+def test_equal_parts(spark):
+    body = "{ a(1); b(2); c(3); d(4); e(5); }"
+    files = spark.createDataFrame([("x.rs", f"fn f() {body}\nfn g() {body}"), ("y.go", f"func f() {body}"), ("z.md", body), ("n.rs", None), ("e.rs", "")], "path string, content string")
+    assert {(r["path"], r["start_line"], r["copies"]) for r in extract.equal_parts(files).collect()} == {("x.rs", 1, 3), ("x.rs", 2, 3), ("y.go", 1, 3)}
+
+
 def test_three_phases(spark):
     changes = diff.symbol_changes(version(spark, OLD), version(spark, NEW))
     found = {(r["name"], r["change"], r["old_name"], r["confidence"]) for r in changes.collect()}
