@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, text
-from loamline.operators import diff, graph, search, views
+from loamline.operators import diff, filters, graph, search, views
 from loamline.sources import corpus, extract, lexer
 
 MULTI_SYMBOLS = 5
@@ -52,10 +52,19 @@ class Engine:
     def of_documents(cls, documents: DataFrame) -> Engine:
         return cls(corpus.from_documents(documents))
 
+    @cached_property
+    def filters(self) -> DataFrame:
+        """Identifiers of each file, by which searches for a name leave files out."""
+        return filters.identifier_filters(self.files).persist()
+
     @cached_property
     def code(self) -> DataFrame:
         return extract.code_rows(self.files).persist()
 
+    def code_naming(self, name: str) -> DataFrame:
+        """Definitions, imports and calls of the files that may have a name; others are not extracted."""
+        return extract.code_rows(filters.narrowed(self.files, self.filters, name))
+
     @cached_property
     def symbols(self) -> DataFrame:
         return extract.symbols(self.code)
@@ -93,7 +102,7 @@ class Engine:
         if " " in q:
             branches += [("content", search.content_hits(self.files, q, False, glob)), ("words", search.content_hits(self.files, search.multi_word_pattern(q), True, glob))]
         else:
-            symbols = search.symbol_hits(self.files, self.symbols, q, glob)
+            symbols = search.symbol_hits(filters.narrowed(self.files, self.filters, q), self.symbols, q, glob)
             branches += [("symbol", symbols if kind == "fallthrough" else symbols.where(F.lit(not symbols.where("is_definition").isEmpty())))]
             branches += [("content", search.content_hits(self.files, q, False, glob)), ("usages", symbols)]
         found = search.first_filled(*branches)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions import names, queries, rank, text
-from loamline.operators import diff, edit, graph, search, views
+from loamline.operators import diff, edit, filters, graph, search, views
 from loamline.sources.corpus import from_documents, ignored
 
 QUERIES: dict = {}
@@ -268,6 +268,27 @@ def usage_search(spark, sf_dir):
     return search.ranked(search.usage_hits(files(spark, sf_dir), "tion"), "tion", F.lit(AS_OF).cast("timestamp")).select("path", "line", "score")
 
 
+@query("filtered_usages", SQL["usage_search"])
+def filtered_usages(spark, sf_dir):
+    """The same usages, looked for only in files whose identifier filter does not deny the name."""
+    own = files(spark, sf_dir)
+    hits = search.usage_hits(filters.narrowed(own, filters.identifier_filters(own), "tion"), "tion")
+    return search.ranked(hits, "tion", F.lit(AS_OF).cast("timestamp")).select("path", "line", "score")
+
+
+@query(
+    "filter_answers",
+    """WITH names AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z_][A-Za-z0-9_]*') AS name FROM benchmark), found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents)
+SELECT name, (SELECT count(*) FROM documents) AS files, count(doc_id) AS held, 0::BIGINT AS missed FROM names LEFT JOIN found USING (name) WHERE name <> '' GROUP BY name""",
+)
+def filter_answers(spark, sf_dir):
+    """How many files have the first identifier of each benchmark item, and how many of these their filters deny."""
+    own = files(spark, sf_dir)
+    named = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract("text", filters.IDENTIFIER, 0).alias("name")).where("name <> ''").distinct()
+    out = filters.misses(own, filters.identifier_filters(own), named)
+    return out.select("name", "files", "held", (F.col("held") + F.col("wrong") - F.col("passed")).alias("missed"))
+
+
 @query("regex_search", f"{BASE} SELECT path, CAST(count(*) AS BIGINT) AS hits FROM lines WHERE size <= 500000 AND regexp_matches(text, '[0-9]{{3}}|##[a-z]') GROUP BY path")
 def regex_search(spark, sf_dir):
     return search.content_hits(files(spark, sf_dir), "[0-9]{3}|##[a-z]", is_regex=True).groupBy("path").agg(F.count("*").alias("hits"))
