@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -382,38 +383,49 @@ def table_lines(table: Element):
         elif part.tag in SECTIONS:
             by[part.tag if part.tag in by else ""] += [x for x in part.children if not isinstance(x, str) and x.tag == "tr" and not x.hidden]
     rows = [*by["thead"], *by[""], *by["tfoot"]]
-    held: dict[int, int] = {}  # rows that a cell above still takes, by column
+    held: list[tuple[int, int, int]] = []  # columns from first to before past that a cell above takes, up to before a row
     grid: list[list[tuple[int, int, list[str]]]] = []
-    for row in rows:
-        at, cells = 0, []
+    for r, row in enumerate(rows):
+        at, cells, new = 0, [], []
+        held = [h for h in held if h[2] > r]
+        place = 0
         for cell in row.children:
             if isinstance(cell, str) or cell.tag not in ("td", "th") or cell.hidden:
                 continue
-            while held.get(at, 0):
-                at += 1
+            while place < len(held) and held[place][0] <= at:
+                at = max(at, held[place][1])
+                place += 1
             span = max(1, number(cell.attrs.get("colspan"), 1, 1000))
             deep = max(1, number(cell.attrs.get("rowspan"), 1, 65534))
             cells.append((at, span, (yield lines_of(cell))))
             if deep > 1:
-                held |= {k: deep for k in range(at, at + span)}
+                new.append((at, at + span, min(r + deep, len(rows))))
             at += span
-        held = {k: n - 1 for k, n in held.items() if n > 1}
+        if new:
+            both, held = sorted(held + new), []
+            for h in both:  # what touches and ends with the same row is one
+                if held and held[-1][2] == h[2] and h[0] <= held[-1][1]:
+                    held[-1] = (held[-1][0], max(held[-1][1], h[1]), h[2])
+                else:
+                    held.append(h)
         grid.append(cells)
-    wide: dict[int, int] = {}
+    # only columns that a cell begins in, or a spanning one ends with, can have a width
+    columns = sorted({at for cells in grid for at, _, _ in cells} | {at + span - 1 for cells in grid for at, span, _ in cells})
+    wide: dict[int, int] = dict.fromkeys(columns, 0)
     for cells in grid:
         for at, span, lines in cells:
             if span == 1:
-                wide[at] = max(wide.get(at, 0), max(map(width, lines), default=0))
+                wide[at] = max(wide[at], max(map(width, lines), default=0))
     for cells in grid:
         for at, span, lines in cells:
-            if span > 1:  # the last column that it spans takes what the others leave
-                own = [wide.setdefault(k, 0) for k in range(at, at + span)]
-                need = max(map(width, lines), default=0) - sum(own) - 2 * (span - 1)
-                wide[at + span - 1] += max(0, need)
+            need = max(map(width, lines), default=0) - 2 * (span - 1)
+            if span > 1 and need > 0:  # the last column that it spans takes what the others leave
+                own = columns[bisect_left(columns, at) : bisect_left(columns, at + span)]
+                wide[at + span - 1] += max(0, need - sum(wide[k] for k in own))
     start, sofar = {}, 0
-    for k in range(max(wide, default=-1) + 1):
+    for k in columns:
         start[k] = sofar
-        sofar += wide.get(k, 0) + (2 if wide.get(k, 0) else 0)
+        sofar += wide[k] + (2 if wide[k] else 0)
     out = list(caption)
     for cells in grid:
         for n in range(max((len(lines) for _, _, lines in cells), default=0)):

@@ -103,3 +103,20 @@ def test_extract_handles_odd_rows(spark):
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
     assert sorted((r[0] or 0, r[2]) for r in out.collect() if r[2] is not None) == [(1, "a"), (1, "a"), (2, "")]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_spans_beyond_all_columns_take_no_time():
+    import time
+
+    page = "<table>" + "<tr><td colspan=1000>a<td colspan=1000 rowspan=65534>b" * 3000 + "</table>"
+    began = time.process_time()
+    lines = extract_text(page).split("\n")
+    assert time.process_time() - began < 5 and len(lines) == 3000 and all(x.startswith("a") and x.endswith("b") for x in lines)
+    uneven = "<table>" + "".join(f"<tr><td>x<td colspan={k % 9 + 1} rowspan={k % 7 + 1}>y<td>z" for k in range(2000)) + "</table>"
+    began = time.process_time()
+    assert extract_text(uneven).count("z") == 2000 and time.process_time() - began < 5
+
+
+def test_cells_below_a_span_move_right():
+    page = "<table><tr><td rowspan=2>long one<td>b<tr><td>c<td>d<tr><td>e</table>"
+    assert extract_text(page).split("\n") == ["long one  b", "          c  d", "e"]
