@@ -198,41 +198,44 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
         return value
 
     # transfer of each block that is not a text's last one: entry label -> exit label
-    own, place = text[by], nth[by]
     entry = np.broadcast_to(np.where(np.eye(n_labels, dtype=bool), np.float32(0), np.float32(-1e9)), (len(start), n_labels, n_labels)).copy()
     many = per.max() > 1
     if many:
         transfer = forward(entry, None)
     before = np.zeros((len(start), n_labels), np.float32)
-    index = np.full((len(lengths), int(per.max())), -1)
-    index[own, place] = np.arange(len(start))
+    sorted_place = np.empty(len(by), np.int64)
+    sorted_place[by] = np.arange(len(by))
+    base, long_first = np.cumsum(per) - per, np.argsort(-per, kind="stable")
+    blocks_of = lambda b: base[long_first[: np.searchsorted(-per[long_first], -b, side="left")]] + b  # noqa: E731  of the texts with over b blocks
     for b in range(1, int(per.max())):
-        at = index[:, b]
-        has = at >= 0
-        last = index[has, b - 1]
-        before[at[has]] = (before[last][:, :, None] + transfer[last]).max(1)
-        before[at[has]] -= before[at[has]].max(1, keepdims=True)  # keeps single precision exact enough on long texts
+        at = blocks_of(b)
+        at, last = sorted_place[at], sorted_place[at - 1]
+        own = (before[last][:, :, None] + transfer[last]).max(1)
+        before[at] = own - own.max(1, keepdims=True)  # keeps single precision exact enough on long texts
     back = np.zeros((steps, len(start), n_labels), np.int16 if n_labels > 127 else np.int8)
     final = forward(before[:, None, :].copy(), back)[:, 0]
+    # the label before a block that each label at its end comes from, for all blocks at once; then the ends, from the last block on
+    came = np.broadcast_to(np.arange(n_labels), (len(start), n_labels)).copy() if many else None
+    if many:
+        for t in range(steps - 1, -1, -1):
+            k = active[t]
+            came[:k] = np.take_along_axis(back[t, :k].astype(np.int64), came[:k], axis=1)
+    now = final.argmax(1)
+    for b in range(int(per.max()) - 1, 0, -1):
+        at = blocks_of(b)
+        at, last = sorted_place[at], sorted_place[at - 1]
+        now[last] = came[at, now[at]]
     labels = np.zeros(len(scores), np.int64)
-    exit_label = np.full(len(start), -1)
-    for b in range(int(per.max()) - 1, -1, -1):
-        at = index[:, b]
-        at = at[at >= 0]
-        at.sort()
-        now = np.where(exit_label[at] >= 0, exit_label[at], final[at].argmax(1))
-        for t in range(int(size[at].max()) - 1, -1, -1):
-            live = size[at] > t
-            labels[start[at[live]] + t] = now[live]
-            now[live] = back[t, at[live], now[live]]
-        if b:
-            exit_label[index[own[at], b - 1]] = now
+    for t in range(steps - 1, -1, -1):
+        k = active[t]
+        labels[start[:k] + t] = now[:k]
+        now[:k] = back[t, np.arange(k), now[:k]]
     return labels
 
 
 @dataclass
 class Labels:
-    """Of texts: best language, its share of the letters, and spans (text, first, past, language number)."""
+    """Of texts: best language, the share of the letters that are evidence of it, and spans (text, first, past, language number)."""
 
     pred: list[str]
     score: np.ndarray
@@ -249,7 +252,8 @@ def label_texts(model: Model, texts: pa.Array, penalty: float) -> Labels:
     if not n or not known.any():
         return Labels(["und"] * rows, np.zeros(rows), (np.zeros(0, np.int64),) * 4)
     labels = viterbi(word_scores(model, seen)[codes], offsets, penalty)
-    by = np.bincount(text * n + labels, letters, rows * n).reshape(rows, n)
+    told = model.allowed[seen.script].any(1)[codes]  # words of a script that no language uses are evidence of none
+    by = np.bincount(text * n + labels, letters * told, rows * n).reshape(rows, n)
     best = by.argmax(1)
     score = np.where(known, by[np.arange(rows), best] / np.maximum(total, 1), 0.0)
     first = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])]))
@@ -267,7 +271,8 @@ RESULT = "doc_id long, lang_pred string, score double, spans array<struct<first:
 def label(docs: DataFrame, model: Model, penalty: float = 8.0) -> DataFrame:
     """Label spans of ``docs`` (doc_id, text): doc_id, lang_pred, score, spans (first and past-the-last word, language).
 
-    lang_pred is the language with most letters in its spans (ties: alphabetic), score its share of the letters. Null,
+    lang_pred is the language with most letters in its spans (ties: alphabetic), score their share of all letters; letters of words in a
+    script that no language of the model uses count for none, so a text of such words alone has some language with score 0. Null,
     empty and letterless texts give ``und`` with score 0 and no spans, as does a model without languages. Rows that repeat
     are labelled each; a null doc_id stays null; an empty table gives no rows; other columns are ignored."""
 

@@ -59,6 +59,36 @@ def test_script_narrows(model):
     assert found.pred[0] == "ru" and found.pred[1] in model.langs
 
 
+def test_scripts_that_no_language_uses_are_no_evidence(spark, model, rng):
+    latin = langid.Model(model.langs[:2], model.logp[:, :2], model.allowed[:, :2])  # de, en
+    english = prose(rng, 20)
+    letters = sum(map(str.isalpha, english))
+    texts = ["слово речь это так", "漢字 漢字", english + " " + "я" * letters, english + " " + "я" * 3 * letters, "ქართული " + english]
+    found = langid.label_texts(latin, pa.array(texts), 8.0)
+    assert set(found.pred) <= {"de", "en"} and found.pred[2:] == ["en"] * 3
+    assert found.score[:2].tolist() == [0, 0] and found.score[2] == pytest.approx(0.5) and found.score[3] == pytest.approx(0.25) and 0.9 < found.score[4] < 1
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs, latin).collect()) == [2, 4]
+
+
+def test_one_very_long_text_among_short_ones():
+    import time
+
+    rng = np.random.default_rng(2)
+    sizes = [1] * 5000 + [250_000] + [1] * 4999
+    scores, offsets = rng.normal(size=(sum(sizes), 4)).astype(np.float32), np.concatenate([[0], np.cumsum(sizes)])
+    began = time.process_time()
+    labels = langid.viterbi(scores, offsets, 2.0)
+    assert time.process_time() - began < 5
+    own = scores[offsets[5000] : offsets[5001]]
+    value, total = own[0].astype(float), None
+    for row in own[1:]:
+        value = np.maximum(value, value.max() - 2.0) + row
+    path = labels[offsets[5000] : offsets[5001]]
+    total = own[np.arange(len(own)), path].astype(float).sum() - 2.0 * (path[1:] != path[:-1]).sum()
+    assert total == pytest.approx(value.max(), rel=1e-5)
+
+
 def test_odd_rows(spark, model, odd_documents, no_documents):
     out = {(r["doc_id"], r["lang_pred"]) for r in langid.label(odd_documents, model).collect()}
     assert {(2, "und"), (3, "und"), (4, "und"), (6, "und"), (None, "und"), (1, "en"), (9, "en")} <= out
