@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamline.operators import ranks
+
 Z, Z_POWER = 1.959963984540054, 0.8416212335729143
 RESAMPLES, SEED = 10_000, 0
 GROWTH, BUDGET_USD = 1.10, 1.00
@@ -26,22 +28,24 @@ def summary(runs: DataFrame, metric: str, *keys: str) -> DataFrame:
     own = good(runs) if "error" in runs.columns else runs
     value = F.col(metric).cast("double")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return own.groupBy(*keys).agg(
-        F.count(value).alias("n"), zero(F.median(value)).alias("median"), zero(F.avg(value)).alias("mean"), zero(F.stddev_samp(value)).alias("stdev"),
-        zero(F.min(value)).alias("least"), zero(F.max(value)).alias("most"),
+    each = own.groupBy(*keys).agg(
+        F.count(value).alias("n"), zero(F.avg(value)).alias("mean"), zero(F.stddev_samp(value)).alias("stdev"), zero(F.min(value)).alias("least"), zero(F.max(value)).alias("most"),
     )
+    middle = ranks.medians(own, list(keys), value, "median").select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    same = F.lit(True)
+    for k in keys:
+        same = same & each[k].eqNullSafe(middle[f"_{k}"])
+    return each.join(middle, same, "left").select(*keys, "n", zero(F.col("median")).alias("median"), "mean", "stdev", "least", "most")
 
 
 def median_run(runs: DataFrame, metric: str, keys: list[str], tie: str) -> DataFrame:
-    """The run in the middle of each group by a metric; of an even number, the upper one."""
-    order = Window.partitionBy(*keys).orderBy(F.coalesce(metric, F.lit(0)), tie)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    placed = runs.withColumns({"_n": F.row_number().over(order), "_size": size})
-    return placed.where(F.col("_n") == F.floor(F.col("_size") / 2) + 1).drop("_n", "_size")
+    """The run in the middle of each group by a metric, a missing one as 0; of an even number, the upper one."""
+    return ranks.middle_rows(runs, keys, F.coalesce(metric, F.lit(0)), tie)
 
 
 def median_of_medians(runs: DataFrame, metric: str, outer: list[str], inner: list[str]) -> DataFrame:
-    return runs.groupBy(*outer, *inner).agg(F.median(metric).alias("m")).groupBy(*outer).agg(F.median("m").alias("median_of_medians"))
+    each = ranks.medians(runs, [*outer, *inner], F.col(metric), "m")
+    return ranks.medians(each, outer, F.col("m"), "median_of_medians")
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
@@ -88,20 +92,21 @@ def bootstrap(values: np.ndarray, statistic: str = "mean", resamples: int = RESA
 
 
 def ratio_bootstrap(over: np.ndarray, under: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, float]:
-    """Percentile interval of a ratio of sums over pairs: infinite where the sum below is 0, the point for one pair."""
-    a, b = np.asarray(over, float), np.asarray(under, float)
-    if not len(a) or b.sum() == 0:
-        return float("inf"), float("inf")
-    if len(a) < 2:
-        return float(a.sum() / b.sum()), float(a.sum() / b.sum())
-    by = np.lexsort((b, a))
-    a, b = a[by], b[by]
-
-    def ratio(index):
-        total = b[index].sum(1)
-        return np.divide(a[index].sum(1), total, out=np.full(len(index), np.inf), where=total > 0)
+    """Percentile interval of a ratio of sums over pairs: infinite where the sum below is 0, the point for one pair.
 
-    return _interval(len(a), ratio, resamples, seed)
+    Equal pairs are counted, and samples are drawn as counts of the different ones."""
+    pairs = np.stack([np.asarray(over, float), np.asarray(under, float)], axis=1)
+    top, bottom = pairs.sum(axis=0) if len(pairs) else (0.0, 0.0)
+    if not bottom:
+        return float("inf"), float("inf")
+    if len(pairs) == 1:
+        return float(top / bottom), float(top / bottom)
+    different, counts = np.unique(pairs, axis=0, return_counts=True)
+    sums = ranks.weighted_sums(different, counts.astype(float), np.full(resamples, len(pairs)), np.random.default_rng(seed))
+    ratios = np.full(resamples, np.inf)
+    np.divide(sums[:, 0], sums[:, 1], out=ratios, where=sums[:, 1] > 0)
+    low, high = np.percentile(ratios, [2.5, 97.5], method="lower" if np.isinf(ratios).any() else "linear")
+    return float(low), float(high)
 
 
 def _interval(n: int, statistic, resamples: int, seed: int) -> tuple[float, float]:
@@ -109,33 +114,46 @@ def _interval(n: int, statistic, resamples: int, seed: int) -> tuple[float, floa
     rng, out, step = np.random.default_rng(seed), [], max(1, 2_000_000 // n)
     for first in range(0, resamples, step):
         out.append(statistic(rng.integers(0, n, (min(step, resamples - first), n))))
-    low, high = np.percentile(np.concatenate(out), [2.5, 97.5], method="lower") if np.isinf(np.concatenate(out)).any() else np.percentile(np.concatenate(out), [2.5, 97.5])
+    low, high = np.percentile(np.concatenate(out), [2.5, 97.5])
     return float(low), float(high)
 
 
 def bootstrap_intervals(rows: DataFrame, keys: list[str], value: str, statistic: str = "mean") -> DataFrame:
-    """(keys, n, low, high) of each group's values. Groups are experiment cells; one cell's values go to one task."""
+    """(keys, n, low, high) of each group's values, of cells of any size for a mean; for a median one cell's values go to one task."""
+    own = rows.select(*keys, F.col(value).cast("double").alias(value))
+    if statistic == "mean":
+        held = own.where(F.col(value).isNotNull())
+        each = own.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("_point"), F.coalesce(F.max(value) > F.min(value), F.lit(False)).alias("_spread"))
+        drawn = ranks.resampled_sums(ranks._beside(held, each.where("_spread").select(*keys, "n"), keys), keys, [value, "n"], RESAMPLES, SEED)
+        # n is summed over as many rows as there are, so that its sum is n squared
+        found = ranks.intervals(drawn, keys, lambda: F.col(value) / F.sqrt("n"))
+        return _or_point(each, found, keys).select(*keys, "n", "low", "high")
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", n long, low double, high double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[value].dropna().to_numpy()
-        low, high = bootstrap(own, statistic)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(own), low, high]], columns=[*keys, "n", "low", "high"])
+        values = pdf[value].dropna().to_numpy()
+        low, high = bootstrap(values, statistic)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(values), low, high]], columns=[*keys, "n", "low", "high"])
 
-    return rows.select(*keys, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(run, schema)
+    return own.groupBy(*keys).applyInPandas(run, schema)
 
 
-def ratio_intervals(rows: DataFrame, keys: list[str], over: str, under: str) -> DataFrame:
-    """(keys, value, low, high) of each group's ratio of sums."""
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", value double, low double, high double"
+def _or_point(each: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``each`` with the interval of its keys, or its ``_point`` at both ends where none was drawn."""
+    own = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("low").alias("_low"), F.col("high").alias("_high"))
+    out = each.join(own, ranks._same(each, own, keys), "left")
+    return out.withColumns({"low": F.coalesce("_low", "_point"), "high": F.coalesce("_high", "_point")})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[over].to_numpy(), pdf[under].to_numpy()
-        low, high = ratio_bootstrap(a, b)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), float(a.sum() / b.sum()) if b.sum() else float("inf"), low, high]], columns=[*keys, "value", "low", "high"])
 
-    own = rows.select(*keys, F.coalesce(F.col(over).cast("double"), F.lit(0.0)).alias(over), F.coalesce(F.col(under).cast("double"), F.lit(0.0)).alias(under))
-    return own.groupBy(*keys).applyInPandas(run, schema)
+def ratio_intervals(rows: DataFrame, keys: list[str], over: str, under: str) -> DataFrame:
+    """(keys, value, low, high) of each group's ratio of sums: infinite where the sum below is 0, the point for one row."""
+    own = rows.select(*keys, F.coalesce(F.col(over).cast("double"), F.lit(0.0)).alias("_over"), F.coalesce(F.col(under).cast("double"), F.lit(0.0)).alias("_under"))
+    ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0.0))).otherwise(float("inf"))
+    top, bottom = F.sum("_over"), F.sum("_under")
+    each = own.groupBy(*keys).agg(F.when(bottom == 0, float("inf")).otherwise(top / F.nullif(bottom, F.lit(0.0))).alias("_point"), ((F.count("*") > 1) & (bottom != 0)).alias("_spread"))
+    drawn = ranks.resampled_sums(ranks._beside(own, each.where("_spread").drop("_point", "_spread"), keys), keys, ["_over", "_under"], RESAMPLES, SEED)
+    found = ranks.intervals(drawn, keys, lambda: ratio(F.col("_over"), F.col("_under")))
+    return _or_point(each, found, keys).select(*keys, F.col("_point").alias("value"), "low", "high")
 
 
 def paired(runs: DataFrame, first: str, second: str, keys: list[str], values: list[str], line: str) -> DataFrame:
@@ -237,10 +255,13 @@ def is_snowball(turns: Column) -> Column:
     return (F.size(turns) >= 2) & F.coalesce(F.forall(pairs, lambda p: (p["a"] > 0) & (p["b"] > p["a"]) & (p["b"] >= p["a"] * GROWTH)), F.lit(False))
 
 
-def percentile_of(rows: DataFrame, column: str, share: float) -> Column:
-    """An exact percentile as a scalar subquery: equal values are counted where they are, and only distinct ones come together."""
-    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
-    return counted.agg(F.percentile("_value", share, F.col("_n"))).scalar()
+def percentiles_of(rows: DataFrame, columns: list[str], share: float) -> list[Column]:
+    """Exact percentiles of columns as scalar subqueries of one scan: equal values are counted where they are, and only different ones come together."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)]))
+    counted = rows.select(each.alias("x")).where("x.v IS NOT NULL").groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+    of = lambda k: F.percentile(F.when(F.col("k") == k, F.col("v")), share, F.col("n"))
+    one = counted.agg(F.struct(*[of(k).alias(f"p{k}") for k in range(len(columns))]).alias("p")).scalar()
+    return [one[f"p{k}"] for k in range(len(columns))]
 
 
 def flags(runs: DataFrame) -> DataFrame:
@@ -248,7 +269,7 @@ def flags(runs: DataFrame) -> DataFrame:
 
     Thresholds are 95th percentiles over all runs; the flags of a run come from one pass."""
     own = runs.withColumn("_tools", tool_count(runs).cast("double"))
-    talk, storm = percentile_of(own, "output_tokens", 0.95), percentile_of(own, "_tools", 0.95)
+    talk, storm = percentiles_of(own, ["output_tokens", "_tools"], 0.95)
     wrong = ~F.coalesce("correct", F.lit(False))
     no = lambda c: F.coalesce(c, F.lit(False))
     rules = [
