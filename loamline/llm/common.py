@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 4 << 20
 TIDY_BYTES = 160 << 20
+BATCH_BYTES = 16 << 20
 
 
 def resident_bytes() -> int:
@@ -43,12 +44,21 @@ def tidy(run):
     return tidied
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches that go to Python workers hold ``BATCH_BYTES`` at most, on both sides, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; where it is unset, one of our own on a local master, else an error.
 
     Also turns off a setting of Spark 4.1 under which a repartition of a union is dropped when adaptive execution has
-    coalesced both sides to one partition, so that rows of one key reach two tasks."""
+    coalesced both sides to one partition, so that rows of one key reach two tasks, and bounds batches."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    bounded_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import mix, slices, tidy, words
+from loamline.llm.common import bounded_batches, mix, slices, tidy, words
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 2000  #: labelled rows of each language that the model is fitted on (expected number; drawn by id hash)
@@ -113,6 +113,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, share: float = 1e-3
     """Fit on about ``sample_rows`` rows of each language of ``labelled`` (doc_id, text, lang); rows without either are passed over.
 
     The driver gets at most ``BUCKETS`` trigram counts and a row of script counts for each language."""
+    bounded_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
     totals = usable.groupBy("lang").count().collect()  # a row for each language
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
