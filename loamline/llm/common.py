@@ -47,7 +47,7 @@ def tidy(run):
 def bounded_batches(spark: SparkSession) -> None:
     """Let batches that go to Python workers hold ``BATCH_BYTES`` at most, on both sides, unless the session asks for less."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "").rstrip("b")
+    now = (spark.conf.get(name, None) or "").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
