@@ -21,26 +21,37 @@ def first_expansions(expansions: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 NUDGE = "session long, ts timestamp, seq long, tool string, item string, nth int"
-STATE = "last_tool string, last_item string, counts string"
+STATE = "last_tool string, last_item string, counts string, last_ms long"
 
 
-def nudges(calls: DataFrame, most: int = 2) -> DataFrame:
+def nudges(calls: DataFrame, most: int = 2, idle_ms: int = 86_400_000, late: str = "1 hour") -> DataFrame:
     """Calls that follow one of the same tool with another item, the first ``most`` of each tool; rows of a batch go in time order.
 
-    A session's state is its last call and a count for each tool."""
+    A session's state is its last call and a count for each tool. It goes when the watermark is ``idle_ms`` past the session's last call,
+    and a session that goes on after that begins anew. A call before the watermark is late: it is left out and changes no state."""
     import json
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_tool, last_item, counts = state.get if state.exists else (None, None, "{}")
-        counts = json.loads(counts)
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
         out = []
-        for r in rows.itertuples():
-            if r.tool == last_tool and r.item != last_item and counts.get(r.tool, 0) < most:
-                counts[r.tool] = counts.get(r.tool, 0) + 1
-                out.append((key[0], r.ts, r.seq, r.tool, r.item, counts[r.tool]))
-            last_tool, last_item = r.tool, r.item
-        state.update((last_tool, last_item, json.dumps(counts)))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            now = state.getCurrentWatermarkMs()
+            last_tool, last_item, counts, last_ms = state.get if state.exists else (None, None, "{}", 0)
+            counts = json.loads(counts)
+            rows = pd.concat(batches).sort_values(["ts", "seq"])
+            rows = rows[rows["ts"].map(lambda t: t.timestamp() * 1000) >= now]
+            for r in rows.itertuples():
+                if r.tool == last_tool and r.item != last_item and counts.get(r.tool, 0) < most:
+                    counts[r.tool] = counts.get(r.tool, 0) + 1
+                    out.append((key[0], r.ts, r.seq, r.tool, r.item, counts[r.tool]))
+                last_tool, last_item, last_ms = r.tool, r.item, max(last_ms, int(r.ts.timestamp() * 1000))
+            if len(rows):
+                state.update((last_tool, last_item, json.dumps(counts), last_ms))
+                state.setTimeoutTimestamp(max(last_ms + idle_ms, now + 1))
+            elif state.exists:
+                state.setTimeoutTimestamp(max(last_ms + idle_ms, now + 1))
         yield pd.DataFrame(out, columns=["session", "ts", "seq", "tool", "item", "nth"])
 
-    return calls.groupBy("session").applyInPandasWithState(step, NUDGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    held = calls.withWatermark("ts", late)
+    return held.groupBy("session").applyInPandasWithState(step, NUDGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -71,7 +71,43 @@ def test_streams_give_the_batch_results(spark, tmp_path):
     assert sorted(map(tuple, spark.table("nudged").collect())) == sorted(map(tuple, session.nudges(calls).collect()))
     query = streams.counters(stream).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert spark.table("counted").count() >= 0
+    # windows end after 30 minutes without a call and are final an hour later: the calls of 2000 seconds are still open
+    assert spark.table("counted").count() == 0
+
+
+def in_batches(spark, folder, batches):
+    schema = "session long, ts timestamp, seq long, tool string, item string"
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "session long, s long, seq long, tool string, item string")
+        frame.select("session", F.timestamp_seconds("s").alias("ts"), "seq", "tool", "item").coalesce(1).write.parquet(f"{folder}/b={k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def finished(frame, name, folder):
+    query = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return query
+
+
+def test_windows_of_calls_end(spark, tmp_path):
+    day = 1_700_000_000
+    batches = [[(1, day + 60 * k, k, "read", "a") for k in range(5)] + [(2, day, 50, "search", "b")], [(1, day + 7200, 60, "read", "a"), (3, day + 36_000, 61, "read", "c")], [(4, day + 72_000, 70, "read", "z")], [(1, day + 30, 71, "read", "late"), (5, day + 90_000, 72, "read", "y")]]
+    finished(streams.counters(in_batches(spark, tmp_path / "in", batches)), "ended", tmp_path / "c")
+    got = sorted((r["session"], r["tool"], r["calls"], (r["end"] - r["start"]).total_seconds()) for r in spark.table("ended").collect())
+    assert got == [(1, "read", 1, 1800.0), (1, "read", 5, 2040.0), (2, "search", 1, 1800.0), (3, "read", 1, 1800.0), (4, "read", 1, 1800.0)]  # the late call changes none
+
+
+def test_state_of_idle_sessions_goes(spark, tmp_path):
+    day = 1_700_000_000
+    call = lambda s, at, seq, item: (s, day + at, seq, "read", item)
+    batches = [[call(1, 0, 1, "a"), call(1, 10, 2, "b")], [call(2, 20_000, 3, "x")], [call(2, 40_000, 4, "y")], [call(1, 41_000, 5, "c"), call(1, 30, 6, "late"), call(1, 41_010, 7, "d")], [call(3, 50_000, 8, "q")]]
+    stream = streams.nudges(in_batches(spark, tmp_path / "in", batches), idle_ms=3_600_000)
+    query = finished(stream, "idle", tmp_path / "c")
+    got = sorted((r["session"], r["seq"], r["nth"]) for r in spark.table("idle").collect())
+    # session 1 went after an hour: its call of 41 000 follows none, and counts begin anew
+    assert got == [(1, 2, 1), (1, 7, 1), (2, 4, 1)]  # that of session 2 went on, as the watermark had not passed its end
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert held[-1] == 1  # of three sessions, that of the last call
 
 
 def test_sequences_and_drift(spark):
