@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import names, text
 from loamline.operators import diff, graph, search, views
+from loamline.operators.ranks import cut
 from loamline.sources import extract
 
 QUERIES: dict = {}
@@ -199,7 +200,7 @@ def import_targets(spark, sf_dir):
 def code_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(symbols, calls, resolved imports, calls with the definitions that they mean) of the made files."""
     own = code_files(spark, sf_dir)
-    rows = rows_of(own)
+    rows = cut(rows_of(own))  # extracted once
     symbols, calls, resolved = extract.symbols(rows), extract.calls(rows), graph.resolved_imports(extract.imports(rows), own)
     return symbols, calls, resolved, graph.resolved_callees(calls, symbols, resolved)
 
