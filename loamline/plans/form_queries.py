@@ -215,12 +215,16 @@ FORMS = [
 ]
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
+
+
 def form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of each row of ``part``, in the language that its key chooses."""
     k, n = F.col("p_partkey"), len(FORMS)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
     content = F.replace(pick([f[1] for f in FORMS]), F.lit("{k}"), k.cast("string"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f/m"), k.cast("string"), pick([f[0] for f in FORMS])).alias("path"), content.alias("content"))
+    return _keys(spark, sf_dir).select(F.concat(F.lit("f/m"), k.cast("string"), pick([f[0] for f in FORMS])).alias("path"), content.alias("content"))
 
 
 def _expected(letter: str, columns: str) -> str:
@@ -249,19 +253,19 @@ _NAMED = lambda c: f"replace({c}, '{{k}}', k) AS {c}"
 @query("form_definitions", _expected("D", "kind, name, parent, first, last") + f"SELECT path, kind, {_NAMED('name')}, {_NAMED('parent')}, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM made")
 def form_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of all files."""
-    return extract.symbols(extract.code_rows(form_files(spark, sf_dir))).select("path", "kind", "name", "parent", "start_line", "end_line")
+    return extract.symbols(extract.code_rows(form_files(spark, sf_dir), ["symbol"], shapes=False)).select("path", "kind", "name", "parent", "start_line", "end_line")
 
 
 @query("form_calls", _expected("C", "callee, owner, caller, line") + f"SELECT path, {_NAMED('callee')}, {_NAMED('owner')}, {_NAMED('caller')}, CAST(line AS INTEGER) AS line FROM made")
 def form_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of all files."""
-    return extract.calls(extract.code_rows(form_files(spark, sf_dir))).select("path", "callee", "owner", "caller", "line")
+    return extract.calls(extract.code_rows(form_files(spark, sf_dir), ["call"], shapes=False)).select("path", "callee", "owner", "caller", "line")
 
 
 @query("form_imports", _expected("I", "source, line") + f"SELECT path, {_NAMED('source')}, CAST(line AS INTEGER) AS line FROM made")
 def form_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of all files."""
-    return extract.imports(extract.code_rows(form_files(spark, sf_dir))).select("path", "source", "line")
+    return extract.imports(extract.code_rows(form_files(spark, sf_dir), ["import"], shapes=False)).select("path", "source", "line")
 
 
 @query(
@@ -277,8 +281,8 @@ def import_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     go = F.concat(F.lit("import (\n"), lines('\t"lib%d"'), F.lit("\n)\n"))
     script = F.concat(F.lit("import {\n"), lines("  name%d,"), F.lit("\n} from './lib"), k.cast("string"), F.lit("';\n"))
     path = F.concat(F.lit("g/m"), k.cast("string"), F.when(k % 2 == 0, ".go").otherwise(".ts"))
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), F.when(k % 2 == 0, go).otherwise(script).alias("content"))
-    return extract.imports(extract.code_rows(files)).select("path", "source", "line")
+    files = _keys(spark, sf_dir).select(path.alias("path"), F.when(k % 2 == 0, go).otherwise(script).alias("content"))
+    return extract.imports(extract.code_rows(files, ["import"], shapes=False)).select("path", "source", "line")
 
 
 @query(
@@ -290,9 +294,9 @@ def structure_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many methods of the made files' second version have a method's structure, whatever their names are.
 
     Those of Go name their type in the receiver, so they have no copies."""
-    own = extract.symbols(extract.code_rows(new_files(spark, sf_dir))).where(F.lower("name").isin("cost", "spend"))
+    own = extract.symbols(extract.code_rows(new_files(spark, sf_dir), ["symbol"])).where(F.lower("name").isin("cost", "spend"))
     copies = own.groupBy("shape").agg(F.count("*").alias("copies"))
-    return own.join(copies, "shape").select("path", "name", "copies")
+    return own.join(copies.hint("merge"), "shape").select("path", "name", "copies")
 
 
 @query(
@@ -306,5 +310,5 @@ def equal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     noted = F.lit("// body {k}\nfunction f{k}(a) {\n  // again\n  const b = [1, 2, a];\n  if (a) {\n    go(b, {g}, a + b);\n  }\n  return a * b; /* end */ }\n")
     plain = F.lit("function f{k}(a) {\n  const b = [1,2,a];\n  if (a) {\n    go( b, {g}, a + b);\n  }\n  return a*b; }\n")
     content = F.replace(F.replace(F.when(k % 2 == 0, noted).otherwise(plain), F.lit("{k}"), k.cast("string")), F.lit("{g}"), (k % 7).cast("string"))
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("e/m"), k.cast("string"), F.lit(".ts")).alias("path"), content.alias("content"))
+    files = _keys(spark, sf_dir).select(F.concat(F.lit("e/m"), k.cast("string"), F.lit(".ts")).alias("path"), content.alias("content"))
     return extract.equal_parts(files).drop("shape")
