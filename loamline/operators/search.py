@@ -60,7 +60,7 @@ def definition_hits(files: DataFrame, symbols: DataFrame, name: str) -> DataFram
     target = F.when(F.array_contains("implements", name), F.lit(name))
     own = symbols.where((F.col("name") == name) | F.array_contains("implements", name))
     weight = F.when(F.col("name") == name, rank.definition_weight(F.col("kind"))).otherwise(80)
-    return own.join(info, "path").select(
+    return own.join(info.hint(graph.MERGE), "path").select(
         "path", F.col("start_line").alias("line"), F.col("signature").alias("text"), F.lit(True).alias("is_definition"), F.lit(True).alias("exact"),
         F.col("name").alias("def_name"), weight.alias("def_weight"), F.when(F.col("name") != name, target).alias("impl_target"), "start_line", "end_line", "est_lines", "mtime",
     )

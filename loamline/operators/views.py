@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import names, text
-from loamline.operators.graph import in_spans
+from loamline.operators.graph import MERGE, in_spans
 
 OUTLINE_FROM, FULL_BYTES = 6000, 2_000_000
 DIVERSE_FROM, DIVERSE_LINES = 80, 40
@@ -32,7 +32,7 @@ def read_mode(files: DataFrame, full: bool = False) -> DataFrame:
 def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Lines of ``ranges`` (ord, path, first, last) in request order; overlaps are given each time."""
     wanted = ranges.join(files.select("path", "size"), "path").withColumn("last", F.least("last", F.col("size") + 1)).drop("size")
-    return in_spans(text.lines(files, "path"), wanted).select("ord", "path", "line", "text").orderBy("ord", "line")
+    return in_spans(text.lines(files, "path"), wanted, few=True).select("ord", "path", "line", "text").orderBy("ord", "line")
 
 
 def skipped_lines(lines: DataFrame) -> DataFrame:
@@ -230,12 +230,12 @@ def expanded_hits(files: DataFrame, hits: DataFrame, around: int = 10, whole_bel
     Where a definition is shown from one of the first five lines of its file, imports and blank lines before any other are left
     out, and everywhere debug logs, plain comments and all but the first of blank lines in a row; ``gap`` says how many lines
     are left out before a line, where more than three are."""
-    own = hits.join(files.select("path", "size"), "path")
+    own = hits.join(files.select("path", "size").hint(MERGE), "path")
     whole = text.tokens_of_bytes(F.col("size")) < whole_below
     first = F.when(whole, 1).otherwise(F.coalesce("start_line", F.greatest(F.col("line") - around, F.lit(1))))
     last = F.when(whole, F.col("size") + 1).otherwise(F.least(F.coalesce("end_line", F.col("line") + around), F.col("size") + 1))
     spans = own.select("path", F.col("line").alias("hit_line"), first.alias("first"), last.alias("last"), (F.col("start_line").isNotNull() & (first <= 5)).alias("_heads"))
-    lines = skipped_lines(text.lines(files.join(spans.select("path").distinct(), "path", "left_semi"), "path"))
+    lines = skipped_lines(text.lines(files.join(spans.select("path").distinct().hint(MERGE), "path", "left_semi"), "path"))
     shown = in_spans(lines, spans)
     head = F.ltrim("text").rlike(r"^(?:use |import |from |#include|require[( ]|const .*= require\(|\s*$)")
     order = Window.partitionBy("path", "hit_line").orderBy("line")

@@ -25,3 +25,20 @@ def test_only_what_is_asked_for(spark):
         own = extract.code_rows(files, [row], shapes=False)
         assert own.drop("shape").collect() == whole.where(F.col("row") == row).drop("shape").collect() and own.where(shape.isNotNull()).isEmpty()
     assert whole.where("row = 'symbol'").where(shape.isNull()).isEmpty()
+
+
+GROWING = "changed_callers changes_of_term expanded_definitions symbol_changes symbol_moves call_chain lookup_outcomes outline_context call_scopes definition_search callee_targets".split()
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_no_side_that_grows_is_broadcast(spark, name):
+    """Sizes of extracted rows are guessed at a fraction of what they are, so a threshold does not keep them from the driver."""
+    frame = code_queries.QUERIES[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_two_definitions_of_a_folder_are_enough(spark):
+    rows = [("d", "Cost", f"d/m{k}.go", line) for k in range(50) for line in (9, 4)] + [("e", "Cost", "e/a.go", 3)]
+    own = graph.folder_definitions(spark.createDataFrame(rows, "folder string, callee string, target_path string, target_line int"))
+    assert {tuple(r) for r in own.collect()} == {("d", "Cost", "d/m0.go", 4), ("d", "Cost", "d/m1.go", 4), ("e", "Cost", "e/a.go", 3)}
