@@ -76,11 +76,23 @@ class Store:
         """(last use, path, bytes), the least recently used first."""
         return sorted((self.used[p], p, 1 + sum(v.weight() for v in vs)) for p, vs in self.held.items())
 
+    def tagged(self, tag: str) -> list[str]:
+        """Texts of any path that have a tag."""
+        return [v.text for vs in self.held.values() for v in vs if v.tag == tag]
+
     def tick(self) -> int:
         self.clock += 1
         return self.clock
 
 
+def minted(store: Store, text: str) -> str:
+    """The tag of a text: of as many digits as set it apart from every other text that the session holds, trailing white space left out."""
+    plain, digits = edit.plain(text), 4
+    while digits < edit.DIGITS and any(edit.plain(t) != plain for t in store.tagged(edit.tag(text, digits))):
+        digits += 1
+    return edit.tag(text, digits)
+
+
 def step(store: Store, kind: str, path: str, text: str | None, tag: str | None, lines: list[int] | None, target: str | None) -> tuple[str | None, int, int, int, int]:
     """What one event does to a store: (tag minted or named, versions of the path, lines seen of its newest, paths, bytes).
 
@@ -92,8 +104,8 @@ def step(store: Store, kind: str, path: str, text: str | None, tag: str | None,
         if len(text.encode()) > FILE_BYTES:
             tag = None
         else:
-            now, tag = store.tick(), edit.tag(text)
-            same = next((v for v in own if v.tag == tag and v.text == text), None)
+            now, same = store.tick(), next((v for v in own if v.text == text), None)
+            tag = same.tag if same else minted(store, text)
             new = Version(text, tag, now, united(same.seen if same else [], of_lines(lines)))
             own = [new, *(v for v in own if v is not same)][:MOST_VERSIONS]
             store.put(path, own, now)
@@ -280,7 +292,7 @@ def settled(section: str, live: str, text: str | None, newest: bool | None, know
             return edit.apply(live, ops), "applied", None
         if text is None:
             return live, "drift" if known else "fabricated", f"tag {wanted}"
-        if edit.tag(live) == wanted and live == text:
+        if edit.tag(live, len(wanted)) == wanted and live == text:
             if (line := unseen(seen, ops)) is not None:
                 return live, "unseen", f"line {line}"
             return edit.apply(live, ops), "applied", None
@@ -295,7 +307,7 @@ def settled(section: str, live: str, text: str | None, newest: bool | None, know
             named = [n for first, past in anchors(ops) for n in range(first - 1, past - 1)]
             if all(n < len(now) and before[n] == now[n] for n in named) and (out := edit.apply(live, ops)) != live:
                 return out, "replayed", None
-        return live, "drift", f"tag {wanted} is now {edit.tag(live)}"
+        return live, "drift", f"tag {wanted} is now {edit.tag(live, len(wanted))}"
     except edit.EditRejected as error:
         return live, "rejected", str(error)
 
@@ -306,7 +318,7 @@ def recover(edits: DataFrame, versions: DataFrame) -> DataFrame:
     Versions meet edits by session, path and tag in a shuffle; a null content is an empty text, an edit whose section cannot be read is
     rejected, and one failing edit never stops others. Extra columns are left out."""
     own = edits.select("edit_id", "session", "path", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("content", F.lit("")).alias("content"))
-    own = own.withColumn("tag", F.nullif(F.regexp_extract("section", r"^\n*@\s+\S[^\n]*?\s+#([0-9a-f]{4})(?:\n|$)", 1), F.lit("")))
+    own = own.withColumn("tag", F.nullif(F.regexp_extract("section", r"^\n*@\s+\S[^\n]*?\s+#([0-9a-f]{4,24})(?:\n|$)", 1), F.lit("")))
     newest = Window.partitionBy("session", "path", "tag").orderBy("place")
     named = versions.withColumn("nth", F.row_number().over(newest)).where("nth = 1").select("session", "path", "tag", "text", "seen", (F.col("place") == 0).alias("newest"))
     known = versions.select("session", "tag").distinct().withColumn("known", F.lit(True))

@@ -172,3 +172,26 @@ def test_recover(spark):
         (7, "rejected", ""), (8, "applied", "y\nz\n"), (8, "applied", "y\nz\n"),
     ]
     assert v.recover(frame.limit(0), versions).count() == 0
+
+
+def colliding():
+    """Two texts whose first four digits of the hash are the same."""
+    known: dict[str, str] = {}
+    for k in range(10_000):
+        text = f"line {k}\nend"
+        if (other := known.setdefault(edit.tag(text), text)) != text:
+            return other, text
+    raise AssertionError
+
+
+def test_texts_of_one_session_with_equal_digits_have_tags_of_their_own(spark):
+    first, second = colliding()
+    assert edit.tag(first) == edit.tag(second)
+    rows = [(s, n, "record", p, t, None, [1, 2], None) for s, n, p, t in (("one", 1, "a", first), ("one", 2, "a", second), ("two", 1, "a", first), ("two", 2, "b", second))]
+    held = v.current(spark.createDataFrame(rows, v.EVENT)).cache()
+    tags = {(r["session"], r["text"]): r["tag"] for r in held.collect()}
+    assert len({tags["one", first], tags["one", second]}) == len({tags["two", first], tags["two", second]}) == 2 and tags["one", first] == edit.tag(first)
+    asked = [("old", "one", "a", f"@ a #{tags['one', first]}\nreplace 2\n+ x", second), ("now", "one", "a", f"@ a #{tags['one', second]}\nreplace 2\n+ x", second), ("else", "two", "a", f"@ a #{tags['two', second]}\nreplace 2\n+ x", first)]
+    edits = spark.createDataFrame(asked, "edit_id string, session string, path string, section string, content string")
+    found = {r["edit_id"]: (r["outcome"], r["content"]) for r in v.recover(edits, held).collect()}
+    assert found == {"old": ("replayed", second.split("\n")[0] + "\nx"), "now": ("applied", second.split("\n")[0] + "\nx"), "else": ("drift", first)}
