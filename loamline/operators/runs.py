@@ -317,13 +317,24 @@ def cost_breakdown(runs: DataFrame, prices: DataFrame, run_id: str) -> DataFrame
     return first.unionByName(second)
 
 
-def regraded(runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Text-graded runs with ``regrade``: every required literal is there, each with ``|`` between alternatives; and what has changed."""
+def graded(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Text-graded runs with ``regrade``: every required literal of ``tasks``, a stated list, is there, each with ``|`` between alternatives.
+
+    Every task has the list, so texts stay where they are."""
     low = F.lower(F.coalesce("result_text", F.lit("")))
     passes = F.forall("required", lambda r: F.exists(F.split(r, r"\|"), lambda a: F.contains(low, F.lower(F.trim(a)))))
-    out = runs.join(tasks.select("task", "required"), "task").withColumn("regrade", passes)
+    return runs.join(F.broadcast(tasks.select("task", "required")), "task").withColumn("regrade", passes).drop("required")
+
+
+def grade_change() -> Column:
+    """What a new grade, ``regrade``, is to the one before, ``correct``."""
     was = F.coalesce("correct", F.lit(False))
-    return out.withColumn("change", F.when(was == F.col("regrade"), "same").when(F.col("regrade"), "recovered").otherwise("regressed")).drop("required")
+    return F.when(was == F.col("regrade"), "same").when(F.col("regrade"), "recovered").otherwise("regressed")
+
+
+def regraded(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Text-graded runs with ``regrade`` (see ``graded``) and what has changed."""
+    return graded(runs, tasks).withColumn("change", grade_change())
 
 
 def schedule_faults(runs: DataFrame, plan: DataFrame, arms: list[str]) -> DataFrame:
@@ -394,7 +405,10 @@ def stale_prices(as_of: str, today: Column, days: int = 30) -> Column:
 
 
 def manifest_drift(runs: DataFrame, manifest: DataFrame, columns: list[str]) -> DataFrame:
-    """(mode, column, expected, found, n): values of runs that are not those which the manifest (mode, columns) has for their mode."""
+    """(mode, column, expected, found, n): values of runs that are not those which the manifest (mode, columns) has for their mode.
+
+    Runs are counted by value before they meet the manifest, a stated list: a mode's runs never come together in one task."""
     each = lambda side: F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns]))).alias("column", side)
-    both = runs.select("mode", each("found")).join(manifest.select("mode", each("expected")), ["mode", "column"])
-    return both.where(~F.col("found").eqNullSafe(F.col("expected"))).groupBy("mode", "column", "expected", "found").agg(F.count("*").alias("n"))
+    counted = runs.groupBy("mode", *columns).agg(F.count("*").alias("n")).select("mode", "n", each("found"))
+    both = counted.join(F.broadcast(manifest.select("mode", each("expected"))), ["mode", "column"])
+    return both.where(~F.col("found").eqNullSafe(F.col("expected"))).groupBy("mode", "column", "expected", "found").agg(F.sum("n").alias("n"))

@@ -200,10 +200,11 @@ def cost_breakdown(spark, sf_dir):
 SELECT doc_id, CASE WHEN (quality = 1) = ok THEN 'same' WHEN ok THEN 'recovered' ELSE 'regressed' END AS change FROM (SELECT *, (contains(lower(text), 'the') OR contains(lower(text), 'und')) AND contains(lower(text), 'an') AS ok FROM d WHERE lang IN ('en', 'de'))""",
 )
 def regrade(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
-    own = docs.select("doc_id", F.col("lang").alias("task"), F.col("text").alias("result_text"), (F.col("quality") == 1).alias("correct"))
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("task"), F.col("text").alias("result_text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("correct"))
     tasks = spark.createDataFrame([("en", ["The | und", "an"]), ("de", ["the|UND ", "AN"])], "task string, required array<string>")
-    return runs.regraded(own, tasks).select("doc_id", "change")
+    marks = runs.graded(own, tasks).select("doc_id", "regrade")  # texts are graded where they are read, and only marks meet labels
+    return marks.join(labels, "doc_id").select("doc_id", runs.grade_change().alias("change"))
 
 
 @query(

@@ -42,3 +42,12 @@ def test_two_definitions_of_a_folder_are_enough(spark):
     rows = [("d", "Cost", f"d/m{k}.go", line) for k in range(50) for line in (9, 4)] + [("e", "Cost", "e/a.go", 3)]
     own = graph.folder_definitions(spark.createDataFrame(rows, "folder string, callee string, target_path string, target_line int"))
     assert {tuple(r) for r in own.collect()} == {("d", "Cost", "d/m0.go", 4), ("d", "Cost", "d/m1.go", 4), ("e", "Cost", "e/a.go", 3)}
+
+
+def test_runs_meet_stated_lists_where_they_are(spark):
+    """A list made on the driver has no known size: without a word it is joined by a shuffle on two or three hot keys."""
+    from loamline.plans import run_queries
+
+    plans = {n: run_queries.QUERIES[n](spark, FOLDER)._jdf.queryExecution().executedPlan().toString() for n in ("manifest_drift", "regrade")}
+    assert all("BroadcastHashJoin" in p for p in plans.values()) and "SortMergeJoin" not in plans["manifest_drift"]
+    assert "hashpartitioning(task" not in plans["regrade"] and "hashpartitioning(lang" not in plans["regrade"]
