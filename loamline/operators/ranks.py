@@ -137,6 +137,10 @@ def resampled_sums(rows: DataFrame, keys: list[str], columns: list[str], resampl
 
     schema = f"{fields}, _b long, ".lstrip(", ") + ", ".join(f"`{c}` double" for c in columns)
     by = [*keys, "_part"]
+    # a stated number of tasks: parts are few bytes and much work, so what is chosen by bytes would draw them all in one
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt, draws = dealt.repartition(tasks, *by), draws.repartition(tasks, *by)
     parts = dealt.groupBy(*by).cogroup(draws.groupBy(*by)).applyInPandas(sums, schema)
     return parts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in columns])
 

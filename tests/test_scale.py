@@ -51,3 +51,10 @@ def test_runs_meet_stated_lists_where_they_are(spark):
     plans = {n: run_queries.QUERIES[n](spark, FOLDER)._jdf.queryExecution().executedPlan().toString() for n in ("manifest_drift", "regrade")}
     assert all("BroadcastHashJoin" in p for p in plans.values()) and "SortMergeJoin" not in plans["manifest_drift"]
     assert "hashpartitioning(task" not in plans["regrade"] and "hashpartitioning(lang" not in plans["regrade"]
+
+
+def test_resampling_is_dealt_by_a_stated_number(spark):
+    from loamline.plans import run_queries
+
+    plan = run_queries.QUERIES["ratio_intervals"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2  # few bytes and much work: not by what adaptive execution takes for one task
