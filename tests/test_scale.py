@@ -18,6 +18,21 @@ def test_files_of_few_bytes_are_dealt_over_cores(spark, files):
     assert len(sizes) == max(4, spark.sparkContext.defaultParallelism) and own.count() == 200
 
 
+@pytest.mark.parametrize("name", ["code_definitions", "project_summary", "patch_symbols", "form_imports", "form_calls", "form_definitions"])
+def test_no_filter_is_carried_before_the_deal(spark, name):
+    """The task or two that read the small table would make every path and content, to see whether they are wanted."""
+    frame = (code_queries.QUERIES | form_queries.QUERIES)[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    before = [part.split("FileScan")[0] for part in plan.split("REPARTITION_BY_NUM")[1:]]
+    assert before and not any("Filter" in part for part in before)
+
+
+@pytest.mark.parametrize("name", ["project_summary", "usage_groups", "definition_search", "import_targets", "external_modules", "call_scopes", "outline_context", "caller_impact"])
+def test_rows_seen_from_several_sides_are_extracted_once(spark, name):
+    plan = code_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_only_what_is_asked_for(spark):
     files = spark.createDataFrame([("a.py", "import os\ndef f():\n    g()\n"), ("b.go", "package b\nimport \"fmt\"\nfunc F() { g() }\n")], "path string, content string")
     whole, shape = extract.code_rows(files), F.col("shape")
