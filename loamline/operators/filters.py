@@ -8,11 +8,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS, HASHES = 32768, 7  #: a bitmap takes 4 KB; seven bits for each identifier
 PER_BITMAP = 3400  #: identifiers of a bitmap, 9.6 bits for each
+SEED = 42  #: of F.xxhash64
+OUT_ROWS = 1 << 10  #: bitmaps that are held before they leave a task
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -24,15 +30,56 @@ def _bits(name: Column) -> Column:
     return F.array(*[F.pmod(F.xxhash64(name, F.lit(k)), F.lit(BITS)) for k in range(HASHES)])
 
 
+def _hashes(names: np.ndarray, last: int) -> np.ndarray:
+    """``F.xxhash64(name, F.lit(last))`` of names that are given by the hash of the name alone."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    x = (names + five + np.uint64(4)) ^ (np.uint64(last & 0xFFFFFFFF) * one)
+    x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * two + three
+    x = (x ^ (x >> np.uint64(33))) * two
+    x = (x ^ (x >> np.uint64(29))) * three
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _bitmaps(content: str | None) -> tuple[int, list[tuple[int, bytes]]]:
+    """How many bitmaps a content has, and those with a bit."""
+    found = {*re.findall(IDENTIFIER, content or "")}
+    if not found:
+        return 1, [(0, bytes(BITS // 8))]
+    with np.errstate(over="ignore"):
+        names = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found))
+        count = -(-len(found) // PER_BITMAP)
+        bitmap = _hashes(names, -1) % count
+        places = np.stack([_hashes(names, k) % BITS for k in range(HASHES)], axis=1)
+    out = []
+    for k in np.unique(bitmap).tolist():
+        bits = np.zeros(BITS, bool)
+        bits[places[bitmap == k]] = True
+        out.append((k, np.packbits(bits, bitorder="little").tobytes()))
+    return count, out
+
+
 def identifier_filters(files: DataFrame) -> DataFrame:
     """(path, mtime, bitmaps, bitmap, bits) of ``files`` (path, mtime, content): one row for each bitmap that has a bit.
 
-    Bits are set by an aggregate, in part before the shuffle; a null content, and one without identifiers, has one empty bitmap."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(IDENTIFIER), F.lit(0)))
-    own = files.select("path", "mtime", found.alias("found"))
-    own = own.select("path", "mtime", F.greatest(F.ceil(F.size("found") / PER_BITMAP), F.lit(1)).cast("int").alias("bitmaps"), F.explode_outer("found").alias("name"))
-    placed = own.select("path", "mtime", "bitmaps", F.coalesce(_bitmap(F.col("name"), F.col("bitmaps")), F.lit(0)).alias("bitmap"), F.explode_outer(F.when(F.col("name").isNotNull(), _bits(F.col("name")))).alias("bit"))
-    return placed.groupBy("path", "mtime", "bitmaps", "bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    A row's bits are set where it is read, so that no identifier is shuffled or sorted; an aggregate unites rows of one path and time. A null
+    content, and one without identifiers, has one empty bitmap."""
+    own = files.select("path", "mtime", "content")
+    kinds = {"bitmaps": pa.int32(), "bitmap": pa.int32(), "bits": pa.binary()}
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple[int, int, int, bytes]] = []
+            for at, content in enumerate(batch.column("content")):
+                count, found = _bitmaps(content.as_py())
+                rows += [(at, count, k, bits) for k, bits in found]
+                if len(rows) >= OUT_ROWS or at == batch.num_rows - 1:
+                    places, *columns = zip(*rows, strict=True)
+                    keys = [batch.column(c).take(pa.array(places)) for c in ("path", "mtime")]
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], names=["path", "mtime", *kinds])
+                    rows = []
+
+    schema = T.StructType([own.schema["path"], own.schema["mtime"], T.StructField("bitmaps", T.IntegerType()), T.StructField("bitmap", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+    return own.mapInArrow(run, schema).groupBy("path", "mtime", "bitmaps", "bitmap").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def merged(filters: DataFrame, *keys: str) -> DataFrame:
@@ -51,10 +98,8 @@ def _has(bits: Column, name: Column) -> Column:
 def may_hold(filters: DataFrame, name: str) -> DataFrame:
     """(path, mtime, may) of filtered files: false only where the file does not have the identifier."""
     value = F.lit(name)
-    own = filters.where(_bitmap(value, F.col("bitmaps")) == F.col("bitmap"))
-    told = own.select("path", "mtime", _has(F.col("bits"), value).alias("may"))
-    none = filters.select("path", "mtime").distinct().withColumn("may", F.lit(False))  # a bitmap without a bit has no row
-    return told.unionByName(none).groupBy("path", "mtime").agg(F.bool_or("may").alias("may"))
+    has = (_bitmap(value, F.col("bitmaps")) == F.col("bitmap")) & _has(F.col("bits"), value)  # a bitmap without a bit has no row
+    return filters.groupBy("path", "mtime").agg(F.bool_or(has).alias("may"))
 
 
 def narrowed(files: DataFrame, filters: DataFrame, name: str) -> DataFrame:
