@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from loamline.sources import extract, lexer
+from loamline.sources import extract, lexer, parser
 
 
 def rows(lang, content, row="symbol"):
@@ -55,3 +55,23 @@ def test_time_is_linear(lang, unit):
 
     small, large = min(seconds(125_000) for _ in range(2)), seconds(500_000)
     assert large < 10 * small and large < 4
+
+
+def test_rows_that_are_not_asked_for_are_not_made(monkeypatch):
+    """They keep their places in the order of rows."""
+    content = "package a\nimport \"fmt\"\nfunc F() {\n\tg()\n}\nfunc G() {\n\th.F()\n}\n"
+    whole = extract.extract("x", "go", content, False)
+    for row in ("symbol", "import", "call"):
+        assert extract.extract("x", "go", content, False, {row}) == [r for r in whole if r["row"] == row]
+    monkeypatch.setattr(parser.Reader, "calls", None)
+    assert [r["ord"] for r in extract.extract("x", "go", content, False, {"symbol"})] == [0, 1]
+    assert [r["ord"] for r in extract.extract("x", "go", content, False, {"import"})] == [2]
+
+
+def test_imports_that_are_calls_are_read_without_calls():
+    content = "const a = require('./a');\nfunction f() { import('./b'); g(); }\n"
+    assert [(r["source"], r["ord"]) for r in extract.extract("x", "javascript", content, False, {"import"})] == [("./a", 2), ("./b", 3)]
+
+
+def test_white_space_at_the_end_is_no_token():
+    assert lexer.tokens("\u2003a b \u2003\n", "go").texts == ["a", "b"]

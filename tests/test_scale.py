@@ -27,6 +27,18 @@ def test_no_filter_is_carried_before_the_deal(spark, name):
     assert before and not any("Filter" in part for part in before)
 
 
+@pytest.mark.parametrize(("name", "piece"), [("form_imports", "macro_rules!"), ("form_calls", "macro_rules!"), ("code_definitions", "self.cost(x)"), ("equal_parts", "// again")])
+def test_contents_are_made_once(spark, name, piece):
+    """A filter on them is evaluated before the projection that makes them, and makes them once more."""
+    plan = (code_queries.QUERIES | form_queries.QUERIES)[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(piece) == plan.count("MapInArrow")
+
+
+def test_files_without_code_or_content_have_no_rows(spark):
+    files = spark.createDataFrame([("a.py", "import os"), ("b.py", None), ("c.txt", "import os"), ("d", "import os"), (None, "import os"), ("e.go", "")], "path string, content string")
+    assert [r["path"] for r in extract.code_rows(files).collect()] == ["a.py"] and extract.equal_parts(files).count() == 0
+
+
 @pytest.mark.parametrize("name", ["project_summary", "usage_groups", "definition_search", "import_targets", "external_modules", "call_scopes", "outline_context", "caller_impact"])
 def test_rows_seen_from_several_sides_are_extracted_once(spark, name):
     plan = code_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
