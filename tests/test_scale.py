@@ -65,6 +65,27 @@ def test_no_side_that_grows_is_broadcast(spark, name):
     assert "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["caller_impact", "callers"])
+def test_calls_meet_the_few_names_where_they_are(spark, name):
+    """Of two sides of unknown size the calls can be taken for the smaller, and pass whole through the driver."""
+    from loamline.plans import corpus_queries
+
+    plan = (corpus_queries.QUERIES | code_queries.QUERIES)[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_second_hop_of_few_and_of_many_callers(spark):
+    def hop(n):
+        rows = [(f"a{k:02}", 1, "goal", f"f{k}") for k in range(n)] + [("b", 2, "f1", "g"), ("b", 9, "f0", "g"), ("a00", 1, "f1", "f0"), ("c", 3, "f1", None), ("d", 4, "other", "h")]
+        calls = spark.createDataFrame(rows, "path string, line int, callee string, caller string").withColumn("owner", F.lit(None).cast("string"))
+        hits = graph.callers(calls, spark.createDataFrame([(1, "goal")], "ord int, target string"))
+        own = graph.second_hop(calls, hits)
+        assert "BuildLeft" not in own._jdf.queryExecution().executedPlan().toString()
+        return [tuple(r) for r in own.collect()]
+
+    assert hop(graph.SECOND_HOP_FROM) == [("g", "b", 2, "f0")] and hop(graph.SECOND_HOP_FROM + 1) == []
+
+
 def test_two_definitions_of_a_folder_are_enough(spark):
     rows = [("d", "Cost", f"d/m{k}.go", line) for k in range(50) for line in (9, 4)] + [("e", "Cost", "e/a.go", 3)]
     own = graph.folder_definitions(spark.createDataFrame(rows, "folder string, callee string, target_path string, target_line int"))
