@@ -5,8 +5,9 @@ until so few different values are left that their order can be told."""
 
 from __future__ import annotations
 
+import math
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,16 +97,127 @@ def middle_rows(rows: DataFrame, keys: list[str], value: Column, tie: str, limit
 # -- resampling
 
 
+ROW_BLOCK = 1 << 8  #: rows with a table of the sums of all their pairs, so that two draws are one random number of 16 bits and one look-up
+ROWS_FROM = 4  #: drawing how often a different row is taken is as long as drawing about so many rows
+FEW = 64  #: different rows whose counts are drawn one after the other
+CLASS_ROWS, CLASS_RATE = 16, 10_000  #: rows with as many copies that a table is made for, and up to which mean count
+DRAWN_AT_ONCE = 1 << 16
+
+
 def weighted_sums(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Sums (draws x columns) of ``values`` (different rows x columns) over samples of so many draws each, with replacement, from rows that are there ``counts`` times."""
-    out, step = np.empty((len(draws), values.shape[1])), max(1, 2_000_000 // len(counts))
-    for first in range(0, len(draws), step):
-        out[first : first + step] = rng.multinomial(draws[first : first + step], counts / counts.sum()) @ values
+    """Sums (draws x columns) of ``values`` (different rows x columns) over samples of so many draws each, with replacement, from rows that are there ``counts`` times.
+
+    Rows of few copies are drawn one by one, of many copies by their counts. Independent Poisson counts are multinomial, given their sum: nearly all draws of a sample are made as such, with a mean low enough that
+    their sum seldom passes the sample's size (then it is drawn anew), and the rest is drawn row by row: together that is multinomial, exactly."""
+    if len(counts) > FEW and counts.sum() <= ROWS_FROM * len(counts):
+        return _row_sums(np.repeat(values, counts.astype(np.int64), axis=0), draws, rng)
+    least, total = float(draws.min()) if len(draws) else 0.0, counts.sum()
+    mean = least - 4 * np.sqrt(least)
+    if len(counts) <= FEW or mean <= 0:
+        out, step = np.empty((len(draws), values.shape[1])), max(1, 2_000_000 // len(counts))
+        for first in range(0, len(draws), step):
+            out[first : first + step] = rng.multinomial(draws[first : first + step], counts / total) @ values
+        return out
+    sizes, classes = np.unique(counts, return_inverse=True)
+    held = np.column_stack([values, np.ones(len(values))])  # the last sum is how many rows were drawn
+    own = [(size * mean / total, held[classes == k]) for k, size in enumerate(sizes)]
+    out, todo = np.empty((len(draws), held.shape[1])), np.arange(len(draws))
+    while len(todo):
+        out[todo] = _poisson_sums(own, len(todo), rng)
+        todo = todo[out[todo, -1] > draws[todo]]
+    _add_rows(out, values, counts.astype(np.int64), draws - out[:, -1].astype(np.int64), rng)
+    return out[:, :-1]
+
+
+def _row_sums(rows: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """``weighted_sums`` of rows that are all as likely: how many draws fall in each block is multinomial, and within it each is drawn."""
+    out = np.zeros((len(draws), rows.shape[1]))
+    different = [len(np.unique(c)) for c in rows.T]
+    rows = rows[np.lexsort(rows.T[np.argsort(different, kind="stable")[::-1]])]  # by the column of fewest values first, of which most blocks then have one
+    for group, taken in _dealt(rows, draws, ROW_BLOCK * ROW_BLOCK, rng):
+        for block, drawn in _dealt(group, taken, ROW_BLOCK, rng):
+            _add_drawn(out, block, drawn, rng)
+    return out
+
+
+def _dealt(rows: np.ndarray, draws: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of ``rows``, each with how many of each sample's draws fall in it."""
+    firsts = np.arange(0, len(rows), size)
+    taken = rng.multinomial(draws, np.minimum(size, len(rows) - firsts) / len(rows))
+    return ((rows[first : first + size], drawn) for first, drawn in zip(firsts, taken.T, strict=True))
+
+
+def _add_drawn(out: np.ndarray, block: np.ndarray, drawn: np.ndarray, rng: np.random.Generator) -> None:
+    """Add to each sample (row of ``out``) the sum of its ``drawn`` rows of a block, two by two and then the odd one."""
+    fixed = (block == block[0]).all(axis=0)
+    out[:, fixed] += drawn[:, None] * block[0, fixed]
+    loose, n = np.flatnonzero(~fixed), len(block)
+    tables = {c: np.add.outer(block[:, c], block[:, c]).ravel() for c in loose}
+    pairs, step = drawn // 2, max(1, int(DRAWN_AT_ONCE // max(1.0, drawn.mean() / 2)))
+    for first in range(0, len(drawn) if tables else 0, step):
+        own = pairs[first : first + step]
+        some, ends = np.flatnonzero(own), own.cumsum()
+        if len(some):
+            picked = _sixteen_bits(int(ends[-1]), rng) if n == ROW_BLOCK else rng.integers(0, n * n, int(ends[-1]))
+            for c, table in tables.items():
+                out[first + some, c] += np.add.reduceat(table.take(picked, mode="wrap"), (ends - own)[some])
+    odd = np.flatnonzero(drawn % 2)
+    last = rng.integers(0, n, len(odd))
+    for c in tables:
+        out[odd, c] += block[last, c]
+
+
+def _sixteen_bits(size: int, rng: np.random.Generator) -> np.ndarray:
+    return rng.bit_generator.random_raw(-(-size // 4)).view(np.uint16)[:size].astype(np.intp)
+
+
+def _poisson_sums(classes: list[tuple[float, np.ndarray]], samples: int, rng: np.random.Generator) -> np.ndarray:
+    """Sums (samples x columns) of rows taken Poisson many times, for classes (mean, rows)."""
+    out = np.zeros((samples, classes[0][1].shape[1]))
+    for rate, rows in classes:
+        drawn = _poisson(rate, rng) if len(rows) >= CLASS_ROWS and rate <= CLASS_RATE else lambda n, rate=rate: rng.poisson(rate, n).astype(float)
+        step = max(1, DRAWN_AT_ONCE // len(rows))
+        for first in range(0, samples, step):
+            n = min(step, samples - first)
+            out[first : first + n] += drawn(n * len(rows)).reshape(n, len(rows)) @ rows
     return out
 
 
-def resampled_sums(rows: DataFrame, keys: list[str], columns: list[str], resamples: int, seed: int, limit: int = CELL_VALUES) -> DataFrame:
-    """(keys, _b, sums by column) of ``resamples`` samples with replacement of each cell, as many rows as it has.
+def _poisson(rate: float, rng: np.random.Generator) -> Callable[[int], np.ndarray]:
+    """Draws Poisson numbers by inversion: 16 random bits tell nearly always which it is, and where a border lies between, more bits do."""
+    low, high = max(0, int(rate - 12 * np.sqrt(rate)) - 30), int(rate + 12 * np.sqrt(rate)) + 30
+    upto = np.cumsum([np.exp(k * np.log(rate) - rate - math.lgamma(k + 1)) for k in range(low, high + 1)])
+    upto /= upto[-1]
+    ends = np.searchsorted(upto, np.arange((1 << 16) + 1) / (1 << 16), side="right")
+    table = np.where(ends[:-1] == ends[1:], ends[:-1] + low, -1).astype(float)
+
+    def draw(n: int) -> np.ndarray:
+        bits = _sixteen_bits(n, rng)
+        out = table.take(bits, mode="wrap")
+        open_ = np.flatnonzero(out < 0)
+        out[open_] = np.minimum(np.searchsorted(upto, (bits[open_] + rng.random(len(open_))) / (1 << 16), side="right"), len(upto) - 1) + low
+        return out
+
+    return draw
+
+
+def _add_rows(out: np.ndarray, values: np.ndarray, counts: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> None:
+    """Add to each sample (row of ``out``) ``draws`` rows of ``values``, drawn one by one."""
+    upto, total = counts.cumsum(), int(counts.sum())
+    rows = np.repeat(np.arange(len(counts)), counts) if total <= 1 << 22 else None
+    step = max(1, int(DRAWN_AT_ONCE // max(1.0, draws.mean())))
+    for first in range(0, len(draws), step):
+        own = draws[first : first + step]
+        some, ends = np.flatnonzero(own), own.cumsum()
+        if len(some):
+            picked = rng.integers(0, total, int(ends[-1]))
+            picked = np.searchsorted(upto, picked, side="right") if rows is None else rows[picked]
+            for c in range(values.shape[1]):
+                out[first + some, c] += np.add.reduceat(values[picked, c], (ends - own)[some])
+
+
+def resampled_sums(rows: DataFrame, keys: list[str], columns: list[str], resamples: int, seed: int, limit: int = CELL_VALUES, *, cells: DataFrame | None = None) -> DataFrame:
+    """(keys, _b, sums by column) of ``resamples`` samples with replacement of each cell, or of each of ``cells`` (keys), as many rows as it has.
 
     Equal rows are counted first. The different ones are dealt into parts of about ``limit``; how many draws each sample takes from each part is
     one multinomial draw per cell, and within a part they are spread over its rows by another: together that is one over all rows, and no task
@@ -113,6 +225,8 @@ def resampled_sums(rows: DataFrame, keys: list[str], columns: list[str], resampl
     kinds = dict(rows.dtypes)
     counted = rows.groupBy(*keys, *columns).agg(F.count("*").alias("_n"))
     sizes = counted.groupBy(*keys).agg(F.ceil(F.count("*") / limit).alias("_parts"))
+    if cells is not None:
+        sizes = _beside(sizes, cells, keys)
     dealt = _beside(counted, sizes, keys).withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts"))).drop("_parts")
     totals = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_total"))
     fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -139,7 +253,7 @@ def resampled_sums(rows: DataFrame, keys: list[str], columns: list[str], resampl
     by = [*keys, "_part"]
     # a stated number of tasks: parts are few bytes and much work, so what is chosen by bytes would draw them all in one
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # several a core, as parts fall on tasks by hash
     dealt, draws = dealt.repartition(tasks, *by), draws.repartition(tasks, *by)
     parts = dealt.groupBy(*by).cogroup(draws.groupBy(*by)).applyInPandas(sums, schema)
     return parts.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in columns])

@@ -151,7 +151,7 @@ def ratio_intervals(rows: DataFrame, keys: list[str], over: str, under: str) ->
     ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0.0))).otherwise(float("inf"))
     top, bottom = F.sum("_over"), F.sum("_under")
     each = own.groupBy(*keys).agg(F.when(bottom == 0, float("inf")).otherwise(top / F.nullif(bottom, F.lit(0.0))).alias("_point"), ((F.count("*") > 1) & (bottom != 0)).alias("_spread"))
-    drawn = ranks.resampled_sums(ranks._beside(own, each.where("_spread").drop("_point", "_spread"), keys), keys, ["_over", "_under"], RESAMPLES, SEED)
+    drawn = ranks.resampled_sums(own, keys, ["_over", "_under"], RESAMPLES, SEED, cells=each.where("_spread").select(*keys))
     found = ranks.intervals(drawn, keys, lambda: ratio(F.col("_over"), F.col("_under")))
     return _or_point(each, found, keys).select(*keys, F.col("_point").alias("value"), "low", "high")
 

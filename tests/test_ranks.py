@@ -60,6 +60,40 @@ def test_means_of_two_points_follow_the_binomial(spark, limit, monkeypatch):
     assert np.allclose(got["y"][1:], runs.bootstrap(np.arange(60.0)), atol=0.35)
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 30, 300])
+@pytest.mark.parametrize("different", [1, 65, 256, 300])
+def test_sums_of_drawn_rows_follow_the_multinomial(copies, different):
+    """Rows of few copies, of many, of unlike numbers of copies and of fewer draws than rows, against counts drawn one after the other."""
+    rng, samples = np.random.default_rng(copies * 1000 + different), 20_000
+    values = np.stack([rng.exponential(1, different) ** 2, rng.random(different) < 0.4, np.full(different, 2.0)], axis=1).astype(float)
+    counts = np.where(rng.random(different) < 0.5, copies, rng.integers(1, copies + 1, different)).astype(float)
+    draws = rng.binomial(int(counts.sum()), 0.7, samples)
+    got, held = (ranks.weighted_sums(values, counts, draws, np.random.default_rng(1)), rng.multinomial(draws, counts / counts.sum()) @ values)
+    assert np.allclose(got[:, 2], 2 * draws) and np.allclose(got[:, 1], np.round(got[:, 1]))  # as many rows as asked for, and whole ones
+    for mix in ([1, 0, 0], [0, 1, 0], [1, -2, 0]):
+        a, b = got @ mix, held @ mix
+        error = max(b.std(), 1e-9) / np.sqrt(samples)
+        assert abs(a.mean() - b.mean()) < 7 * error and a.std() == pytest.approx(b.std(), rel=0.05, abs=1e-9)
+    a, b = (np.quantile(x[:, 0], [0.025, 0.5, 0.975]) for x in (got, held))
+    assert np.abs(a - b).max() <= max(held[:, 0].std() / np.sqrt(samples) * 20, 1e-9 if different > 1 else values.max())
+    assert (got == ranks.weighted_sums(values, counts, draws, np.random.default_rng(1))).all()
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_drawing_costs_less_than_a_binomial_a_row(copies):
+    import time
+
+    def seconds(work):
+        began = time.perf_counter()
+        work()
+        return time.perf_counter() - began
+
+    rng, counts, draws = np.random.default_rng(1), np.full(8000, float(copies)), np.full(1000, 8000 * copies)
+    values = np.stack([rng.random(8000), rng.random(8000) < 0.5], axis=1).astype(float)
+    whole = min(seconds(lambda: rng.multinomial(draws[:200], counts / counts.sum())) for _ in range(3)) * 5
+    assert min(seconds(lambda: ranks.weighted_sums(values, counts, draws, rng)) for _ in range(3)) < whole / 2
+
+
 @pytest.mark.parametrize("limit", [ranks.CELL_VALUES, 2])
 def test_ratios(spark, limit, monkeypatch):
     monkeypatch.setattr(ranks.resampled_sums, "__defaults__", (limit,))
